@@ -8,7 +8,7 @@ mutations. All tables grow with the input; the registered queries run on them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from copse.plans.collection import Collection, open_collection
 
@@ -34,7 +34,6 @@ def customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = months.select("cust", _day("m").alias("left"),
                             (F.year("m") * 12 + F.month("m")).alias("k"))
     # At most one row per month and customer: a bounded group.
-    from pyspark.sql import Window
     after = F.lead("left").over(Window.partitionBy("cust").orderBy("left"))
     return shifted.select(
         "left", F.coalesce(after, F.lit(LENGTH)).alias("right"),
