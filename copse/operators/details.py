@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from copse.functions import json as J
+from copse.operators.intervals import Locator
+from copse.operators.trees import run_counts
 
 LIST_CHUNK = 65_536
 
@@ -46,20 +48,10 @@ def individual_records(individuals: DataFrame, nodes: DataFrame, full: bool = Tr
         F.coalesce("nodes", none).alias("nodes"), J.decode(F.col("metadata_json")).alias("metadata"))
 
 
-def tree_records(intervals: DataFrame, node_runs: DataFrame) -> DataFrame:
-    """Interval, number of roots and of nodes of every tree, from node runs."""
-    from copse.operators.ordered import fold_changes, segments
-    root = (F.col("n_parents") == 0).cast("long")
-    ends = fold_changes(node_runs, [], "first_tree", "last_tree",
-                        {"nodes": F.lit(1), "roots": root})
-    zero = F.lit(0).cast("long")
-    every = intervals.select("tree_index", zero.alias("nodes"), zero.alias("roots"))
-    dense = ends.unionByName(every).groupBy("tree_index").agg(
-        F.sum("nodes").alias("nodes"), F.sum("roots").alias("roots"))
-    totals = segments(dense, [], "tree_index", ["nodes", "roots"])
-    return intervals.join(totals, "tree_index").select(
-        "tree_index", "left", "right", F.col("cum_roots").alias("n_roots"),
-        F.col("cum_nodes").alias("n_nodes"))
+def tree_records(node_runs: DataFrame, loc: Locator) -> DataFrame:
+    """Interval, number of roots and of nodes of every tree."""
+    return loc.intervals.join(run_counts(node_runs, loc), "tree_index").select(
+        "tree_index", "left", "right", "n_roots", "n_nodes")
 
 
 def tree_mutation_lists(mutations: DataFrame, chunk: int = LIST_CHUNK) -> DataFrame:

@@ -1,17 +1,20 @@
 """Horizontal layout and drawing geometry of trees.
 
 Tips are numbered in depth-first order and an inner node sits half-way between
-its outermost children. Trees up to ``kernel_nodes`` nodes are laid out one
-tree per group in a vectorised kernel. Larger ones never enter one task: their
+its outermost children. Trees up to ``kernel_nodes`` nodes stay whole in one
+partition and stream through a vectorised kernel. Larger ones never enter one task: their
 tips are numbered by list ranking over an Euler tour and inner nodes are solved
 by tree contraction, a logarithmic number of joins on unique keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import FloatType, StructField, StructType
 
 from copse.functions import coordinates as C
 from copse.operators.ordered import SINGLE_TASK_ROWS, global_rank
@@ -25,27 +28,59 @@ def visit_by_id() -> Column:
     return F.when(F.col("parent_id").isNull(), F.col("node_id")).otherwise(-F.col("node_id"))
 
 
-def layout_x(tn: DataFrame, visit: Column | None = None,
+def giant_trees(counts: DataFrame, kernel_nodes: int = KERNEL_NODES) -> DataFrame:
+    """Trees too large for one task, from rows ``(tree_index, n_nodes)``."""
+    return cut(counts.where(F.col("n_nodes") > kernel_nodes).select("tree_index"))
+
+
+def layout_x(tn: DataFrame, visit: Column | None = None, giants: DataFrame | None = None,
              kernel_nodes: int = KERNEL_NODES,
              single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
-    """``(tree_index, node_id, x)``, x in 0..1 over the tips of each tree.
+    """Tree nodes with ``x``, 0..1 over the tips of each tree.
 
-    ``visit`` orders siblings (and roots), smallest first.
+    ``visit`` orders siblings (and roots), smallest first. ``giants`` (see
+    :func:`giant_trees`) spares counting; without it the nodes are written
+    once, counted and read again.
     """
-    shape = tn.select("tree_index", "node_id", "parent_id",
-                      (visit_by_id() if visit is None else visit).cast("long").alias("visit"))
-    giant = cut(shape.groupBy("tree_index").agg(F.count("*").alias("n"))
-                .where(F.col("n") > kernel_nodes).select("tree_index"))
-    if giant.isEmpty():
+    shape = tn.withColumn("visit", (visit_by_id() if visit is None else visit).cast("long"))
+    if giants is None:
+        shape = cut(shape)
+        giants = giant_trees(shape.groupBy("tree_index").agg(F.count("*").alias("n_nodes")),
+                             kernel_nodes)
+    if giants.isEmpty():
         return _kernel_x(shape)
-    small = _kernel_x(shape.join(giant, "tree_index", "left_anti"))
-    large = _joined_x(shape.join(giant, "tree_index", "left_semi"), single_task_rows)
-    return small.unionByName(large)
+    small = _kernel_x(shape.join(giants, "tree_index", "left_anti"))
+    large = cut(shape.join(giants, "tree_index", "left_semi"))
+    placed = large.drop("visit").join(
+        _joined_x(large.select("tree_index", "node_id", "parent_id", "visit"),
+                  single_task_rows), ["tree_index", "node_id"])
+    return small.unionByName(placed)
 
 
 def _kernel_x(shape: DataFrame) -> DataFrame:
-    return shape.groupBy("tree_index").applyInPandas(
-        _tree_x, "tree_index long, node_id long, x float")
+    """Whole trees per partition, streamed in tree order through the kernel."""
+    columns = shape.drop("visit").schema
+    ordered = shape.repartition("tree_index").sortWithinPartitions("tree_index", "node_id")
+    return ordered.mapInPandas(_complete_trees, StructType([*columns, StructField("x", FloatType())]))
+
+
+def _complete_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hold back the last tree of a batch until its remaining rows have arrived."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        last = batch["tree_index"].iat[-1]
+        at = int(np.searchsorted(batch["tree_index"].to_numpy(), last))
+        if at:
+            yield _trees_x(pd.concat([*held, batch.iloc[:at]]))
+            held = []
+        elif held and held[-1]["tree_index"].iat[-1] != last:
+            yield _trees_x(pd.concat(held))
+            held = []
+        held.append(batch.iloc[at:])
+    if held:
+        yield _trees_x(pd.concat(held))
 
 
 def _levels(parent: np.ndarray) -> np.ndarray:
@@ -59,29 +94,32 @@ def _levels(parent: np.ndarray) -> np.ndarray:
     return depth[:-1]
 
 
-def _tree_x(tree: pd.DataFrame) -> pd.DataFrame:
-    tree = tree.sort_values("node_id", ignore_index=True)
-    ids = tree["node_id"].to_numpy()
-    known = tree["parent_id"].notna().to_numpy()
-    parent = np.full(len(ids), -1)
-    parent[known] = np.searchsorted(ids, tree["parent_id"].to_numpy()[known].astype(np.int64))
+def _trees_x(rows: pd.DataFrame) -> pd.DataFrame:
+    """x of some whole trees, sorted by tree and node, one level of all at a time."""
+    trees, tree = np.unique(rows["tree_index"].to_numpy(), return_inverse=True)
+    ids, rank = np.unique(rows["node_id"].to_numpy(), return_inverse=True)
+    known = rows["parent_id"].notna().to_numpy()
+    above = np.searchsorted(ids, rows["parent_id"].to_numpy()[known].astype(np.int64))
+    parent = np.full(len(rows), -1)
+    parent[known] = np.searchsorted(tree * len(ids) + rank, tree[known] * len(ids) + above)
     depth = _levels(parent)
     by_level = np.argsort(depth, kind="stable")
     cuts = np.searchsorted(depth[by_level], np.arange(1, depth.max() + 1))
     levels = np.split(by_level, cuts)
 
-    tips = np.ones(len(ids), dtype=np.int64)
+    tips = np.ones(len(rows), dtype=np.int64)
     tips[parent[known]] = 0
     is_tip = tips == 1
     for level in levels[:0:-1]:
         np.add.at(tips, parent[level], tips[level])
 
-    # Tips of earlier siblings, by a running sum that restarts at each parent.
-    order = np.lexsort((tree["visit"].to_numpy(), parent))
+    # Tips of earlier siblings: a running sum that restarts with each family.
+    family = np.where(known, parent, -1 - tree)
+    order = np.lexsort((rows["visit"].to_numpy(), family))
     running = np.cumsum(tips[order]) - tips[order]
-    head = np.append(True, np.diff(parent[order]) != 0)
+    head = np.append(True, np.diff(family[order]) != 0)
     base = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-    start = np.empty(len(ids), dtype=np.int64)
+    start = np.empty(len(rows), dtype=np.int64)
     start[order] = running - running[base]
     for level in levels[1:]:
         start[level] += start[parent[level]]
@@ -89,15 +127,14 @@ def _tree_x(tree: pd.DataFrame) -> pd.DataFrame:
     low = np.where(is_tip, start, np.inf)
     high = np.where(is_tip, start, -np.inf)
     x = start.astype(np.float64)
-    for level in levels[::-1]:
+    for depth_of, level in reversed(list(enumerate(levels))):
         inner = level[~is_tip[level]]
         x[inner] = (low[inner] + high[inner]) / 2.0
-        if level is not levels[0]:
+        if depth_of:
             np.minimum.at(low, parent[level], x[level])
             np.maximum.at(high, parent[level], x[level])
-    x /= max(1, is_tip.sum() - 1)
-    return pd.DataFrame({"tree_index": tree["tree_index"], "node_id": ids,
-                         "x": x.astype(np.float32)})
+    width = np.maximum(1, np.bincount(tree[is_tip], minlength=len(trees)) - 1)
+    return rows.drop(columns="visit").assign(x=(x / width[tree]).astype(np.float32))
 
 
 def tip_ranks(shape: DataFrame, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
@@ -146,7 +183,6 @@ def _joined_x(shape: DataFrame, single_task_rows: int) -> DataFrame:
     A round replaces every reference to a node that itself waits for at most
     one other node, which solves leaves and halves chains at the same time.
     """
-    shape = cut(shape)
     tips = cut(tip_ranks(shape, single_task_rows))
     totals = tips.groupBy("tree_index").agg(F.max("n_tips").alias("n_tips"))
     ends = shape.where(F.col("parent_id").isNotNull()).groupBy(
@@ -194,10 +230,9 @@ def _joined_x(shape: DataFrame, single_task_rows: int) -> DataFrame:
 def layout(tn: DataFrame, time_range: DataFrame, scale: str | None = None,
            **options) -> DataFrame:
     """Tree nodes with ``x`` and ``y``; ``time_range`` is one row (t_min, t_max)."""
-    x = layout_x(tn, **options)
     y = C.time_to_y(F.col("time"), time_range.select("t_min").scalar(),
                     time_range.select("t_max").scalar(), scale)
-    return tn.join(x, ["tree_index", "node_id"]).withColumn("y", y)
+    return layout_x(tn, **options).withColumn("y", y)
 
 
 def with_parent(placed: DataFrame, columns=("x", "y"), how: str = "left") -> DataFrame:

@@ -43,15 +43,21 @@ def global_rank(df: DataFrame, *order, out: str = "rank",
 
 
 def segments(deltas: DataFrame, keys: list[str], pos: str, values: list[str],
-             block: int = BLOCK) -> DataFrame:
+             n_positions: int | None = None, block: int = BLOCK) -> DataFrame:
     """Turn change points into runs: running totals and the next change point.
 
     ``(keys, pos)`` is unique. Adds ``cum_<value>`` (total from the first
     position up to and including this one) and ``next_<pos>`` (NULL on the last).
-    Positions are taken in blocks, so a key with millions of change points is
-    shared out; totals and first positions of the later blocks are carried over.
+    With at most ``block`` positions in all, the group of a key is bounded and
+    one window does. Otherwise positions are taken in blocks, so a key with
+    millions of change points is shared out; totals and first positions of the
+    later blocks are carried over.
     """
     nxt = f"next_{pos}"
+    if n_positions is not None and n_positions <= block:
+        run = Window.partitionBy(*keys).orderBy(pos)
+        return deltas.select("*", *[F.sum(v).over(run).alias(f"cum_{v}") for v in values],
+                             F.lead(pos).over(run).alias(nxt))
     rows = deltas.withColumn("_block", F.floor(F.col(pos) / F.lit(block)).cast("long"))
     blocks = rows.groupBy(*keys, "_block").agg(
         F.min(pos).alias("_head"), *[F.sum(v).alias(f"_sum_{v}") for v in values])

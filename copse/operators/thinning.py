@@ -95,7 +95,8 @@ def unary_and_child(placed: DataFrame) -> DataFrame:
 def kept_nodes(placed: DataFrame, keep_tips: bool = False, **grid) -> DataFrame:
     """Rows surviving the grid, with a ``preserve`` flag.
 
-    Roots always stay, and the set is closed under ancestors.
+    Roots always stay, and the set is closed under ancestors. ``placed`` is read
+    many times: pass a written layout.
     """
     keep_inside = _keeps_all_inside(grid.get("box"), grid.get("multiplier"))
     winners = cell_winners(edge_cells(placed, **grid), keep_inside)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from copse.functions import text as X
 from copse.operators.ordered import global_rank
@@ -29,7 +30,7 @@ def topology_keys(rows: DataFrame, outgroup: str | None = OUTGROUP) -> DataFrame
         for batch in batches:
             yield batch.assign(topology=[_canonical(t, outgroup) for t in batch["newick"]])
 
-    return rows.mapInPandas(add, rows.schema.add("topology", "string"))
+    return rows.mapInPandas(add, StructType([*rows.schema, StructField("topology", StringType())]))
 
 
 def shape_keys(rows: DataFrame) -> DataFrame:

@@ -16,20 +16,22 @@ EXPLODE_CHUNK = 65_536
 LIST_CHUNK = 65_536
 
 
-def edge_spans(edges: DataFrame, nodes: DataFrame, loc: Locator) -> DataFrame:
-    """Edges as runs of trees, with the times of both ends.
+def edge_spans(edges: DataFrame, loc: Locator) -> DataFrame:
+    """Edges as runs of trees ``(child, parent, first_tree, last_tree)``.
 
-    Edge ends are breakpoints, so both lookups are projections. Times are
-    attached here, once per edge instead of once per edge and tree.
+    Edge ends are breakpoints, so both lookups are projections of the scan.
     """
     placed = locate(locate(edges, "left", loc, "first_tree"), "right", loc, "last_tree")
-    times = nodes.select(F.col("id"), F.col("time"))
-    return (placed
-            .join(times.select(F.col("id").alias("child"), F.col("time").alias("child_time")),
-                  "child")
-            .join(times.select(F.col("id").alias("parent"), F.col("time").alias("parent_time")),
-                  "parent")
-            .select("child", "parent", "first_tree", "last_tree", "child_time", "parent_time"))
+    return placed.select("child", "parent", "first_tree", "last_tree")
+
+
+def with_times(spans: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add ``child_time`` and ``parent_time``, once per edge rather than per tree."""
+    out = spans
+    for end in ("child", "parent"):
+        out = out.join(nodes.select(F.col("id").alias(end), F.col("time").alias(f"{end}_time")),
+                       end)
+    return out
 
 
 def explode_spans(spans: DataFrame, trees: list[int] | DataFrame | None = None) -> DataFrame:
@@ -58,73 +60,73 @@ def explode_spans(spans: DataFrame, trees: list[int] | DataFrame | None = None)
 
 
 def tree_edges(spans: DataFrame, trees=None) -> DataFrame:
-    """``(tree_index, child, parent, child_time, parent_time)``."""
+    """``(tree_index, child, parent)`` and whatever else the spans carry."""
     return explode_spans(spans, trees)
 
 
-def _incidence(spans: DataFrame) -> DataFrame:
-    roles = spans.select(
-        "first_tree", "last_tree",
-        F.explode(F.array(
-            F.struct(F.col("child").alias("node_id"), F.lit(1).alias("up"), F.lit(0).alias("down")),
-            F.struct(F.col("parent").alias("node_id"), F.lit(0).alias("up"),
-                     F.lit(1).alias("down")))).alias("_r"))
-    return roles.select("_r.*", "first_tree", "last_tree")
-
-
 def node_spans(spans: DataFrame, nodes: DataFrame, n_trees: int,
                isolated: bool = True) -> DataFrame:
-    """State of every node as runs of trees:
-    ``(node_id, first_tree, last_tree, n_parents, n_children, time, flags)``.
-
-    A sweep over edge ends; partial counts are combined before the shuffle, so
-    a parent of a third of all edges arrives as one row per breakpoint.
-    ``isolated`` keeps sample nodes also where they touch no edge.
+    """State of every node as runs of trees: ``(node_id, first_tree, last_tree,
+    n_parents, n_children, parent_id, time, flags)``.
+
+    A sweep over edge ends: each adds to or takes from the counts of its two
+    nodes, and to the child's parent id, which therefore is the running total.
+    Ends are combined before the shuffle, so a parent of a third of all edges
+    arrives as one row per breakpoint. ``isolated`` keeps sample nodes also
+    where they touch no edge.
     """
-    deltas = fold_changes(_incidence(spans), ["node_id"], "first_tree", "last_tree",
-                          {"up": F.col("up"), "down": F.col("down")})
+    zero = F.lit(0).cast("long")
+    first, last = F.col("first_tree"), F.col("last_tree")
+
+    def change(node, tree, up, down, parent):
+        return F.struct(node.alias("node_id"), tree.alias("tree_index"), up.alias("up"),
+                        down.alias("down"), parent.alias("above"))
+
+    one = F.lit(1).cast("long")
+    child, parent = F.col("child"), F.col("parent")
+    ends = spans.select(F.explode(F.array(
+        change(child, first, one, zero, parent), change(child, last, -one, zero, -parent),
+        change(parent, first, zero, one, zero), change(parent, last, zero, -one, zero)
+    )).alias("_e")).select("_e.*", F.lit(False).alias("border"))
     if isolated:
-        zero = F.lit(0).cast("long")
-        ends = nodes.where(F.col("flags").bitwiseAND(1) == 1).select(
+        borders = nodes.where(F.col("flags").bitwiseAND(1) == 1).select(
             F.col("id").alias("node_id"),
             F.explode(F.array(zero, F.lit(n_trees).cast("long"))).alias("tree_index"),
-            zero.alias("up"), zero.alias("down"))
-        deltas = (deltas.unionByName(ends).groupBy("node_id", "tree_index")
-                  .agg(F.sum("up").alias("up"), F.sum("down").alias("down")))
-    runs = segments(deltas, ["node_id"], "tree_index", ["up", "down"])
+            zero.alias("up"), zero.alias("down"), zero.alias("above"), F.lit(True).alias("border"))
+        ends = ends.unionByName(borders)
+    deltas = ends.groupBy("node_id", "tree_index").agg(
+        F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("above").alias("above"),
+        F.bool_or("border").alias("border")).where(
+        (F.col("up") != 0) | (F.col("down") != 0) | (F.col("above") != 0) | F.col("border"))
+    runs = segments(deltas, ["node_id"], "tree_index", ["up", "down", "above"], n_trees + 1)
     state = runs.where(F.col("next_tree_index").isNotNull()).select(
         "node_id", F.col("tree_index").alias("first_tree"),
         F.col("next_tree_index").alias("last_tree"),
-        F.col("cum_up").alias("n_parents"), F.col("cum_down").alias("n_children"))
-    state = state.join(nodes.select(F.col("id").alias("node_id"), "time", "flags"), "node_id")
+        F.col("cum_up").alias("n_parents"), F.col("cum_down").alias("n_children"),
+        F.when(F.col("cum_up") > 0, F.col("cum_above")).alias("parent_id"))
     member = (F.col("n_parents") + F.col("n_children")) > 0
+    if not isolated:
+        state = state.where(member)
+    state = state.join(nodes.select(F.col("id").alias("node_id"), "time", "flags"), "node_id")
     if isolated:
-        member = member | (F.col("flags").bitwiseAND(1) == 1)
-    return state.where(member)
+        state = state.where(member | (F.col("flags").bitwiseAND(1) == 1))
+    return state
 
 
-def membership_ranges(node_runs: DataFrame) -> DataFrame:
+def membership_ranges(node_runs: DataFrame, n_trees: int) -> DataFrame:
     """Maximal runs ``[first_tree, last_tree)`` in which a node is present."""
     changes = fold_changes(node_runs, ["node_id"], "first_tree", "last_tree",
                            {"delta": F.lit(1)})
-    runs = segments(changes, ["node_id"], "tree_index", ["delta"])
+    runs = segments(changes, ["node_id"], "tree_index", ["delta"], n_trees + 1)
     return runs.where(F.col("delta") > 0).select(
         "node_id", F.col("tree_index").alias("first_tree"),
         F.col("next_tree_index").alias("last_tree"))
 
 
-def tree_nodes(spans: DataFrame, node_runs: DataFrame, trees=None) -> DataFrame:
+def tree_nodes(node_runs: DataFrame, trees=None) -> DataFrame:
     """Long form of the trees:
-    ``(tree_index, node_id, parent_id, time, flags, n_children, is_tip)``.
-
-    Parents come from the edges, the rest from the node runs; both sides of the
-    join are unique per (tree, node), so no key is hot.
-    """
-    state = explode_spans(node_runs.drop("n_parents"), trees)
-    up = explode_spans(spans.select(F.col("child").alias("node_id"),
-                                    F.col("parent").alias("parent_id"),
-                                    "first_tree", "last_tree"), trees)
-    return state.join(up, ["tree_index", "node_id"], "left").select(
+    ``(tree_index, node_id, parent_id, time, flags, n_children, is_tip)``."""
+    return explode_spans(node_runs.drop("n_parents"), trees).select(
         "tree_index", "node_id", "parent_id", "time", "flags", "n_children",
         (F.col("n_children") == 0).alias("is_tip"))
 
@@ -155,20 +157,20 @@ def is_unary() -> Column:
     return (F.col("n_children") == 1) & F.col("parent_id").isNotNull()
 
 
-def tree_statistics(spans: DataFrame, node_runs: DataFrame, loc: Locator) -> DataFrame:
+def tree_statistics(timed_spans: DataFrame, node_runs: DataFrame, loc: Locator) -> DataFrame:
     """Oldest root, total branch length and number of roots of every tree.
 
     Nothing is exploded but the roots: branch lengths are summed per first and
     last tree of a span and accumulated along the genome.
     """
     length = F.col("parent_time") - F.col("child_time")
-    ends = fold_changes(spans, [], "first_tree", "last_tree",
+    ends = fold_changes(timed_spans, [], "first_tree", "last_tree",
                         {"length": length, "edges": F.lit(1)})
     every = loc.intervals.select("tree_index", F.lit(0.0).alias("length"),
                                  F.lit(0).cast("long").alias("edges"))
     dense = (ends.unionByName(every).groupBy("tree_index")
              .agg(F.sum("length").alias("length"), F.sum("edges").alias("edges")))
-    totals = segments(dense, [], "tree_index", ["length", "edges"]).select(
+    totals = segments(dense, [], "tree_index", ["length", "edges"], loc.n_trees + 1).select(
         "tree_index", F.when(F.col("cum_edges") > 0, F.greatest(F.col("cum_length"), F.lit(0.0)))
         .otherwise(F.lit(0.0)).alias("total_branch_length"))
     tops = explode_spans(node_runs.where(F.col("n_parents") == 0)
@@ -198,6 +200,20 @@ def pick_trees(tn: DataFrame, requested: list[int], n_trees: int | None = None,
     return request.join(tn, "tree_index")
 
 
+def run_counts(node_runs: DataFrame, loc: Locator) -> DataFrame:
+    """``(tree_index, n_nodes, n_roots)`` from node runs, without exploding them."""
+    root = (F.col("n_parents") == 0).cast("long")
+    ends = fold_changes(node_runs, [], "first_tree", "last_tree",
+                        {"nodes": F.lit(1).cast("long"), "roots": root})
+    zero = F.lit(0).cast("long")
+    every = loc.intervals.select("tree_index", zero.alias("nodes"), zero.alias("roots"))
+    dense = ends.unionByName(every).groupBy("tree_index").agg(
+        F.sum("nodes").alias("nodes"), F.sum("roots").alias("roots"))
+    totals = segments(dense, [], "tree_index", ["nodes", "roots"], loc.n_trees + 1)
+    return totals.where(F.col("tree_index") < loc.n_trees).select(
+        "tree_index", F.col("cum_nodes").alias("n_nodes"), F.col("cum_roots").alias("n_roots"))
+
+
 def per_tree_counts(tn: DataFrame, mutations: DataFrame | None = None) -> DataFrame:
     """Node (and mutation) counts per tree."""
     counts = tn.groupBy("tree_index").agg(F.count("*").alias("n_nodes"))

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from copse.operators import intervals as I, trees as T
+from copse.session import cut
 
 
 class Collection(NamedTuple):
@@ -31,18 +32,25 @@ class Collection(NamedTuple):
 
     @property
     def spans(self) -> DataFrame:
-        return T.edge_spans(self.edges, self.nodes, self.loc)
+        return T.edge_spans(self.edges, self.loc)
+
+    def runs(self, isolated: bool = True) -> DataFrame:
+        """Node runs; with ``isolated`` samples count as members of every tree."""
+        return T.node_spans(self.spans, self.nodes, self.loc.n_trees, isolated)
 
     @property
-    def node_runs(self) -> DataFrame:
-        return T.node_spans(self.spans, self.nodes, self.loc.n_trees)
+    def timed_spans(self) -> DataFrame:
+        return T.with_times(self.spans, self.nodes)
 
     def tree_edges(self, trees=None) -> DataFrame:
         return T.tree_edges(self.spans, trees)
 
     def tree_nodes(self, trees=None, isolated: bool = True) -> DataFrame:
-        runs = T.node_spans(self.spans, self.nodes, self.loc.n_trees, isolated)
-        return T.tree_nodes(self.spans, runs, trees)
+        return T.tree_nodes(self.runs(isolated), trees)
+
+    def written_nodes(self, trees=None, isolated: bool = True) -> DataFrame:
+        """Tree nodes written once, for plans that read them several times."""
+        return cut(self.tree_nodes(trees, isolated))
 
     def time_range(self) -> DataFrame:
         """One row ``(t_min, t_max)`` over all nodes."""

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from copse.functions import coordinates as C
 from copse.operators import (compare as CMP, intervals as I, layout as LAY, lineage as LIN,
-                             metadata as MET, mutations as MUT, thinning as THN)
+                             metadata as MET, mutations as MUT, thinning as THN, trees as T)
 from copse.plans.collection import Collection
+from copse.session import cut
 from copse.sources import sinks, summary
 
 
@@ -28,8 +29,14 @@ def describe(c: Collection) -> DataFrame:
 
 def placed_nodes(c: Collection, trees=None, scale: str | None = None,
                  isolated: bool = True) -> DataFrame:
-    """Tree nodes with coordinates."""
-    return LAY.layout(c.tree_nodes(trees, isolated), c.time_range(), scale)
+    """Tree nodes with coordinates, written once.
+
+    The compact node runs are written first: tree sizes come from them, and
+    the exploded trees pass through once, into the layout.
+    """
+    runs = cut(c.runs(isolated))
+    giants = LAY.giant_trees(T.run_counts(runs, c.loc))
+    return cut(LAY.layout(T.tree_nodes(runs, trees), c.time_range(), scale, giants=giants))
 
 
 def located_mutations(c: Collection, bounds: bool = False) -> DataFrame:
@@ -51,7 +58,7 @@ def layout_request(c: Collection, trees=None, scale: str | None = None, thin: bo
     on_trees = MUT.place(muts, placed, c.time_range(), scale)
     if not thin:
         return Layout(placed, on_trees)
-    nodes = THN.thin_nodes(placed, multiplier=multiplier, box=box)
+    nodes = cut(THN.thin_nodes(placed, multiplier=multiplier, box=box))
     kept = THN.thin_mutations(THN.on_kept_nodes(on_trees, nodes), int(1.0 / mutation_cell))
     return Layout(nodes, kept)
 
@@ -111,7 +118,10 @@ def search_names(c: Collection, names: DataFrame, trees=None) -> DataFrame:
 
 def name_lineages(c: Collection, names: DataFrame, trees=None) -> DataFrame:
     """Root-to-sample path rows of the named samples."""
-    return LIN.lineage_steps(c.tree_nodes(trees, isolated=False), search_names(c, names, trees))
+    tn = c.written_nodes(trees, isolated=False)
+    found = MET.find_names(MET.name_index(samples(c)), names)
+    seeds = found.join(tn.select("tree_index", "node_id"), "node_id")
+    return LIN.lineage_steps(tn, seeds)
 
 
 def compare_trees(c: Collection, requested: list[int], scale: str | None = None) -> DataFrame:

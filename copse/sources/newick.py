@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from copse.functions import text as X
+from copse.operators.layout import layout_x
 from copse.operators.ordered import global_rank
 from copse.schemas import NEWICK_NODES
 from copse.session import cut
@@ -284,32 +285,22 @@ def _postorder(nodes: list[list], root: int) -> list[int]:
     return order[::-1]
 
 
-def _node_table(tree_index: int, text: str, outgroup: str | None) -> pd.DataFrame:
+def _node_rows(tree_index: int, text: str, outgroup: str | None) -> Iterator[tuple]:
+    """Node rows of one tree in post-order, in the column order of the schema."""
     nodes = parse_newick(text)
     root = drop_outgroup(nodes, outgroup) if outgroup else 0
     order = _postorder(nodes, root)
     place = {at: i for i, at in enumerate(order)}
-    rank, inner = {}, 0
-    for at in order:
-        if nodes[at][3]:
-            rank[at] = inner
-            inner += 1
-    distance = {root: 0.0}
+    rank = {at: i for i, at in enumerate(a for a in order if nodes[a][3])}
+    distance, sibling = {root: 0.0}, {root: 0}
     for at in reversed(order):
-        for child in nodes[at][3]:
+        for i, child in enumerate(nodes[at][3]):
             distance[child] = distance[at] + nodes[child][2]
-    sibling = {child: i for at in order for i, child in enumerate(nodes[at][3])}
-    up = [nodes[at][0] if at != root else None for at in order]
-    return pd.DataFrame({
-        "tree_index": tree_index, "postorder": range(len(order)),
-        "parent_postorder": pd.array([None if u is None else place[u] for u in up], "Int64"),
-        "sibling": pd.array([sibling.get(at, 0) for at in order], "Int64"),
-        "internal_rank": pd.array([rank.get(at) for at in order], "Int64"),
-        "parent_internal_rank": pd.array([None if u is None else rank[u] for u in up], "Int64"),
-        "is_tip": [not nodes[at][3] for at in order],
-        "name": [nodes[at][1] or None for at in order],
-        "branch_length": [nodes[at][2] for at in order],
-        "root_distance": [distance[at] for at in order]})
+            sibling[child] = i
+    for at in order:
+        up = nodes[at][0] if at != root else None
+        yield (tree_index, place[at], place.get(up), sibling[at], rank.get(at), rank.get(up),
+               not nodes[at][3], nodes[at][1] or None, nodes[at][2], distance[at])
 
 
 def newick_nodes(rows: DataFrame, outgroup: str | None = OUTGROUP,
@@ -320,23 +311,26 @@ def newick_nodes(rows: DataFrame, outgroup: str | None = OUTGROUP,
     heights and coordinates follow as joins and windows. ``on_error='skip'``
     leaves trees out that cannot be read.
     """
+    columns = NEWICK_NODES.fieldNames()
+    whole = [f.name for f in NEWICK_NODES if f.dataType.typeName() == "long"]
+
+    def frame(pending: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(pending, columns=columns).astype({c: "Int64" for c in whole})
+
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pending: list[tuple] = []
         for batch in batches:
-            pending, size = [], 0
             for index, text in zip(batch["tree_index"], batch["newick"]):
                 try:
-                    table = _node_table(index, text, outgroup)
+                    pending.extend(list(_node_rows(index, text, outgroup)))
                 except ValueError:
-                    if on_error == "skip":
-                        continue
-                    raise
-                pending.append(table)
-                size += len(table)
-                if size >= 50_000:
-                    yield pd.concat(pending)
-                    pending, size = [], 0
-            if pending:
-                yield pd.concat(pending)
+                    if on_error != "skip":
+                        raise
+                if len(pending) >= 50_000:
+                    yield frame(pending)
+                    pending = []
+        if pending:
+            yield frame(pending)
 
     trees = rows.where(~X.is_blank(F.col("newick"))).select("tree_index", "newick")
     return trees.mapInPandas(explode, NEWICK_NODES)
@@ -412,7 +406,6 @@ def shifts_tips(path: str, prefixes=("heliconius",)) -> bool:
 
 def newick_x(placed: DataFrame, **options) -> DataFrame:
     """Layout x with tips in text order."""
-    from copse.operators.layout import layout_x
     return layout_x(placed, visit=F.col("sibling"), **options)
 
 

@@ -12,6 +12,7 @@ from copse.operators import (compare as CMP, details as DET, intervals as I, lay
                              topology as TOP, trees as T)
 from copse.plans import requests as R
 from copse.plans.collection import Collection
+from copse.session import cut
 from copse.sources import bed, newick as N, sinks, summary, tables
 from workload import newick as ON, oracle as O
 from workload.collection import LENGTH, orders_collection
@@ -189,8 +190,8 @@ def _(c):
             FROM touch)
     SELECT node_id, min(tree_index) AS first_tree, max(tree_index) + 1 AS last_tree FROM t GROUP BY node_id, g"""))
 def _(c):
-    runs = T.node_spans(c.spans, c.nodes, c.loc.n_trees, isolated=False)
-    return T.membership_ranges(runs)
+    runs = c.runs(isolated=False)
+    return T.membership_ranges(runs, c.loc.n_trees)
 
 
 @query("snk06_layout_tables", O.placed("""
@@ -232,7 +233,7 @@ st AS MATERIALIZED (SELECT iv.tree_index, lft, rgt,
     FROM (SELECT *, max(total_branch_length) OVER () AS t,
           round_even(255.0 * (total_branch_length / max(total_branch_length) OVER ()), 0)::BIGINT AS g FROM st)""", STATS))
 def _(c):
-    stats = T.tree_statistics(c.spans, c.node_runs, c.loc)
+    stats = T.tree_statistics(c.timed_spans, c.runs(), c.loc)
     return bed.lines(bed.tree_bed(stats, "total_branch_length"))
 
 
@@ -447,13 +448,13 @@ def _(c):
 
 @query("tre04_membership", O.trees("SELECT tree_index, node_id FROM touch"))
 def _(c):
-    runs = T.node_spans(c.spans, c.nodes, c.loc.n_trees, isolated=False)
+    runs = c.runs(isolated=False)
     return T.explode_spans(runs.select("node_id", "first_tree", "last_tree"))
 
 
 @query("tre05_membership_isolated", O.trees("SELECT tree_index, node_id FROM mem"))
 def _(c):
-    return T.explode_spans(c.node_runs.select("node_id", "first_tree", "last_tree"))
+    return T.explode_spans(c.runs().select("node_id", "first_tree", "last_tree"))
 
 
 @query("tre06_root_counts", O.trees("""
@@ -477,7 +478,7 @@ def _(c):
 @query("tre09_layout_x", O.placed(
     "SELECT tree_index, node_id, round(x::DOUBLE, 6) AS x FROM placed"))
 def _(c):
-    return LAY.layout_x(c.tree_nodes()).select("tree_index", "node_id", num("x").alias("x"))
+    return R.placed_nodes(c).select("tree_index", "node_id", num("x").alias("x"))
 
 
 def _range(c) -> tuple[Column, Column]:
@@ -547,7 +548,7 @@ def _(c):
     SELECT tree_index, lft AS interval_left, rgt AS interval_right, root_time,
            round(total_branch_length, 6) AS total_branch_length, n_roots FROM st""", STATS))
 def _(c):
-    s = T.tree_statistics(c.spans, c.node_runs, c.loc)
+    s = T.tree_statistics(c.timed_spans, c.runs(), c.loc)
     return s.select("tree_index", F.col("left").alias("interval_left"),
                     F.col("right").alias("interval_right"), "root_time",
                     num("total_branch_length").alias("total_branch_length"), "n_roots")
@@ -716,14 +717,14 @@ def lineage_sql(body: str, *more: str, isolated: bool = True) -> str:
 @query("lin01_ancestors", lineage_sql(
     "SELECT tree_index, seed, node_id, distance::BIGINT AS distance FROM anc", isolated=False))
 def _(c):
-    return LIN.ancestor_pairs(c.tree_nodes(isolated=False))
+    return LIN.ancestor_pairs(c.written_nodes(isolated=False))
 
 
 @query("lin02_descendant_counts", lineage_sql("""
     SELECT a.tree_index, a.node_id, count(*) AS n_descendants, count(*) FILTER (s.is_tip) AS n_tips
     FROM anc a JOIN tn s ON s.tree_index = a.tree_index AND s.node_id = a.seed WHERE distance > 0 GROUP BY ALL"""))
 def _(c):
-    return LIN.descendant_counts(c.tree_nodes())
+    return LIN.descendant_counts(c.written_nodes())
 
 
 @query("lin03_descendant_tips", lineage_sql("""
@@ -732,7 +733,7 @@ def _(c):
     WHERE distance > 0 AND s.is_tip AND a.node_id BETWEEN 0 AND 4"""))
 def _(c):
     regions = c.nodes.where(F.col("id") < 5).select(F.col("id").alias("node_id"))
-    return LIN.descendants(c.tree_nodes(), regions, tips_only=True).select(
+    return LIN.descendants(c.written_nodes(), regions, tips_only=True).select(
         "tree_index", "query_node", "node_id")
 
 
@@ -750,7 +751,7 @@ def _(c):
     JOIN tn s ON s.tree_index = a.tree_index AND s.node_id = a.seed WHERE a.node_id BETWEEN 0 AND 4"""))
 def _(c):
     regions = c.nodes.where(F.col("id") < 5).select(F.col("id").alias("node_id"))
-    return LIN.subtree_nodes(c.tree_nodes(), regions).select(
+    return LIN.subtree_nodes(c.written_nodes(), regions).select(
         "tree_index", "query_node", "node_id", "is_tip", "time")
 
 
@@ -759,13 +760,12 @@ def _(c):
     JOIN tn s ON s.tree_index = a.tree_index AND s.node_id = a.seed WHERE distance > 0 AND a.node_id BETWEEN 0 AND 4"""))
 def _(c):
     regions = c.nodes.where(F.col("id") < 5).select(F.col("id").alias("node_id"))
-    return LIN.subtree_edges(c.tree_nodes(), regions)
+    return LIN.subtree_edges(c.written_nodes(), regions)
 
 
-def _population_seeds(c, population: int) -> DataFrame:
+def _population_seeds(c, tn: DataFrame, population: int) -> DataFrame:
     chosen = c.samples().where(F.col("population") == population).select(F.col("id").alias("node_id"))
-    return c.tree_nodes(isolated=False).join(chosen, "node_id", "left_semi").select(
-        "tree_index", "node_id")
+    return tn.join(chosen, "node_id", "left_semi").select("tree_index", "node_id")
 
 
 def _mrca(pick: str) -> str:
@@ -782,14 +782,15 @@ def _mrca(pick: str) -> str:
 
 @query("lin06_common_ancestor", _mrca("arg_min"))
 def _(c):
-    return LIN.common_ancestor(c.tree_nodes(isolated=False), _population_seeds(c, 3)).select(
+    tn = c.written_nodes(isolated=False)
+    return LIN.common_ancestor(tn, _population_seeds(c, tn, 3)).select(
         "tree_index", C.sentinels(F.col("mrca")).alias("mrca"))
 
 
 @query("lin06_oldest_common_ancestor", _mrca("arg_max"))
 def _(c):
-    return LIN.common_ancestor(c.tree_nodes(isolated=False), _population_seeds(c, 3),
-                               oldest=True).select(
+    tn = c.written_nodes(isolated=False)
+    return LIN.common_ancestor(tn, _population_seeds(c, tn, 3), oldest=True).select(
         "tree_index", C.sentinels(F.col("mrca")).alias("mrca"))
 
 
@@ -797,19 +798,18 @@ def _(c):
     SELECT a.tree_index, a.seed, string_agg(a.node_id::VARCHAR, ',' ORDER BY distance DESC) AS path
     FROM anc a JOIN nodes n ON n.id = a.seed AND n.flags = 1 GROUP BY ALL HAVING count(*) > 1"""))
 def _(c):
-    tn = c.tree_nodes()
+    tn = c.written_nodes()
     seeds = tn.where(F.col("flags") == 1).select("tree_index", "node_id")
     return LIN.lineage_paths(tn, seeds).select("tree_index", "seed",
                                                txt("path_node_ids").alias("path"))
 
 
 @raw_query("lin08_newick_paths", O.newick("""
-    , RECURSIVE_DUMMY AS (SELECT 1),
-    walk(tree_index, seed, node_id, distance) AS (SELECT tree_index, node_id, node_id, 0 FROM nn WHERE is_tip
+    , walk(tree_index, seed, node_id, distance) AS (SELECT tree_index, node_id, node_id, 0 FROM nn WHERE is_tip
       UNION ALL SELECT w.tree_index, w.seed, p.parent_id, w.distance + 1 FROM walk w JOIN nn p
         ON p.tree_index = w.tree_index AND p.node_id = w.node_id WHERE p.parent_id IS NOT NULL)
-    SELECT tree_index, seed, node_id, distance::BIGINT AS distance FROM walk""").replace(
-        "RECURSIVE_DUMMY AS (SELECT 1),", "dummy AS (SELECT 1),"))
+    SELECT tree_index, CASE WHEN seed < 7 THEN 6 - seed ELSE seed END AS seed,
+      CASE WHEN node_id < 7 THEN 6 - node_id ELSE node_id END AS node_id, distance::BIGINT AS distance FROM walk"""))
 def _(spark, sf_dir):
     tn = _newick_tree(spark, sf_dir)
     return LIN.acyclic_paths(tn, tn.where("is_tip").select("tree_index", "node_id"))
@@ -819,7 +819,7 @@ def _(spark, sf_dir):
     SELECT tree_index, seed AS node_id, distance::BIGINT AS distance FROM anc WHERE node_id = 10 AND distance > 0"""))
 def _(c):
     of = c.nodes.where(F.col("id") == 10).select(F.col("id").alias("node_id"))
-    return LIN.descendants(c.tree_nodes(), of).select("tree_index", "node_id", "distance")
+    return LIN.descendants(c.written_nodes(), of).select("tree_index", "node_id", "distance")
 
 
 # ---- comparison and topology ---------------------------------------------
@@ -873,7 +873,7 @@ def _newick_tree(spark, sf_dir) -> DataFrame:
     raw = ON.raw_table(spark, sf_dir)
     rows = N.tree_rows(raw)
     order = N.sample_order(rows, N.file_metadata(raw))
-    return N.with_sample_ids(N.newick_nodes(rows), order)
+    return cut(N.with_sample_ids(N.newick_nodes(rows), order))
 
 
 NAMES = "ord AS (SELECT n AS k, 'S' || n AS name, (7 - n)::BIGINT AS sample_id FROM (SELECT DISTINCT n FROM lv))"
@@ -1079,9 +1079,9 @@ def _(c):
 @query("met15_trees_with_samples", O.trees("""
     SELECT DISTINCT tree_index FROM touch JOIN vals USING (node_id) WHERE value = 'building'""", O.META))
 def _(c):
-    runs = T.node_spans(c.spans, c.nodes, c.loc.n_trees, isolated=False)
+    runs = c.runs(isolated=False)
     hits = MET.search_samples(R.samples(c), "segment", "building")
-    return MET.trees_of_nodes(T.membership_ranges(runs), hits, c.intervals)
+    return MET.trees_of_nodes(T.membership_ranges(runs, c.loc.n_trees), hits, c.intervals)
 
 
 @query("met16_values_matching", O.trees(
@@ -1153,7 +1153,7 @@ def _(c):
     SELECT tree_index, lft AS interval_left, rgt AS interval_right, count(*) FILTER (parent_id IS NULL) AS n_roots,
            count(*) AS n_nodes FROM tna JOIN iv USING (tree_index) GROUP BY ALL"""))
 def _(c):
-    r = DET.tree_records(c.intervals, c.node_runs)
+    r = DET.tree_records(c.runs(), c.loc)
     return r.select("tree_index", F.col("left").alias("interval_left"),
                     F.col("right").alias("interval_right"), "n_roots", "n_nodes")
 
@@ -1304,7 +1304,8 @@ ny AS MATERIALIZED (SELECT nn.tree_index, postorder, is_tip, least(1.0, greatest
 
 def _newick_placed(spark, sf_dir, shift: bool) -> DataFrame:
     rows = _tree_rows(spark, sf_dir)
-    return N.newick_y(N.newick_nodes(rows), rows, N.global_height(rows).scalar(), shift)
+    parsed = cut(N.newick_nodes(rows))
+    return N.newick_y(parsed, rows, N.global_height(rows).scalar(), shift)
 
 
 @raw_query("tre19_newick_y", O.newick(
@@ -1334,7 +1335,8 @@ def _(spark, sf_dir):
 @raw_query("tre23_node_heights", O.newick("""
     SELECT tree_index, postorder::BIGINT AS postorder, h AS height, h - root_distance AS node_height FROM nn JOIN th USING (tree_index)""", HEIGHTS))
 def _(spark, sf_dir):
-    return N.with_node_height(N.newick_nodes(_tree_rows(spark, sf_dir))).select(
+    parsed = cut(N.newick_nodes(_tree_rows(spark, sf_dir)))
+    return N.with_node_height(parsed).select(
         "tree_index", "postorder", "height", "node_height")
 
 
