@@ -284,10 +284,11 @@ look AS (SELECT l_orderkey, l_linenumber, l_extendedprice, i.i AS raw
 
 @raw_query("int04_tree_at_position", O.newick("""
     SELECT l_orderkey, l_linenumber, l_extendedprice,
-      CASE WHEN raw < (SELECT count(*) FROM niv) THEN raw END AS tree_index FROM look""", LOOK))
+      coalesce(CASE WHEN raw < (SELECT count(*) FROM niv) THEN raw END, -1) AS tree_index FROM look""", LOOK))
 def _(spark, sf_dir):
     loc = I.locator(_newick_intervals(spark, sf_dir))
-    return I.trees_at(_prices(spark, sf_dir), "p", loc).drop("p")
+    return I.trees_at(_prices(spark, sf_dir), "p", loc).drop("p").withColumn(
+        "tree_index", C.sentinels(F.col("tree_index")))
 
 
 @raw_query("int05_tree_at_clamped", O.newick("""
@@ -401,16 +402,18 @@ def _(spark, sf_dir):
 @raw_query("int18_local_bins", O.newick(f"""
     , best AS (SELECT slot, arg_min(tree_index, (-span, tree_index)) AS chosen, count(*) AS group_size, {DETAIL}
                FROM slot GROUP BY slot)
-    SELECT tree_index, slot, group_size, CASE WHEN tree_index = chosen THEN detail END AS detail,
+    SELECT tree_index, slot, group_size, CASE WHEN tree_index = chosen THEN detail ELSE 0 END AS detail,
       tree_index = chosen AS visible,
       round(CASE WHEN tree_index = chosen THEN (10000.0 + slot * slot_width + slot_width / 2) / 20000
-        - slot_width / 20000 / 1.05 / 2 END, 6) AS translate_x,
-      round(CASE WHEN tree_index = chosen THEN slot_width / 20000 / 1.05 END, 6) AS scale_x
+        - slot_width / 20000 / 1.05 / 2 ELSE -1 END, 6) AS translate_x,
+      round(CASE WHEN tree_index = chosen THEN slot_width / 20000 / 1.05 ELSE -1 END, 6) AS scale_x
     FROM slot JOIN best USING (slot)""", BINS))
 def _(spark, sf_dir):
     bins = I.local_bins(_newick_intervals(spark, sf_dir), 0, 2 ** 40, NSTART, NEND, BP, ZOOM)
-    return bins.select("tree_index", "slot", "group_size", "detail", "visible",
-                       num("translate_x").alias("translate_x"), num("scale_x").alias("scale_x"))
+    shown = lambda name: F.coalesce(num(name), F.lit(-1.0)).alias(name)
+    return bins.select("tree_index", "slot", "group_size",
+                       F.coalesce("detail", F.lit(0)).alias("detail"), "visible",
+                       shown("translate_x"), shown("scale_x"))
 
 
 @raw_query("int20_show_all", O.newick("""
@@ -808,8 +811,8 @@ def _(c):
     , walk(tree_index, seed, node_id, distance) AS (SELECT tree_index, node_id, node_id, 0 FROM nn WHERE is_tip
       UNION ALL SELECT w.tree_index, w.seed, p.parent_id, w.distance + 1 FROM walk w JOIN nn p
         ON p.tree_index = w.tree_index AND p.node_id = w.node_id WHERE p.parent_id IS NOT NULL)
-    SELECT tree_index, CASE WHEN seed < 7 THEN 6 - seed ELSE seed END AS seed,
-      CASE WHEN node_id < 7 THEN 6 - node_id ELSE node_id END AS node_id, distance::BIGINT AS distance FROM walk"""))
+    SELECT tree_index, CASE WHEN seed < 7 THEN 6 - seed ELSE seed END::BIGINT AS seed,
+      CASE WHEN node_id < 7 THEN 6 - node_id ELSE node_id END::BIGINT AS node_id, distance::BIGINT AS distance FROM walk"""))
 def _(spark, sf_dir):
     tn = _newick_tree(spark, sf_dir)
     return LIN.acyclic_paths(tn, tn.where("is_tip").select("tree_index", "node_id"))
@@ -880,7 +883,7 @@ NAMES = "ord AS (SELECT n AS k, 'S' || n AS name, (7 - n)::BIGINT AS sample_id F
 
 
 @raw_query("cmp03_newick_differences", O.newick("""
-    , ed AS (SELECT tree_index, parent_id AS parent, CASE WHEN is_tip THEN 6 - node_id ELSE node_id END AS child
+    , ed AS (SELECT tree_index, parent_id::BIGINT AS parent, CASE WHEN is_tip THEN 6 - node_id ELSE node_id END::BIGINT AS child
              FROM nn WHERE parent_id IS NOT NULL),
     a AS (SELECT tree_index, 'inserted' AS change, parent, child FROM ed e WHERE tree_index > 0 AND NOT EXISTS
       (SELECT 1 FROM ed b WHERE b.tree_index = e.tree_index - 1 AND b.parent = e.parent AND b.child = e.child)
@@ -1066,14 +1069,15 @@ def _(c):
 
 @query("met14_multi_value_positions", O.placed("""
     , q(value) AS (VALUES ('building'), ('MACHINERY'), ('nobody'))
-    SELECT q.value, coalesce(p.tree_index, -1) AS tree_index, coalesce(p.node_id, -1) AS node_id, round(p.x::DOUBLE, 6) AS x
+    SELECT q.value, coalesce(p.tree_index, -1) AS tree_index, coalesce(p.node_id, -1) AS node_id, coalesce(round(p.x::DOUBLE, 6), -1) AS x
     FROM q LEFT JOIN (SELECT * FROM placed JOIN vals USING (node_id)) p ON p.value = q.value""", O.META))
 def _(c):
     wanted = c.spark.createDataFrame([("building",), ("MACHINERY",), ("nobody",), ("building",)],
                                      "value string")
     out = R.highlight_values(c, "segment", wanted)
     return out.select("value", C.sentinels(F.col("tree_index")).alias("tree_index"),
-                      C.sentinels(F.col("node_id")).alias("node_id"), num("x").alias("x"))
+                      C.sentinels(F.col("node_id")).alias("node_id"),
+                      F.coalesce(num("x"), F.lit(-1.0)).alias("x"))
 
 
 @query("met15_trees_with_samples", O.trees("""
