@@ -2,73 +2,98 @@
 
 ``jumps`` yields, for k = 0, 1, 2, ..., the ancestor 2^k steps up. A set of
 nodes follows all of them once, so log2(depth) joins reach every ancestor.
+Only inner nodes are doubled: whatever the seeds, the first step is their own
+parent, and from there on every node met has children. Functions that take
+``tn`` read it more than once; pass a written table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from copse.session import cut
 
 KEY = ["tree_index", "node_id"]
 
 
-def jumps(tn: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+def inner_links(tn: DataFrame) -> DataFrame:
+    """Inner nodes and their parents ``(tree_index, node_id, up)``."""
+    return tn.where((F.col("n_children") > 0) & F.col("parent_id").isNotNull()).select(
+        *KEY, F.col("parent_id").alias("up"))
+
+
+def jumps(links: DataFrame) -> Iterator[tuple[int, DataFrame]]:
     """``(2^k, rows (tree_index, node_id, up))`` while any node has such an ancestor.
 
     Stops on parent cycles too: past 2^40 steps no real tree has ancestors.
     """
-    step, links = 1, cut(tn.where(F.col("parent_id").isNotNull()).select(
-        "tree_index", "node_id", F.col("parent_id").alias("up")))
+    step, links = 1, cut(links)
     while not links.isEmpty():
         if step > 2 ** 40:
             raise ValueError("parent links form a cycle")
         yield step, links
         above = links.select("tree_index", F.col("node_id").alias("up"), F.col("up").alias("_up"))
         links = cut(links.join(above, ["tree_index", "up"]).select(
-            "tree_index", "node_id", F.col("_up").alias("up")))
+            *KEY, F.col("_up").alias("up")))
         step *= 2
 
 
+def _with_up(tn: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Seeds that are in their tree, with their parent."""
+    return tn.select(*KEY, F.col("parent_id").alias("up")).join(
+        seeds.select(*KEY).distinct(), KEY, "left_semi")
+
+
 def ancestor_closure(tn: DataFrame, seeds: DataFrame) -> DataFrame:
     """Seeds ``(tree_index, node_id)`` and all their ancestors, without repeats.
 
     Repeats go after every step, so the set never outgrows the trees, however
     deep they are.
     """
-    reached = seeds.select(*KEY).distinct()
-    for _, links in jumps(tn):
+    start = cut(_with_up(tn, seeds))
+    reached = start.where(F.col("up").isNotNull()).select(
+        "tree_index", F.col("up").alias("node_id")).distinct()
+    for _, links in jumps(inner_links(tn)):
         both = F.array_compact(F.array("node_id", "up"))
         reached = cut(reached.join(links, KEY, "left")
                       .select("tree_index", F.explode(both).alias("node_id")).distinct())
-    return reached
+    return start.select(*KEY).unionByName(reached).distinct()
 
 
 def ancestor_pairs(tn: DataFrame, seeds: DataFrame | None = None,
                    include_self: bool = True) -> DataFrame:
     """``(tree_index, seed, node_id, distance)``: each seed with all its ancestors.
 
-    Without seeds every node is one. Only trees of the seeds are followed.
+    Without seeds every node is one. Chains are built once per distinct parent
+    of a seed and only in trees that have seeds; the seeds themselves take part
+    in a single join.
     """
     if seeds is None:
-        start, links_of = tn.select(*KEY), tn
+        start, scope = tn.select(*KEY, F.col("parent_id").alias("up")), tn
     else:
-        start = seeds.select(*KEY).distinct()
-        links_of = tn.join(start.select("tree_index").distinct(), "tree_index", "left_semi")
-        start = start.join(tn.select(*KEY), KEY, "left_semi")
-    pairs = start.select("tree_index", F.col("node_id").alias("seed"), "node_id",
-                         F.lit(0).cast("long").alias("distance"))
-    for step, links in jumps(links_of):
-        here = F.struct(F.col("node_id"), F.col("distance"))
+        start = cut(_with_up(tn, seeds))
+        scope = tn.join(start.select("tree_index").distinct(), "tree_index", "left_semi")
+    zero = F.lit(0).cast("long")
+    above = start.where(F.col("up").isNotNull())
+    chains = above.select("tree_index", F.col("up").alias("first")).distinct().select(
+        "tree_index", "first", F.col("first").alias("node_id"), zero.alias("distance"))
+    for step, links in jumps(inner_links(scope)):
+        here = F.struct("node_id", "distance")
         there = F.struct(F.col("up").alias("node_id"),
                          (F.col("distance") + F.lit(step)).alias("distance"))
         hops = F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there))
-        pairs = pairs.join(links, KEY, "left").select(
-            "tree_index", "seed", F.explode(hops).alias("_h")
-        ).select("tree_index", "seed", "_h.node_id", "_h.distance")
-    return pairs if include_self else pairs.where(F.col("distance") > 0)
+        chains = chains.join(links, KEY, "left").select(
+            "tree_index", "first", F.explode(hops).alias("_h")
+        ).select("tree_index", "first", "_h.node_id", "_h.distance")
+    pairs = above.select("tree_index", F.col("node_id").alias("seed"), F.col("up").alias("first")
+                         ).join(chains, ["tree_index", "first"]).select(
+        "tree_index", "seed", "node_id", (F.col("distance") + 1).alias("distance"))
+    if not include_self:
+        return pairs
+    return start.select("tree_index", F.col("node_id").alias("seed"), "node_id",
+                        zero.alias("distance")).unionByName(pairs)
 
 
 def ancestors(placed: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -23,11 +23,19 @@ def with_sites(mutations: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def with_inherited_state(mutations: DataFrame) -> DataFrame:
-    """State before the mutation: its parent's derived state, else the ancestral one."""
-    ups = mutations.where(F.col("derived_state").isNotNull()).select(
-        F.col("id").alias("parent_id"), F.col("derived_state").alias("_up"))
-    return mutations.join(ups, "parent_id", "left").withColumn(
-        "inherited_state", F.coalesce("_up", "ancestral_state")).drop("_up")
+    """State before the mutation: its parent's derived state, else the ancestral one.
+
+    Most mutations have no parent; they stay out of the join, where they would
+    all meet on the NULL key.
+    """
+    ups = mutations.select(F.col("id").alias("parent_id"),
+                           F.col("derived_state").alias("inherited_state"))
+    first = mutations.where(F.col("parent_id").isNull()).withColumn(
+        "inherited_state", F.col("ancestral_state"))
+    later = mutations.where(F.col("parent_id").isNotNull()).join(
+        ups, "parent_id", "left").withColumn(
+        "inherited_state", F.coalesce("inherited_state", "ancestral_state"))
+    return first.unionByName(later)
 
 
 def with_tree(mutations: DataFrame, loc: Locator, bounds: bool = True) -> DataFrame:

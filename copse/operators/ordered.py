@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from copse.session import cut
 
 BLOCK = 65_536
-SINGLE_TASK_ROWS = 250_000
+SINGLE_TASK_ROWS = 20_000
 
 
 def global_rank(df: DataFrame, *order, out: str = "rank",

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from copse.operators import intervals as I, trees as T
-from copse.session import cut
+from copse.session import written
 
 
 class Collection(NamedTuple):
@@ -50,7 +50,7 @@ class Collection(NamedTuple):
 
     def written_nodes(self, trees=None, isolated: bool = True) -> DataFrame:
         """Tree nodes written once, for plans that read them several times."""
-        return cut(self.tree_nodes(trees, isolated))
+        return written(self.tree_nodes(trees, isolated), "tree-nodes")
 
     def time_range(self) -> DataFrame:
         """One row ``(t_min, t_max)`` over all nodes."""

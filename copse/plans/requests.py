@@ -10,7 +10,7 @@ from copse.functions import coordinates as C
 from copse.operators import (compare as CMP, intervals as I, layout as LAY, lineage as LIN,
                              metadata as MET, mutations as MUT, thinning as THN, trees as T)
 from copse.plans.collection import Collection
-from copse.session import cut
+from copse.session import written
 from copse.sources import sinks, summary
 
 
@@ -34,9 +34,10 @@ def placed_nodes(c: Collection, trees=None, scale: str | None = None,
     The compact node runs are written first: tree sizes come from them, and
     the exploded trees pass through once, into the layout.
     """
-    runs = cut(c.runs(isolated))
+    runs = written(c.runs(isolated), "node-runs")
     giants = LAY.giant_trees(T.run_counts(runs, c.loc))
-    return cut(LAY.layout(T.tree_nodes(runs, trees), c.time_range(), scale, giants=giants))
+    return written(LAY.layout(T.tree_nodes(runs, trees), c.time_range(), scale, giants=giants),
+                   "layout")
 
 
 def located_mutations(c: Collection, bounds: bool = False) -> DataFrame:
@@ -58,8 +59,9 @@ def layout_request(c: Collection, trees=None, scale: str | None = None, thin: bo
     on_trees = MUT.place(muts, placed, c.time_range(), scale)
     if not thin:
         return Layout(placed, on_trees)
-    nodes = cut(THN.thin_nodes(placed, multiplier=multiplier, box=box))
-    kept = THN.thin_mutations(THN.on_kept_nodes(on_trees, nodes), int(1.0 / mutation_cell))
+    nodes = written(THN.thin_nodes(placed, multiplier=multiplier, box=box), "thin-nodes")
+    shown = written(THN.on_kept_nodes(on_trees, nodes), "shown-mutations")
+    kept = THN.thin_mutations(shown, int(1.0 / mutation_cell))
     return Layout(nodes, kept)
 
 

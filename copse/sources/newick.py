@@ -332,7 +332,9 @@ def newick_nodes(rows: DataFrame, outgroup: str | None = OUTGROUP,
         if pending:
             yield frame(pending)
 
-    trees = rows.where(~X.is_blank(F.col("newick"))).select("tree_index", "newick")
+    # Spread by tree: numbered rows may sit in few partitions, and text is heavy.
+    trees = rows.where(~X.is_blank(F.col("newick"))).select("tree_index", "newick").repartition(
+        "tree_index")
     return trees.mapInPandas(explode, NEWICK_NODES)
 
 

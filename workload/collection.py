@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from copse.plans.collection import Collection, open_collection
+from copse.session import written
 
 LENGTH = 4000.0
 MIDDLE = 2500.0
@@ -98,13 +99,15 @@ def orders_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ship days per customer with the set of their (at most three) states."""
     items = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_returnflag")
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     flag = (F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1)
             .otherwise(2))
-    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        _day("l_shipdate").cast("long").alias("pos"), flag.cast("long").alias("code"),
-        F.col("l_returnflag").alias("derived_state"), F.col("o_custkey").alias("cust")).distinct()
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+        _day("l_shipdate").cast("long").alias("pos"), F.col("o_custkey").alias("cust")
+    ).agg(F.collect_set(F.struct(flag.cast("long").alias("code"),
+                                 F.col("l_returnflag").alias("state"))).alias("states"))
 
 
 def orders_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,21 +120,19 @@ def orders_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship = _shipments(spark, sf_dir)
+    one = _shipments(spark, sf_dir).select("pos", "cust", "states", F.explode("states").alias("s"))
     base = F.lit(100_000_000_000)
-    ident = (F.col("pos") * 4 + F.col("code")) * base + F.col("cust")
-    # Three codes exist, so an earlier state on the same day is found by hand:
-    # at most two candidates per row, no window over a busy day.
-    earlier = ship.groupBy("pos", "cust").agg(F.collect_set("code").alias("codes"))
-    joined = ship.join(earlier, ["pos", "cust"])
-    before = F.array_max(F.filter("codes", lambda c: c < F.col("code")))
-    when = F.when((F.col("cust") + F.col("pos")) % 5 != 0,
-                  (F.col("pos") % 31).cast("double"))
-    return joined.select(
-        ident.alias("id"), (F.col("pos") - 1000).alias("site_id"),
+    code = F.col("s.code")
+    earlier = F.array_max(F.transform(F.filter("states", lambda v: v["code"] < code),
+                                      lambda v: v["code"]))
+    time = F.when((F.col("cust") + F.col("pos")) % 5 != 0, (F.col("pos") % 31).cast("double"))
+    return one.select(
+        ((F.col("pos") * 4 + code) * base + F.col("cust")).alias("id"),
+        (F.col("pos") - 1000).alias("site_id"),
         (F.col("cust") + SAMPLE_BASE).cast("long").alias("node_id"),
-        ((F.col("pos") * 4 + before) * base + F.col("cust")).alias("parent_id"),
-        when.alias("time"), "derived_state", F.lit("{}").alias("metadata_json"))
+        ((F.col("pos") * 4 + earlier) * base + F.col("cust")).alias("parent_id"),
+        time.alias("time"), F.col("s.state").alias("derived_state"),
+        F.lit("{}").alias("metadata_json"))
 
 
 def orders_individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,15 +160,15 @@ _OPEN: dict[tuple[str, str], Collection] = {}
 
 
 def orders_collection(spark: SparkSession, sf_dir: str) -> Collection:
-    """The collection for one data folder.
+    """The collection for one data folder, derived and written once per application.
 
-    The breakpoint index (one row per month) is kept for the application, as
-    an opened file would be; every other table is read again by each query.
+    Queries then read Parquet tables, as they would read a collection of their own.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _OPEN:
-        _OPEN[key] = open_collection(
-            orders_nodes(spark, sf_dir), orders_edges(spark, sf_dir),
-            orders_sites(spark, sf_dir), orders_mutations(spark, sf_dir),
-            orders_individuals(spark, sf_dir), orders_populations(spark, sf_dir), LENGTH)
+        tables = {name: written(build(spark, sf_dir), name) for name, build in (
+            ("nodes", orders_nodes), ("edges", orders_edges), ("sites", orders_sites),
+            ("mutations", orders_mutations), ("individuals", orders_individuals),
+            ("populations", orders_populations))}
+        _OPEN[key] = open_collection(**tables, length=LENGTH)
     return _OPEN[key]

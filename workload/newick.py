@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from copse.operators import intervals as I
+from copse.session import written
 
 CHROM_ROWS = 4096
 
@@ -18,7 +19,18 @@ def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
 
 
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
 def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees of all orders, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = written(_order_trees(spark, sf_dir), "order-trees")
+    return _WRITTEN[key]
+
+
+def _order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(orderkey, newick, n_leaves, top)`` per order; at most seven leaves each."""
     leaf = F.struct(F.col("l_linenumber").alias("n"), F.col("q"))
     per_order = _leaves(spark, sf_dir).groupBy("l_orderkey").agg(
