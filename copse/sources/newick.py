@@ -36,7 +36,7 @@ ORDER = ("_file", "_block", "_line")
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """All columns as text, with input-order columns."""
-    raw = spark.read.option("header", True).option("sep", sep).option("multiLine", False).csv(path)
+    raw = spark.read.options(header=True, sep=sep, escape='"').csv(path)
     missing = [c for c in REQUIRED if c not in raw.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")

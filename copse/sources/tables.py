@@ -32,7 +32,7 @@ def load_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet"
     if fmt == "csv":
         flat = [f for f in schema if f.dataType.typeName() != "array"]
         from pyspark.sql.types import StructType
-        raw = spark.read.option("header", True).option("enforceSchema", False).schema(
+        raw = spark.read.options(header=True, enforceSchema=False, escape='"').schema(
             StructType(flat)).csv(f"{folder}/{name}.csv")
         return _nulls(raw.select(*[
             (F.col(f.name) if f in flat else F.lit(None).cast(f.dataType)).alias(f.name)
