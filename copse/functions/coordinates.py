@@ -29,6 +29,12 @@ def _clip(c: Column, low, high) -> Column:
                    F.lit(high) if not isinstance(high, Column) else high)
 
 
+def bounds(time_range) -> tuple[Column, Column]:
+    """``(t_min, t_max)`` of a one-row frame, both from the same scalar subquery."""
+    row = time_range.select(F.struct("t_min", "t_max")).scalar()
+    return row["t_min"], row["t_max"]
+
+
 def time_to_y(time: Column, t_min: Column, t_max: Column, scale: str | None = None) -> Column:
     """1 at the youngest time, 0 at the oldest; 1 everywhere without a time range."""
     span = t_max.cast("double") - t_min.cast("double")

@@ -188,10 +188,9 @@ def decimate(points: DataFrame, lo: Column, hi: Column, max_points: int = 2000)
     if max_points < 1:
         raise ValueError("max_points must be at least 1")
     seen = points.where((F.col("i") >= lo) & (F.col("i") < hi))
-    stats = seen.agg(F.count("*").alias("n"), F.min("i").alias("base"))
-    step = F.greatest(F.lit(1), F.ceil(stats.select("n").scalar() / F.lit(max_points)))
-    offset = F.col("i") - stats.select("base").scalar()
-    return seen.where(F.pmod(offset, step) == 0)
+    stats = seen.agg(F.struct(F.count("*").alias("n"), F.min("i").alias("base"))).scalar()
+    step = F.greatest(F.lit(1), F.ceil(stats["n"] / F.lit(max_points)))
+    return seen.where(F.pmod(F.col("i") - stats["base"], step) == 0)
 
 
 def visible_breakpoints(intervals: DataFrame, start: float, end: float,
@@ -199,8 +198,8 @@ def visible_breakpoints(intervals: DataFrame, start: float, end: float,
     """Breakpoints of the trees overlapping ``[start, end)``, decimated."""
     hit = trees_in_range(intervals, start, end).agg(
         F.min("tree_index").alias("lo"), (F.max("tree_index") + 2).alias("hi"))
-    return decimate(indexed_breakpoints(intervals), hit.select("lo").scalar(),
-                    hit.select("hi").scalar(), max_points)
+    view = hit.select(F.struct("lo", "hi")).scalar()
+    return decimate(indexed_breakpoints(intervals), view["lo"], view["hi"], max_points)
 
 
 def tree_bins(intervals: DataFrame, start: float, end: float) -> DataFrame:
@@ -265,11 +264,11 @@ def representatives(slotted: DataFrame, start: float, scale: float,
 
 def show_all(bins: DataFrame, start: float, end: float, bp_per_unit: float) -> DataFrame:
     """Every tree in its own slot of equal width, 90 % of it filled."""
-    stats = bins.agg(F.count("*").alias("n"), F.min("tree_index").alias("base"))
-    n = stats.select("n").scalar()
+    stats = bins.agg(F.struct(F.count("*").alias("n"), F.min("tree_index").alias("base"))).scalar()
+    n = stats["n"]
     width = F.lit(float(end) - float(start)) / n
     tree_width = F.lit((float(end) - float(start)) / float(bp_per_unit)) / n * F.lit(0.9)
-    slot = F.col("tree_index") - stats.select("base").scalar()
+    slot = F.col("tree_index") - stats["base"]
     centre = F.lit(float(start)) + (slot + F.lit(0.5)) * width
     return bins.select(
         "*", slot.alias("slot"), F.lit(1).cast("long").alias("group_size"),

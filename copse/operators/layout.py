@@ -18,6 +18,7 @@ from pyspark.sql.types import FloatType, StructField, StructType
 
 from copse.functions import coordinates as C
 from copse.operators.ordered import SINGLE_TASK_ROWS, global_rank
+from copse.operators.skew import spread_join
 from copse.session import cut
 
 KERNEL_NODES = 500_000
@@ -230,22 +231,22 @@ def _joined_x(shape: DataFrame, single_task_rows: int) -> DataFrame:
 def layout(tn: DataFrame, time_range: DataFrame, scale: str | None = None,
            **options) -> DataFrame:
     """Tree nodes with ``x`` and ``y``; ``time_range`` is one row (t_min, t_max)."""
-    y = C.time_to_y(F.col("time"), time_range.select("t_min").scalar(),
-                    time_range.select("t_max").scalar(), scale)
+    y = C.time_to_y(F.col("time"), *C.bounds(time_range), scale)
     return layout_x(tn, **options).withColumn("y", y)
 
 
 def with_parent(placed: DataFrame, columns=("x", "y"), how: str = "left") -> DataFrame:
     """Add ``parent_<column>`` of each node's parent in the same tree.
 
-    Only nodes that have children are on the lookup side, one row per (tree,
-    node). A parent of very many children is one such row, and adaptive
-    execution splits the side that holds its children.
+    Parents know how many children will look them up, so very large families
+    are spread over several tasks.
     """
-    ups = placed.where(F.col("n_children") > 0).select(
-        "tree_index", F.col("node_id").alias("parent_id"),
-        *[F.col(c).alias(f"parent_{c}") for c in columns])
-    return placed.join(ups, ["tree_index", "parent_id"], how)
+    ups = placed.where(F.col("n_children") > 0)
+    table = ups.select("tree_index", F.col("node_id").alias("parent_id"),
+                       *[F.col(c).alias(f"parent_{c}") for c in columns])
+    counts = ups.select("tree_index", F.col("node_id").alias("parent_id"), "n_children")
+    return spread_join(placed, table, ["tree_index", "parent_id"], counts, "n_children",
+                       "node_id", how)
 
 
 def elbows(placed: DataFrame, scale_x: float = 1.0, translate_x: float = 0.0) -> DataFrame:

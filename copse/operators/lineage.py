@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
+from copse.operators.skew import spread_join
 from copse.session import cut
 
 KEY = ["tree_index", "node_id"]
@@ -77,8 +78,10 @@ def ancestor_pairs(tn: DataFrame, seeds: DataFrame | None = None,
         scope = tn.join(start.select("tree_index").distinct(), "tree_index", "left_semi")
     zero = F.lit(0).cast("long")
     above = start.where(F.col("up").isNotNull())
-    chains = above.select("tree_index", F.col("up").alias("first")).distinct().select(
-        "tree_index", "first", F.col("first").alias("node_id"), zero.alias("distance"))
+    families = cut(above.groupBy("tree_index", F.col("up").alias("first")).agg(
+        F.count("*").alias("n")))
+    chains = families.select("tree_index", "first", F.col("first").alias("node_id"),
+                             zero.alias("distance"))
     for step, links in jumps(inner_links(scope)):
         here = F.struct("node_id", "distance")
         there = F.struct(F.col("up").alias("node_id"),
@@ -87,8 +90,8 @@ def ancestor_pairs(tn: DataFrame, seeds: DataFrame | None = None,
         chains = chains.join(links, KEY, "left").select(
             "tree_index", "first", F.explode(hops).alias("_h")
         ).select("tree_index", "first", "_h.node_id", "_h.distance")
-    pairs = above.select("tree_index", F.col("node_id").alias("seed"), F.col("up").alias("first")
-                         ).join(chains, ["tree_index", "first"]).select(
+    rows = above.select("tree_index", F.col("node_id").alias("seed"), F.col("up").alias("first"))
+    pairs = spread_join(rows, chains, ["tree_index", "first"], families, "n", "seed").select(
         "tree_index", "seed", "node_id", (F.col("distance") + 1).alias("distance"))
     if not include_self:
         return pairs

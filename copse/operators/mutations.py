@@ -107,7 +107,7 @@ def place(mutations: DataFrame, placed: DataFrame, time_range: DataFrame,
     ``mutations`` carry ``tree_index``; ``placed`` is a layout. With an unknown
     time, y is the mean of the node's y and its parent's (0 at a root).
     """
-    t_min, t_max = (time_range.select(c).scalar() for c in ("t_min", "t_max"))
+    t_min, t_max = C.bounds(time_range)
     times = placed.where(F.col("n_children") > 0).select(
         "tree_index", F.col("node_id").alias("_parent"), F.col("time").alias("_ptime"))
     nodes = placed.select("tree_index", "node_id", "x", F.col("time").alias("_ntime"),

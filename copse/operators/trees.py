@@ -157,30 +157,34 @@ def is_unary() -> Column:
     return (F.col("n_children") == 1) & F.col("parent_id").isNotNull()
 
 
-def tree_statistics(timed_spans: DataFrame, node_runs: DataFrame, loc: Locator) -> DataFrame:
+def tree_statistics(node_runs: DataFrame, loc: Locator) -> DataFrame:
     """Oldest root, total branch length and number of roots of every tree.
 
-    Nothing is exploded but the roots: branch lengths are summed per first and
-    last tree of a span and accumulated along the genome.
+    Read from node runs alone: summed over edges, parent minus child times is
+    each node's time once per child less once for its own parent. Sums are
+    taken per first and last tree of a run and accumulated along the genome.
+    Roots are reduced to their oldest per run before runs become trees.
     """
-    length = F.col("parent_time") - F.col("child_time")
-    ends = fold_changes(timed_spans, [], "first_tree", "last_tree",
-                        {"length": length, "edges": F.lit(1)})
-    every = loc.intervals.select("tree_index", F.lit(0.0).alias("length"),
-                                 F.lit(0).cast("long").alias("edges"))
-    dense = (ends.unionByName(every).groupBy("tree_index")
-             .agg(F.sum("length").alias("length"), F.sum("edges").alias("edges")))
-    totals = segments(dense, [], "tree_index", ["length", "edges"], loc.n_trees + 1).select(
-        "tree_index", F.when(F.col("cum_edges") > 0, F.greatest(F.col("cum_length"), F.lit(0.0)))
-        .otherwise(F.lit(0.0)).alias("total_branch_length"))
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    ends = fold_changes(node_runs, [], "first_tree", "last_tree", {
+        "length": F.col("time") * (F.col("n_children") - F.col("n_parents")),
+        "edges": F.col("n_parents"), "roots": (F.col("n_parents") == 0).cast("long")})
+    every = loc.intervals.select("tree_index", none.alias("length"), zero.alias("edges"),
+                                 zero.alias("roots"))
+    dense = ends.unionByName(every).groupBy("tree_index").agg(
+        F.sum("length").alias("length"), F.sum("edges").alias("edges"),
+        F.sum("roots").alias("roots"))
+    totals = segments(dense, [], "tree_index", ["length", "edges", "roots"], loc.n_trees + 1)
+    length = F.when(F.col("cum_edges") > 0, F.greatest(F.col("cum_length"), none)).otherwise(none)
     tops = explode_spans(node_runs.where(F.col("n_parents") == 0)
-                         .select("node_id", "time", "first_tree", "last_tree"))
-    per_tree = tops.groupBy("tree_index").agg(F.max("time").alias("root_time"),
-                                              F.count("*").alias("n_roots"))
-    return (loc.intervals.join(totals, "tree_index").join(per_tree, "tree_index", "left")
-            .select("tree_index", "left", "right",
-                    F.coalesce("root_time", F.lit(0.0)).alias("root_time"),
-                    "total_branch_length", F.coalesce("n_roots", F.lit(0)).alias("n_roots")))
+                         .groupBy("first_tree", "last_tree").agg(F.max("time").alias("time")))
+    oldest = tops.groupBy("tree_index").agg(F.max("time").alias("root_time"))
+    return (loc.intervals
+            .join(totals.select("tree_index", length.alias("total_branch_length"),
+                                F.col("cum_roots").alias("n_roots")), "tree_index")
+            .join(oldest, "tree_index", "left")
+            .select("tree_index", "left", "right", F.coalesce("root_time", none).alias("root_time"),
+                    "total_branch_length", "n_roots"))
 
 
 def pick_trees(tn: DataFrame, requested: list[int], n_trees: int | None = None,

@@ -38,10 +38,6 @@ class Collection(NamedTuple):
         """Node runs; with ``isolated`` samples count as members of every tree."""
         return T.node_spans(self.spans, self.nodes, self.loc.n_trees, isolated)
 
-    @property
-    def timed_spans(self) -> DataFrame:
-        return T.with_times(self.spans, self.nodes)
-
     def tree_edges(self, trees=None) -> DataFrame:
         return T.tree_edges(self.spans, trees)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from copse.operators.trees import with_times
 from copse.schemas import TABLES
 
 REQUIRED = ("nodes", "edges", "sites", "mutations", "individuals", "populations")
@@ -57,10 +58,8 @@ def integrity_report(nodes: DataFrame, edges: DataFrame, sites: DataFrame, mutat
     points = intervals.select(F.explode(F.array("left", "right")).alias("p")).distinct()
     ends = edges.select(F.explode(F.array("left", "right")).alias("p"))
     off = ends.join(points, "p", "left_anti").agg(F.count("*").alias("n_bad"))
-    times = nodes.select("id", "time")
-    ages = (edges.join(times.select(F.col("id").alias("child"), F.col("time").alias("_c")), "child")
-            .join(times.select(F.col("id").alias("parent"), F.col("time").alias("_p")), "parent")
-            .agg(F.count_if(F.col("_p") <= F.col("_c")).alias("n_bad")))
+    ages = with_times(edges, nodes).agg(
+        F.count_if(F.col("parent_time") <= F.col("child_time")).alias("n_bad"))
     checks = {
         "edge child in nodes": orphans(edges, "child", ids),
         "edge parent in nodes": orphans(edges, "parent", ids),

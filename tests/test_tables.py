@@ -83,7 +83,7 @@ def test_boundary_schemas(spark, two_trees):
 
 def test_bed(two_trees):
     from copse.operators import trees as T
-    stats = T.tree_statistics(two_trees.timed_spans, two_trees.runs(), two_trees.loc)
+    stats = T.tree_statistics(two_trees.runs(), two_trees.loc)
     got = [r.value for r in bed.lines(bed.tree_bed(stats, "total_branch_length")).collect()]
     assert sorted(got) == ["chr1\t0\t10\ttree_0\t714\t.\t0\t10\t182,182,182",
                            "chr1\t10\t20\ttree_1\t1000\t.\t10\t20\t255,255,255"]

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from copse.operators import layout as LAY, lineage as LIN, mutations as MUT, trees as T
+from copse.operators import layout as LAY, lineage as LIN, mutations as MUT, skew, trees as T
 from copse.plans import requests as R
 from copse.plans.collection import open_collection
 from tests import trees_by_hand as hand
@@ -14,7 +14,7 @@ def test_membership_and_roots(two_trees):
                      (1, 0): 4, (1, 2): 4, (1, 4): None, (1, 6): 5, (1, 5): None}
     runs = sorted(tuple(r) for r in T.membership_ranges(c.runs(), 2).collect())
     assert runs == [(0, 0, 2), (2, 0, 2), (3, 0, 1), (4, 1, 2), (5, 0, 2), (6, 0, 2)]
-    stats = [tuple(r) for r in T.tree_statistics(c.timed_spans, c.runs(), c.loc)
+    stats = [tuple(r) for r in T.tree_statistics(c.runs(), c.loc)
              .orderBy("tree_index").collect()]
     assert stats == [(0, 0, 10, 3.0, 5.0, 2), (1, 10, 20, 3.0, 7.0, 2)]
 
@@ -174,3 +174,15 @@ def test_comparison(two_trees):
     assert sorted((r.change, r.parent, r.child) for r in out) == [
         ("inserted", 4, 0), ("inserted", 4, 2), ("removed", 3, 0), ("removed", 3, 2)]
     assert all(r.parent_y == pytest.approx(1 - (2 if r.change == "inserted" else 1) / 50) for r in out)
+
+
+def test_hot_keys_are_spread(spark, forest, monkeypatch):
+    tn = hand.frame(spark, forest).cache()
+    plain = {tuple(r) for r in LIN.ancestor_pairs(tn).collect()}
+    ups = {(r.tree_index, r.node_id, r.parent_time) for r in LAY.with_parent(tn, ["time"]).collect()}
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    spread = LIN.ancestor_pairs(tn)
+    assert "_salt" in spread._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in spread.collect()} == plain
+    again = LAY.with_parent(tn, ["time"]).collect()
+    assert {(r.tree_index, r.node_id, r.parent_time) for r in again} == ups and len(again) == len(ups)

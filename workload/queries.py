@@ -233,7 +233,7 @@ st AS MATERIALIZED (SELECT iv.tree_index, lft, rgt,
     FROM (SELECT *, max(total_branch_length) OVER () AS t,
           round_even(255.0 * (total_branch_length / max(total_branch_length) OVER ()), 0)::BIGINT AS g FROM st)""", STATS))
 def _(c):
-    stats = T.tree_statistics(c.timed_spans, c.runs(), c.loc)
+    stats = T.tree_statistics(c.runs(), c.loc)
     return bed.lines(bed.tree_bed(stats, "total_branch_length"))
 
 
@@ -339,8 +339,8 @@ def _(spark, sf_dir):
     SELECT i, p AS position FROM seen WHERE o % greatest(1, ceil(n / 2000.0)::BIGINT) = 0""", VIEW))
 def _(spark, sf_dir):
     points = I.indexed_breakpoints(_newick_intervals(spark, sf_dir))
-    view = I.viewport_bounds(points, NSTART, NEND)
-    return I.decimate(points, view.select("lo").scalar(), view.select("hi").scalar())
+    view = I.viewport_bounds(points, NSTART, NEND).first()
+    return I.decimate(points, F.lit(view["lo"]), F.lit(view["hi"]))
 
 
 @query("int10_breakpoints_in_range", O.trees("""
@@ -485,8 +485,7 @@ def _(c):
 
 
 def _range(c) -> tuple[Column, Column]:
-    t = c.time_range()
-    return t.select("t_min").scalar(), t.select("t_max").scalar()
+    return C.bounds(c.time_range())
 
 
 @query("tre10_time_to_y", O.trees("""
@@ -551,7 +550,7 @@ def _(c):
     SELECT tree_index, lft AS interval_left, rgt AS interval_right, root_time,
            round(total_branch_length, 6) AS total_branch_length, n_roots FROM st""", STATS))
 def _(c):
-    s = T.tree_statistics(c.timed_spans, c.runs(), c.loc)
+    s = T.tree_statistics(c.runs(), c.loc)
     return s.select("tree_index", F.col("left").alias("interval_left"),
                     F.col("right").alias("interval_right"), "root_time",
                     num("total_branch_length").alias("total_branch_length"), "n_roots")
