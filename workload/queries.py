@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,8 +13,9 @@ from copse.operators import (compare as CMP, details as DET, intervals as I, lay
                              topology as TOP, trees as T)
 from copse.plans import requests as R
 from copse.plans.collection import Collection
-from copse.session import cut
+from copse.session import checkpoint_dir, cut
 from copse.sources import bed, newick as N, sinks, summary, tables
+from copse.streaming import landing
 from workload import newick as ON, oracle as O
 from workload.collection import LENGTH, orders_collection
 
@@ -647,6 +649,19 @@ def _(c):
     return THN.cell_winners(THN.edge_cells(R.placed_nodes(c, isolated=False)))
 
 
+@query("thn03_direction_bins", O.placed("""
+    , flat AS (SELECT * REPLACE (CASE WHEN is_tip THEN 1.0::REAL ELSE x END AS x) FROM placed),
+    e AS (SELECT a.tree_index, a.node_id, ((a.x + b.x)::REAL)::DOUBLE / 2 AS mx, ((a.y + b.y)::REAL)::DOUBLE / 2 AS my,
+          b.x - a.x AS dx, b.y - a.y AS dy FROM flat a JOIN flat b ON b.tree_index = a.tree_index AND b.node_id = a.parent_id)
+    SELECT tree_index, node_id, least(trunc(mx * res)::BIGINT, res - 1) AS cx, least(trunc(my * res)::BIGINT, res - 1) AS cy,
+      ((dx >= 0)::INT + 2 * (dy >= 0)::INT + 4 * (abs(dy) > abs(dx))::INT)::INT AS direction FROM e JOIN cell USING (tree_index)""",
+    CELL, isolated=False))
+def _(c):
+    flat = R.placed_nodes(c, isolated=False).withColumn(
+        "x", F.when(F.col("is_tip"), F.lit(1.0).cast("float")).otherwise(F.col("x")))
+    return THN.edge_cells(flat).drop("inside")
+
+
 @query("thn04_kept_closure", O.placed("SELECT tree_index, node_id FROM kept", CELL, GRID, PLAIN_KEY,
                                       WINNERS, KEPT, isolated=False))
 def _(c):
@@ -824,6 +839,19 @@ def _(c):
     return LIN.descendants(c.written_nodes(), of).select("tree_index", "node_id", "distance")
 
 
+KEYS = """
+tk AS MATERIALIZED (SELECT k AS orderkey, CASE WHEN max(nl) = 1 THEN max('S' || n)
+   ELSE string_agg(CASE WHEN j < nl THEN '(' ELSE '' END || 'S' || n, ',' ORDER BY n) || repeat(')', max(nl)::INT - 1) END AS shape0
+   FROM lvr GROUP BY k),
+-- children of a ladder step: a leaf and a group; '(' sorts before letters
+lad(orderkey, j, enc) AS (
+  SELECT k, nl, 'S' || n FROM lvr WHERE j = nl
+  UNION ALL
+  SELECT l.k, l.j, CASE WHEN lad.enc < 'S' || l.n THEN '(' || lad.enc || ',S' || l.n || ')' ELSE '(S' || l.n || ',' || lad.enc || ')' END
+  FROM lad JOIN lvr l ON l.k = lad.orderkey AND l.j = lad.j - 1),
+canon AS MATERIALIZED (SELECT orderkey, enc AS topology FROM lad WHERE j = 1)
+"""
+
 # ---- comparison and topology ---------------------------------------------
 
 CHANGES = """
@@ -903,18 +931,6 @@ def _keyed_windows(spark, sf_dir) -> DataFrame:
     return TOP.shape_keys(N.windows(ON.window_table(spark, sf_dir)))
 
 
-KEYS = """
-tk AS MATERIALIZED (SELECT k AS orderkey, CASE WHEN max(nl) = 1 THEN max('S' || n)
-   ELSE string_agg(CASE WHEN j < nl THEN '(' ELSE '' END || 'S' || n, ',' ORDER BY n) || repeat(')', max(nl)::INT - 1) END AS shape0
-   FROM lvr GROUP BY k),
--- children of a ladder step: a leaf and a group; '(' sorts before letters
-lad(orderkey, j, enc) AS (
-  SELECT k, nl, 'S' || n FROM lvr WHERE j = nl
-  UNION ALL
-  SELECT l.k, l.j, CASE WHEN lad.enc < 'S' || l.n THEN '(' || lad.enc || ',S' || l.n || ')' ELSE '(S' || l.n || ',' || lad.enc || ')' END
-  FROM lad JOIN lvr l ON l.k = lad.orderkey AND l.j = lad.j - 1),
-canon AS MATERIALIZED (SELECT orderkey, enc AS topology FROM lad WHERE j = 1)
-"""
 
 
 @raw_query("cmp04_topology_keys", O.newick("""
@@ -1229,12 +1245,14 @@ def _(c):
                     C.sentinels(F.col("parent_mutation")).alias("parent_mutation"))
 
 
-@query("mut04_on_node_in_tree", O.trees("""
-    SELECT id, position FROM muts WHERE node_id = 107 AND position >= (SELECT lft FROM iv WHERE tree_index = 30)
-      AND position < (SELECT rgt FROM iv WHERE tree_index = 30)""", O.MUTS))
+@query("mut04_on_node_in_range", O.trees("""
+    SELECT id, position FROM muts WHERE node_id = 107
+      AND position >= (SELECT min(lft) FROM iv WHERE rgt > 1500 AND lft < 2500)
+      AND position < (SELECT max(rgt) FROM iv WHERE rgt > 1500 AND lft < 2500)""", O.MUTS))
 def _(c):
-    rows = MUT.with_sites(c.mutations, c.sites)
-    return MUT.on_node(rows, 107, I.interval_of_tree(c.intervals, 30)).select("id", "position")
+    bounds = I.trees_in_range(c.intervals, START, END).agg(F.min("left").alias("left"),
+                                                           F.max("right").alias("right"))
+    return MUT.on_node(MUT.with_sites(c.mutations, c.sites), 107, bounds).select("id", "position")
 
 
 @query("mut05_edges_of_nodes", O.trees("""
@@ -1279,6 +1297,44 @@ def _(spark, sf_dir):
                                             F.coalesce("tree_info", F.lit("-")).alias("tree_info"))
 
 
+@raw_query("src03_paired_lines", O.newick("""
+    SELECT tree_index, newick, position AS interval_left, coalesce(lead(position) OVER (ORDER BY position), position + 10000)
+      AS interval_right FROM rows0"""))
+def _(spark, sf_dir):
+    rows = _tree_rows(spark, sf_dir).repartitionByRange("position").sortWithinPartitions("position")
+    folder = f"{checkpoint_dir(spark)}/paired-{uuid4().hex}"
+    rows.select(F.col("newick").alias("value")).write.text(f"{folder}/trees")
+    rows.select(F.col("position").cast("long").cast("string").alias("value")).write.text(
+        f"{folder}/positions")
+    return N.read_paired(spark, f"{folder}/trees", f"{folder}/positions").select(
+        "tree_index", "newick", F.col("left").alias("interval_left"),
+        F.col("right").alias("interval_right"))
+
+
+EDGE_ROWS = O.trees("SELECT id, lft AS edge_left, rgt AS edge_right, parent, child FROM edges")
+
+
+def _edge_rows(edges: DataFrame) -> DataFrame:
+    return edges.select("id", F.col("left").alias("edge_left"), F.col("right").alias("edge_right"),
+                        "parent", "child")
+
+
+@query("src01_loaded_edges", EDGE_ROWS)
+def _(c):
+    folder = f"{checkpoint_dir(c.spark)}/tables-{uuid4().hex}"
+    c.edges.write.parquet(f"{folder}/edges.parquet")
+    return _edge_rows(tables.load_table(c.spark, folder, "edges"))
+
+
+@query("src07_landed_edges", EDGE_ROWS)
+def _(c):
+    folder = f"{checkpoint_dir(c.spark)}/landing-{uuid4().hex}"
+    c.edges.write.parquet(f"{folder}/inbox")
+    stream = landing.landing_stream(c.spark, f"{folder}/inbox", "edges")
+    landing.append_table(stream, f"{folder}/table", "edges", f"{folder}/offsets").awaitTermination()
+    return _edge_rows(c.spark.read.parquet(f"{folder}/table"))
+
+
 @raw_query("src04_windows", O.newick("""
     SELECT chrom, idx, start_bp, end_bp, newick FROM win""", O.WINDOWS))
 def _(spark, sf_dir):
@@ -1335,6 +1391,23 @@ def _(spark, sf_dir):
     return N.newick_x(tree).select("tree_index", F.col("node_id").alias("postorder"), num("x").alias("x"))
 
 
+@raw_query("tre22_without_outgroup", O.newick("""
+    , big AS (SELECT k FROM lvr WHERE n = 7),
+    back(orderkey, j, enc) AS (
+      SELECT k, 1, 'S' || n FROM lvr WHERE j = 1 AND nl > 1 AND k IN (SELECT k FROM big)
+      UNION ALL
+      SELECT l.k, l.j, CASE WHEN back.enc < 'S' || l.n THEN '(' || back.enc || ',S' || l.n || ')'
+                            ELSE '(S' || l.n || ',' || back.enc || ')' END
+      FROM back JOIN lvr l ON l.k = back.orderkey AND l.j = back.j + 1 WHERE l.j < l.nl),
+    done AS (SELECT orderkey, arg_max(enc, j) AS enc FROM back GROUP BY ALL)
+    SELECT tree_index, CASE WHEN orderkey NOT IN (SELECT k FROM big) THEN canon.topology
+      ELSE coalesce(done.enc, '') END AS topology
+    FROM rows0 JOIN canon USING (orderkey) LEFT JOIN done USING (orderkey)""", KEYS))
+def _(spark, sf_dir):
+    rows = _tree_rows(spark, sf_dir).select("tree_index", "newick")
+    return TOP.topology_keys(rows, outgroup="s7").select("tree_index", "topology")
+
+
 @raw_query("tre23_node_heights", O.newick("""
     SELECT tree_index, postorder::BIGINT AS postorder, h AS height, h - root_distance AS node_height FROM nn JOIN th USING (tree_index)""", HEIGHTS))
 def _(spark, sf_dir):
