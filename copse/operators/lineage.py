@@ -63,25 +63,10 @@ def ancestor_closure(tn: DataFrame, seeds: DataFrame) -> DataFrame:
     return start.select(*KEY).unionByName(reached).distinct()
 
 
-def ancestor_pairs(tn: DataFrame, seeds: DataFrame | None = None,
-                   include_self: bool = True) -> DataFrame:
-    """``(tree_index, seed, node_id, distance)``: each seed with all its ancestors.
-
-    Without seeds every node is one. Chains are built once per distinct parent
-    of a seed and only in trees that have seeds; the seeds themselves take part
-    in a single join.
-    """
-    if seeds is None:
-        start, scope = tn.select(*KEY, F.col("parent_id").alias("up")), tn
-    else:
-        start = cut(_with_up(tn, seeds))
-        scope = tn.join(start.select("tree_index").distinct(), "tree_index", "left_semi")
-    zero = F.lit(0).cast("long")
-    above = start.where(F.col("up").isNotNull())
-    families = cut(above.groupBy("tree_index", F.col("up").alias("first")).agg(
-        F.count("*").alias("n")))
+def _chains(families: DataFrame, scope: DataFrame) -> DataFrame:
+    """``(tree_index, first, node_id, distance)``: each ``first`` and its ancestors."""
     chains = families.select("tree_index", "first", F.col("first").alias("node_id"),
-                             zero.alias("distance"))
+                             F.lit(0).cast("long").alias("distance"))
     for step, links in jumps(inner_links(scope)):
         here = F.struct("node_id", "distance")
         there = F.struct(F.col("up").alias("node_id"),
@@ -90,13 +75,42 @@ def ancestor_pairs(tn: DataFrame, seeds: DataFrame | None = None,
         chains = chains.join(links, KEY, "left").select(
             "tree_index", "first", F.explode(hops).alias("_h")
         ).select("tree_index", "first", "_h.node_id", "_h.distance")
-    rows = above.select("tree_index", F.col("node_id").alias("seed"), F.col("up").alias("first"))
-    pairs = spread_join(rows, chains, ["tree_index", "first"], families, "n", "seed").select(
+    return chains
+
+
+def _seeded(tn: DataFrame, seeds: DataFrame | None):
+    """Seeds with their parent, parents with their number of seeds, trees to follow."""
+    if seeds is None:
+        start, scope = tn.select(*KEY, F.col("parent_id").alias("up")), tn
+    else:
+        start = cut(_with_up(tn, seeds))
+        scope = tn.join(start.select("tree_index").distinct(), "tree_index", "left_semi")
+    families = cut(start.where(F.col("up").isNotNull()).groupBy(
+        "tree_index", F.col("up").alias("first")).agg(F.count("*").alias("n")))
+    return start, families, scope
+
+
+def _spread_over(start: DataFrame, families: DataFrame, chains: DataFrame) -> DataFrame:
+    """Each seed beside the chain of its parent, in a single join."""
+    rows = start.where(F.col("up").isNotNull()).select(
+        "tree_index", F.col("node_id").alias("seed"), F.col("up").alias("first"))
+    return spread_join(rows, chains, ["tree_index", "first"], families, "n", "seed")
+
+
+def ancestor_pairs(tn: DataFrame, seeds: DataFrame | None = None,
+                   include_self: bool = True) -> DataFrame:
+    """``(tree_index, seed, node_id, distance)``: each seed with all its ancestors.
+
+    Without seeds every node is one. Chains are built once per distinct parent
+    of a seed and only in trees that have seeds.
+    """
+    start, families, scope = _seeded(tn, seeds)
+    pairs = _spread_over(start, families, _chains(families, scope)).select(
         "tree_index", "seed", "node_id", (F.col("distance") + 1).alias("distance"))
     if not include_self:
         return pairs
     return start.select("tree_index", F.col("node_id").alias("seed"), "node_id",
-                        zero.alias("distance")).unionByName(pairs)
+                        F.lit(0).cast("long").alias("distance")).unionByName(pairs)
 
 
 def ancestors(placed: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -137,15 +151,16 @@ def descendants(tn: DataFrame, of: DataFrame, tips_only: bool = False) -> DataFr
 
 
 def descendant_counts(tn: DataFrame) -> DataFrame:
-    """Number of descendants and of tips below every node of every tree.
+    """Number of descendants and of tips below every inner node of every tree.
 
-    Counted over ancestor pairs with partial sums before the shuffle.
+    Children are counted per parent first; the counts then follow the chains of
+    the parents, so pairs of single nodes are never made.
     """
-    tips = tn.where("is_tip").select("tree_index", F.col("node_id").alias("seed"),
-                                     F.lit(1).alias("_tip"))
-    pairs = ancestor_pairs(tn, include_self=False).join(tips, ["tree_index", "seed"], "left")
-    return pairs.groupBy(*KEY).agg(F.count("*").alias("n_descendants"),
-                                   F.count("_tip").alias("n_tips"))
+    families = cut(tn.where(F.col("parent_id").isNotNull()).groupBy(
+        "tree_index", F.col("parent_id").alias("first")).agg(
+        F.count("*").alias("n"), F.count_if("is_tip").alias("tips")))
+    return _chains(families, tn).join(families, ["tree_index", "first"]).groupBy(*KEY).agg(
+        F.sum("n").alias("n_descendants"), F.sum("tips").alias("n_tips"))
 
 
 def search_nodes(placed: DataFrame, min_time=None, max_time=None, min_y=None, max_y=None,
@@ -189,9 +204,14 @@ def common_ancestor(tn: DataFrame, seeds: DataFrame, oldest: bool = False) -> Da
     root. The youngest one by default, the oldest with ``oldest=True``. Trees
     need two seeds or more.
     """
-    asked = seeds.select(*KEY).distinct()
-    wanted = asked.groupBy("tree_index").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
-    shared = ancestor_pairs(tn, asked).groupBy(*KEY).agg(F.count("*").alias("hits"))
+    start, families, scope = _seeded(tn, seeds)
+    wanted = seeds.select(*KEY).distinct().groupBy("tree_index").agg(
+        F.count("*").alias("n")).where(F.col("n") >= 2)
+    # Seeds reach a node through the chains of their parents, or are it.
+    reached = _chains(families, scope).join(families, ["tree_index", "first"]).select(
+        *KEY, F.col("n").alias("hits")).unionByName(
+        start.select(*KEY, F.lit(1).cast("long").alias("hits")))
+    shared = reached.groupBy(*KEY).agg(F.sum("hits").alias("hits"))
     candidates = shared.join(wanted, "tree_index").where(F.col("hits") == F.col("n"))
     timed = candidates.join(tn.select(*KEY, "time"), KEY)
     pick = (F.max if oldest else F.min)(F.struct("time", "node_id"))
@@ -206,10 +226,16 @@ def lineage_steps(tn: DataFrame, seeds: DataFrame) -> DataFrame:
     Step 0 is the root. Seeds that are roots have no path. Other columns of
     ``seeds`` (a colour, a name) are carried along.
     """
-    pairs = ancestor_pairs(tn, seeds)
-    depth = pairs.groupBy("tree_index", "seed").agg(F.max("distance").alias("depth"))
-    rows = pairs.join(depth.where(F.col("depth") > 0), ["tree_index", "seed"]).select(
-        "tree_index", "seed", (F.col("depth") - F.col("distance")).alias("step"), "node_id")
+    start, families, scope = _seeded(tn, seeds)
+    chains = _chains(families, scope)
+    depth = chains.groupBy("tree_index", "first").agg(F.max("distance").alias("depth"))
+    stepped = chains.join(depth, ["tree_index", "first"]).select(
+        "tree_index", "first", "node_id", "depth", (F.col("depth") - F.col("distance")).alias("step"))
+    above = _spread_over(start, families, stepped)
+    # The seed itself comes last, one step below its parent.
+    own = above.where(F.col("step") == F.col("depth")).select(
+        "tree_index", "seed", (F.col("step") + 1).alias("step"), F.col("seed").alias("node_id"))
+    rows = above.select("tree_index", "seed", "step", "node_id").unionByName(own)
     extra = [c for c in seeds.columns if c not in KEY]
     if not extra:
         return rows
