@@ -231,11 +231,12 @@ def lineage_steps(tn: DataFrame, seeds: DataFrame) -> DataFrame:
     depth = chains.groupBy("tree_index", "first").agg(F.max("distance").alias("depth"))
     stepped = chains.join(depth, ["tree_index", "first"]).select(
         "tree_index", "first", "node_id", "depth", (F.col("depth") - F.col("distance")).alias("step"))
-    above = _spread_over(start, families, stepped)
     # The seed itself comes last, one step below its parent.
-    own = above.where(F.col("step") == F.col("depth")).select(
-        "tree_index", "seed", (F.col("step") + 1).alias("step"), F.col("seed").alias("node_id"))
-    rows = above.select("tree_index", "seed", "step", "node_id").unionByName(own)
+    here = F.struct("step", "node_id")
+    own = F.struct((F.col("step") + 1).alias("step"), F.col("seed").alias("node_id"))
+    rows = _spread_over(start, families, stepped).select("tree_index", "seed", F.explode(
+        F.when(F.col("step") == F.col("depth"), F.array(here, own)).otherwise(F.array(here))
+    ).alias("_s")).select("tree_index", "seed", "_s.step", "_s.node_id")
     extra = [c for c in seeds.columns if c not in KEY]
     if not extra:
         return rows
@@ -244,12 +245,21 @@ def lineage_steps(tn: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def lineage_paths(tn: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The same as one array per seed; an array is as long as its tree is deep."""
+    """The same as one array per seed; an array is as long as its tree is deep.
+
+    Paths are put together per parent, so siblings share the work.
+    """
+    start, families, scope = _seeded(tn, seeds)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "node_id")))
+    paths = _chains(families, scope).groupBy("tree_index", "first").agg(
+        F.transform(ordered, lambda s: s["node_id"]).alias("_path"))
+    out = _spread_over(start, families, paths).select(
+        "tree_index", "seed", F.concat("_path", F.array("seed")).alias("path_node_ids"))
     extra = [c for c in seeds.columns if c not in KEY]
-    steps = lineage_steps(tn, seeds)
-    ordered = F.array_sort(F.collect_list(F.struct("step", "node_id")))
-    return steps.groupBy("tree_index", "seed", *extra).agg(
-        F.transform(ordered, lambda s: s["node_id"]).alias("path_node_ids"))
+    if not extra:
+        return out
+    return out.join(seeds.select("tree_index", F.col("node_id").alias("seed"), *extra),
+                    ["tree_index", "seed"])
 
 
 def acyclic_paths(tn: DataFrame, seeds: DataFrame, max_depth: int = 10_000) -> DataFrame:
