@@ -13,11 +13,13 @@ from copse.operators.ordered import global_rank
 from copse.schemas import NEWICK_NODES
 from copse.session import cut
 
+# Column names, outgroup name, first inner id, folder prefixes.
 REQUIRED = ("genomic_positions", "newick")
 HEIGHT = "max_branch_length"
 INFO_COLUMNS = ("tree_info", "tree info")
 OUTGROUP = "etal"
 INTERNAL_BASE = 1_000_000
+SHIFTED_PREFIXES = ("heliconius",)
 
 
 # ---- file order -----------------------------------------------------------
@@ -400,7 +402,7 @@ def newick_y(parsed: DataFrame, rows: DataFrame, height: Column,
         "y", clip(F.col("y") + (F.lit(1.0) - F.coalesce("_tip", F.lit(1.0))))).drop("_tip")
 
 
-def shifts_tips(path: str, prefixes=("heliconius",)) -> bool:
+def shifts_tips(path: str, prefixes=SHIFTED_PREFIXES) -> bool:
     """Whether a part of the path starts with one of the configured prefixes."""
     parts = [p.lower() for p in path.replace("\\", "/").split("/") if p]
     return any(part.startswith(p.strip().lower()) for part in parts for p in prefixes if p.strip())
