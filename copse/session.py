@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,3 +73,35 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the files behind a :func:`written` table that nothing reads any more."""
+    spark = df.sparkSession
+    root = checkpoint_dir(spark).rstrip("/").split(":", 1)[-1]
+    jvm = spark.sparkContext._jvm
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(root.lstrip("/")):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application.
+
+    Functions that run in workers are pickled by module name, so workers must
+    be able to import the package wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, str(file.relative_to(package.parent)))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
