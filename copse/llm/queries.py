@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copse.llm import oracle as O, quality as Q
+from copse.llm import oracle as O, quality as Q, toxicity as TOX
 from copse.llm.batches import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,12 @@ def _(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (~Q.passes(Q.BASE)).alias("base_failed"), Q.passes(Q.STANDARD).alias("kept"),
                        "failed_bits")
+
+
+@query("op7_toxicity")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lexicon = TOX.learn(docs, table(spark, sf_dir, "labels"), ~TOX.held_out())
+    rows = TOX.scored(docs, lexicon)
+    return rows.select("doc_id", F.coalesce(TOX.held_out(), F.lit(False)).alias("held_out"), "score",
+                       (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_matches")
