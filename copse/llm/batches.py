@@ -79,3 +79,31 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+class Index(dict):
+    """Numbers words as they come; ``fresh`` collects the new ones.
+
+    A task keeps what it worked out per word under these numbers. ``codes``
+    starts over once ``limit`` words are held, so memory stays bounded; the
+    caller sees that by ``fresh`` beginning at number 0.
+    """
+
+    def __init__(self, limit: int = 300_000):
+        super().__init__()
+        self.limit = limit
+        self.fresh: list = []
+
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+    def codes(self, words: list) -> tuple[np.ndarray, list, bool]:
+        """Numbers of the words, the new words in order, and whether all began anew."""
+        anew = len(self) >= self.limit or not self
+        if anew:
+            self.clear()
+        self.fresh = []
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return numbers, self.fresh, anew

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copse.llm import oracle as O, quality as Q, toxicity as TOX
+from copse.llm import langid as LID, oracle as O, quality as Q, toxicity as TOX
 from copse.llm.batches import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_language_id")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = LID.fit(docs, ~TOX.held_out())
+    return LID.identified(docs, model).select(
+        "doc_id", F.coalesce(TOX.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score",
+        "cross_entropy", "rejected")
+
+
 @query("op5_quality_rules", O.QUALITY)
 def _(spark, sf_dir):
     rows = Q.ledger(table(spark, sf_dir, "documents"))
