@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copse.llm import langid as LID, oracle as O, quality as Q, toxicity as TOX
+from copse.llm import langid as LID, oracle as O, packing as PACK, quality as Q, toxicity as TOX
 from copse.llm.batches import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def _(spark, sf_dir):
         "cross_entropy", "rejected")
 
 
+@query("op2_best_fit_packing")
+def _(spark, sf_dir):
+    rows = PACK.packed(PACK.pieces(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op5_quality_rules", O.QUALITY)
 def _(spark, sf_dir):
     rows = Q.ledger(table(spark, sf_dir, "documents"))
