@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copse.llm import langid as LID, oracle as O, packing as PACK, quality as Q, toxicity as TOX
+from copse.llm import langid as LID, oracle as O, packing as PACK, pii as PII, quality as Q, toxicity as TOX
 from copse.llm.batches import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,14 @@ def _(spark, sf_dir):
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op4_pii")
+def _(spark, sf_dir):
+    rows = PII.found(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *[PII.count_of(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+                       F.sha2(PII.listed(base_only=True), 256).alias("base_sha256"), PII.listed().alias("spans"),
+                       PII.count_of("term").alias("n_term"))
+
+
 @query("op5_quality_rules", O.QUALITY)
 def _(spark, sf_dir):
     rows = Q.ledger(table(spark, sf_dir, "documents"))
