@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copse.llm import langid as LID, oracle as O, packing as PACK, pii as PII, quality as Q, toxicity as TOX
+from copse.llm import langid as LID, oracle as O, packing as PACK, pii as PII, quality as Q, toxicity as TOX, wavelet as WAV
 from copse.llm.batches import table
+from copse.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +62,10 @@ def _(spark, sf_dir):
     rows = TOX.scored(docs, lexicon)
     return rows.select("doc_id", F.coalesce(TOX.held_out(), F.lit(False)).alias("held_out"), "score",
                        (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_matches")
+
+
+@query("op10_token_files")
+def _(spark, sf_dir):
+    folder = f"{checkpoint_dir(spark)}/tokens-{uuid4().hex}"
+    WAV.write(table(spark, sf_dir, "documents"), folder)
+    return WAV.read(spark, folder)
