@@ -7,7 +7,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copse.llm import langid as LID, oracle as O, packing as PACK, pii as PII, quality as Q, toxicity as TOX, wavelet as WAV
+from copse.llm import langid as LID, oracle as O, packing as PACK, pii as PII, quality as Q, sharding as SHARD, toxicity as TOX, wavelet as WAV
 from copse.llm.batches import table
 from copse.session import checkpoint_dir
 
@@ -64,6 +64,13 @@ def _(spark, sf_dir):
                        (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_matches")
 
 
+@query("op8_sharding")
+def _(spark, sf_dir):
+    rows = SHARD.sharded(SHARD.sized(table(spark, sf_dir, "documents")), 40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op10_token_files")
 def _(spark, sf_dir):
     folder = f"{checkpoint_dir(spark)}/tokens-{uuid4().hex}"
