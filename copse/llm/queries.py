@@ -7,7 +7,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copse.llm import langid as LID, oracle as O, packing as PACK, pii as PII, quality as Q, sharding as SHARD, toxicity as TOX, wavelet as WAV
+from copse.llm import langid as LID, neardup as DUP, oracle as O, packing as PACK, pii as PII, quality as Q, sharding as SHARD, toxicity as TOX, wavelet as WAV
 from copse.llm.batches import table
 from copse.session import checkpoint_dir
 
@@ -71,6 +71,11 @@ def _(spark, sf_dir):
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op9_near_duplicates")
+def _(spark, sf_dir):
+    return DUP.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op10_token_files")
 def _(spark, sf_dir):
     folder = f"{checkpoint_dir(spark)}/tokens-{uuid4().hex}"
