@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,9 +43,9 @@ _TOKEN = re.compile(r"[^\W_]+")
 EXCEPTIONS = ("trash can", "trash bin", "scum line", "pond scum", "clown fish", "stupid mistake of mine")
 
 #: Most labelled rows of a class that a lexicon is learned from, and most words it holds.
-LEARN_ROWS = 50_000
+LEARN_ROWS = 20_000
 LEXICON_WORDS = 5_000
-CURVE_ROWS = 20_000
+CURVE_ROWS = 10_000
 
 
 def fold(text: str) -> str:
@@ -141,26 +142,24 @@ def _bounded_rows(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
-    """(word, neighbour, toxic) with the number of texts, counted per task first.
-
-    Rows without a neighbour count the texts with the word; the others, made
-    for toxic texts only, show beside how many different words it stands.
-    """
+    """Per word: toxic and clean texts with it, and among how many kinds of
+    neighbours (of 64, by hash) it stands in toxic texts. Each task counts first."""
     def run(batches) -> Iterator[pd.DataFrame]:
-        from collections import Counter
         for frame in batches:
-            for toxic, group in frame.groupby("toxic"):
-                seen: Counter = Counter()
-                for text in group["text"]:
-                    words = _TOKEN.findall(fold(text or ""))
-                    seen.update({(w, "") for w in words if len(w) > 2})
-                    if toxic:
-                        seen.update({(w, p) for w, p in zip(words, ["^"] + words) if len(w) > 2})
-                if seen:
-                    yield pd.DataFrame([(w, p, int(toxic), n) for (w, p), n in seen.items()],
-                                       columns=["word", "near", "toxic", "n"])
-    return rows.mapInPandas(run, "word string, near string, toxic int, n long").groupBy(
-        "word", "near", "toxic").agg(F.sum("n").alias("n"))
+            counts: dict[str, list[int]] = {}
+            for text, toxic in zip(frame["text"], frame["toxic"]):
+                words = _TOKEN.findall(fold(text or ""))
+                for word in set(words):
+                    counts.setdefault(word, [0, 0, 0])[toxic] += 1
+                if toxic:
+                    for word, near in zip(words, ["^"] + words):
+                        counts[word][2] |= 1 << (zlib.crc32(near.encode()) & 63)
+            held = [(w, c, t, m - (m >> 63 << 64)) for w, (c, t, m) in counts.items() if len(w) > 2]
+            if held:
+                yield pd.DataFrame(held, columns=["word", "n_clean", "n_toxic", "near"])
+    return rows.mapInPandas(run, "word string, n_clean long, n_toxic long, near long").groupBy("word").agg(
+        F.sum("n_clean").alias("n_clean"), F.sum("n_toxic").alias("n_toxic"),
+        F.bit_count(F.bit_or("near")).alias("n_near"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, train=None, min_near: int = 8, min_odds: float = 3.0,
@@ -175,17 +174,13 @@ def learn(docs: DataFrame, labels: DataFrame, train=None, min_near: int = 8, min
     marks = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     marks = _bounded_rows(marks if train is None else marks.where(train), "doc_id", most_rows)
-    rows = written(rows.join(marks, "doc_id"), "toxic-learn")
+    # The drawn labels are bounded by ``most_rows``, whatever the size of the tables.
+    rows = written(rows.join(F.broadcast(marks), "doc_id"), "toxic-learn")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon({}, exceptions)
-    pairs = _word_counts(rows)
-    whole = F.col("near") == ""
-    words = pairs.groupBy("word").agg(
-        F.sum(F.when(whole & (F.col("toxic") == 1), F.col("n")).otherwise(0)).alias("n_toxic"),
-        F.sum(F.when(whole & (F.col("toxic") == 0), F.col("n")).otherwise(0)).alias("n_clean"),
-        F.sum(F.when(~whole, 1).otherwise(0)).alias("n_near"))
+    words = _word_counts(rows)
     odds = F.log(((F.col("n_toxic") + 0.5) / (n_toxic + 1)) / ((F.col("n_clean") + 0.5) / (n_clean + 1)))
     best = (words.where(F.col("n_near") >= min_near).withColumn("odds", odds).where(F.col("odds") >= min_odds)
             .orderBy(F.desc("odds"), "word").limit(LEXICON_WORDS).collect())
