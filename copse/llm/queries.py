@@ -7,7 +7,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copse.llm import langid as LID, neardup as DUP, oracle as O, packing as PACK, pii as PII, quality as Q, sharding as SHARD, toxicity as TOX, wavelet as WAV
+from copse.llm import hnsw as ANN, langid as LID, neardup as DUP, oracle as O, packing as PACK, pii as PII, quality as Q, sharding as SHARD, toxicity as TOX, wavelet as WAV
 from copse.llm.batches import table
 from copse.session import checkpoint_dir
 
@@ -39,6 +39,12 @@ def _(spark, sf_dir):
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op3_nearest_neighbours")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return ANN.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 @query("op4_pii")
 def _(spark, sf_dir):
     rows = PII.found(table(spark, sf_dir, "documents"))
