@@ -7,7 +7,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copse.llm import hnsw as ANN, langid as LID, neardup as DUP, oracle as O, packing as PACK, pii as PII, quality as Q, sharding as SHARD, toxicity as TOX, wavelet as WAV
+from copse.llm import hnsw as ANN, langid as LID, neardup as DUP, oracle as O, packing as PACK, pieces as PIECE, pii as PII, quality as Q, sharding as SHARD, toxicity as TOX, wavelet as WAV
 from copse.llm.batches import table
 from copse.session import checkpoint_dir
 
@@ -61,6 +61,11 @@ def _(spark, sf_dir):
                        "failed_bits")
 
 
+@query("op6_pieces")
+def _(spark, sf_dir):
+    return PIECE.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op7_toxicity")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
