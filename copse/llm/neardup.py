@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from copse.llm.batches import Index, Kernel, annotate, bounded, texts_of
+from copse.llm.batches import Index, Kernel, annotate, bounded, free_name, texts_of
 from copse.llm.components import components
 from copse.session import ship, written
 
@@ -362,3 +362,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     out = rows.drop("sig").join(of_class, "set_hash", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", key))
     return out.select(key, "n_shingles", "component_id", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """One row of each group of near duplicates, the one of the least key, in all columns of ``docs``.
+
+    Rows of one key are one document: the one whose text comes first stays.
+    Rows without a key stay.
+    """
+    kept = near_duplicates(docs, text, key, **how).where(F.col("kept") & F.col(key).isNotNull()).select(key).distinct()
+    number = free_name(docs, "_number")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last(text)))
+    one = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").withColumn(number, first).where(F.col(number) == 1)
+    return one.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

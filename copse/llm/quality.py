@@ -9,11 +9,12 @@ the ledger only and never the texts again.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from copse.llm.batches import Kernel, annotate
+from copse.llm.batches import Kernel, annotate, free_name
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -21,16 +22,16 @@ SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, "
             "n_repeat_words long, n_upper long, n_letters long, n_marks long")
 
-#: Name of each rule and the expression under which it fails, by bit.
-RULES: tuple[tuple[str, str], ...] = (
-    ("few_words", "n_words < 50"),
-    ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "10 * n_symbols > 3 * n_words"),
-    ("repeated_lines", "2 * n_dup_lines > n_lines"),
-    ("shouting", "2 * n_upper > n_letters"),
-    ("exclamations", "2 * n_marks > n_words"),
-    ("word_length", "word_chars < 2 * n_words or word_chars > 25 * n_words"),
-    ("too_long", "n_words > 100000"),
+#: Name of each rule and when it fails, by bit; ``m`` gives the column of a measurement.
+RULES: tuple[tuple[str, Callable[[Callable[[str], Column]], Column]], ...] = (
+    ("few_words", lambda m: m("n_words") < 50),
+    ("repeated_windows", lambda m: 100 * m("n_repeat_words") > 50 * m("n_words")),
+    ("symbols", lambda m: 10 * m("n_symbols") > 3 * m("n_words")),
+    ("repeated_lines", lambda m: 2 * m("n_dup_lines") > m("n_lines")),
+    ("shouting", lambda m: 2 * m("n_upper") > m("n_letters")),
+    ("exclamations", lambda m: 2 * m("n_marks") > m("n_words")),
+    ("word_length", lambda m: (m("word_chars") < 2 * m("n_words")) | (m("word_chars") > 25 * m("n_words"))),
+    ("too_long", lambda m: m("n_words") > 100_000),
 )
 BASE_RULES = ("few_words", "repeated_windows")
 
@@ -103,11 +104,11 @@ def _kernel() -> Kernel:
     return measure
 
 
-def failure_bits() -> Column:
+def failure_bits(m: Callable[[str], Column] = F.col) -> Column:
     """One bit per failed rule."""
     bits = F.lit(0).cast("long")
     for bit, (_, fails) in enumerate(RULES):
-        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << bit)).otherwise(0).cast("long"))
+        bits = bits.bitwiseOR(F.when(fails(m), F.lit(1 << bit)).otherwise(0).cast("long"))
     return bits
 
 
@@ -127,6 +128,13 @@ def passes(policy: Policy, bits: str | Column = "failed_bits") -> Column:
     return bits.bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
 
+def filtered(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, in all their columns."""
+    box = free_name(docs, "_measured")
+    rows = annotate(docs, text, _kernel, MEASURES, docs.columns, box)
+    return rows.where(passes(policy, failure_bits(lambda name: F.col(f"{box}.{name}")))).select(*docs.columns)
+
+
 def judged(rows: DataFrame, *policies: Policy) -> DataFrame:
     """The ledger with a verdict column ``kept_<version>`` per policy."""
     return rows.withColumns({f"kept_{p.version}": passes(p) for p in policies})
