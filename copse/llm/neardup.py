@@ -360,7 +360,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     of_class = reps.join(links.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_hash", F.coalesce("component", "rep").alias("component_id"))
     out = rows.drop("sig").join(of_class, "set_hash", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", key))
+    out = out.withColumn("component_id", F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)))
     return out.select(key, "n_shingles", "component_id", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

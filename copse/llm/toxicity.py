@@ -185,13 +185,18 @@ def learn(docs: DataFrame, labels: DataFrame, train=None, min_near: int = 8, min
     best = (words.where(F.col("n_near") >= min_near).withColumn("odds", odds).where(F.col("odds") >= min_odds)
             .orderBy(F.desc("odds"), "word").limit(LEXICON_WORDS).collect())
     lexicon = Lexicon({r["word"]: float(r["odds"]) for r in best}, exceptions)
+    if not best:
+        return lexicon
     few = _bounded_rows(rows.select("doc_id", "text", "toxic"), "doc_id", CURVE_ROWS)
     seen = scored(few, lexicon, keep=["toxic"]).select("toxic", "weight", "n_words").toPandas()
     return Lexicon(lexicon.weights, exceptions, _curve(seen))
 
 
 def _curve(seen: pd.DataFrame) -> tuple[float, float, float]:
-    """Logistic fit, with a small penalty, of the label on the two features."""
+    """Logistic fit, with a small penalty, of the label on the two features.
+
+    However many labelled rows are toxic, a text without a match scores 0.2 at most.
+    """
     x = np.array([(1.0, *features(w, n)) for w, n in zip(seen["weight"], seen["n_words"])])
     y = seen["toxic"].to_numpy(float)
     beta = np.zeros(3)
@@ -200,7 +205,7 @@ def _curve(seen: pd.DataFrame) -> tuple[float, float, float]:
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + penalty
         beta = beta + np.linalg.solve(hessian, x.T @ (y - p) - penalty @ beta)
-    return tuple(float(b) for b in beta)
+    return min(float(beta[0]), math.log(0.2 / 0.8)), float(beta[1]), float(beta[2])
 
 
 def held_out(key: str = "doc_id"):
