@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 
@@ -17,16 +19,34 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: ASCII marks that end a word after an ASCII letter or digit, or a letter of Latin-1.
+_ENDING = re.compile(rb"(?<=[A-Za-z0-9])([.,;:!?]+)(?=[\x20\x09-\x0D]|\Z)"
+                     rb"|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([.,;:!?]+)(?=[\x20\x09-\x0D]|\Z)")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Parts of a text that the tokenizer encodes each for itself.
+
+    It drops white space, lower-cases, and splits letters from marks; neither
+    its normaliser nor its splitter looks across white space, and added tokens
+    hold none. Lower case may come first but where a combining mark could join
+    a capital otherwise, or an added token come about (``<|``).
+    """
+    if b"<|" not in text:
+        if b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()                      # bytes: A-Z only
+        text = _ENDING.sub(rb" \1\2", text)
+    return text.split()                              # bytes split at ASCII white space
+
+
 class Encoder:
     """Ids of texts by the ``tokenizers`` library, put together from ids of words.
 
-    White space never joins two words in this kind of tokenizer: it drops
-    white space, neither its normaliser nor its splitter looks across it, and
-    added tokens hold none. So a text's ids are those of its words in a row.
-    For other tokenizers pass ``by_word=False``, which encodes whole texts.
+    This holds for tokenizers as :func:`words_of` describes; for others pass
+    ``by_word=False``, which encodes whole texts.
     """
 
-    def __init__(self, path: str, by_word: bool = True, limit: int = 300_000):
+    def __init__(self, path: str, by_word: bool = True, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,7 +63,7 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
         ids = [e.ids for e in found]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         self.ids = _room(self.ids, self.used + len(flat))
         self.starts, self.sizes = _room(self.starts, self.count + len(ids)), _room(self.sizes, self.count + len(ids))
         self.ids[self.used:self.used + len(flat)] = flat
@@ -56,12 +76,12 @@ class Encoder:
         if not self.by_word:
             found = [e.ids + [end] for e in self.tokenizer.encode_batch_fast(
                 [(t or b"").decode("utf-8") for t in texts], add_special_tokens=False)]
-            return (np.fromiter((i for one in found for i in one), np.uint32),
+            return (np.fromiter(chain.from_iterable(found), np.uint32),
                     np.fromiter(map(len, found), np.int64, len(found)))
         words: list[bytes] = []
         n_words = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            own = text.split() if text else []       # bytes split at ASCII white space
+            own = words_of(text) if text else []
             words += own
             n_words[k] = len(own)
         codes, fresh, anew = self.index.codes(words)
