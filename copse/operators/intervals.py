@@ -99,6 +99,35 @@ def locate(df: DataFrame, position: str, loc: Locator, out: str = "tree_index")
             .drop("_pos", "_bucket", "_block", "_starts"))
 
 
+class Reach(NamedTuple):
+    """The stretch of genome that a request touches: trees ``[first, last)`` at ``[left, right)``."""
+
+    first: int
+    last: int
+    left: float
+    right: float
+
+
+def reach(trees: list[int] | range | DataFrame, loc: Locator) -> Reach:
+    """The stretch from the first to the last requested tree that exists.
+
+    Known before a plan is built, so that it can filter the scans.
+    """
+    if isinstance(trees, DataFrame):
+        ends = trees.where(F.col("tree_index").between(0, loc.n_trees - 1)).agg(
+            F.min("tree_index"), F.max("tree_index")).first()
+        known = [] if ends[0] is None else [ends[0], ends[1]]
+    else:
+        known = [int(t) for t in trees if 0 <= t < loc.n_trees]
+    if not known:
+        return Reach(0, 0, 0.0, 0.0)
+    first, last = min(known), max(known) + 1
+    if loc.step == 1:
+        return Reach(first, last, loc.splits[first], loc.splits[last] if last < loc.n_trees else loc.end)
+    ends = loc.intervals.where(F.col("tree_index").isin(first, last - 1)).agg(F.min("left"), F.max("right")).first()
+    return Reach(first, last, *ends)
+
+
 def with_bounds(df: DataFrame, loc: Locator) -> DataFrame:
     """Add ``interval_left`` / ``interval_right`` of ``tree_index``."""
     bounds = loc.intervals.select("tree_index", F.col("left").alias("interval_left"),
@@ -239,9 +268,12 @@ def _preference(strategy: str, start: float, seed: int) -> Column:
     if strategy == "center_weighted":
         return F.abs(F.col("midpoint") - _slot_centre(start))
     if strategy == "span_weighted_random":
-        # Weighted reservoir: exponential keys, reproducible for a seed.
-        unit = (F.pmod(F.xxhash64(F.lit(seed), F.col("tree_index")), F.lit(2 ** 53 - 1))
-                .cast("double") + F.lit(1.0)) / F.lit(float(2 ** 53))
+        # Weighted reservoir: exponential keys from two linear congruential steps, reproducible
+        # for a seed in any engine.
+        first = F.pmod(F.pmod(F.col("tree_index"), F.lit(2 ** 31)) * F.lit(2_654_435_761)
+                       + F.lit((seed * 40_503) % 2 ** 32), F.lit(2 ** 32))
+        second = F.pmod(first * F.lit(1_103_515_245) + F.lit(12_345), F.lit(2 ** 32))
+        unit = (second.cast("double") + F.lit(1.0)) / F.lit(float(2 ** 32 + 1))
         return F.when(F.col("span") > 0, -F.log(unit) / F.col("span")).otherwise(
             F.lit(float("inf")))
     return -F.col("span")

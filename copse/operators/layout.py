@@ -19,7 +19,7 @@ from pyspark.sql.types import FloatType, StructField, StructType
 from copse.functions import coordinates as C
 from copse.operators.ordered import SINGLE_TASK_ROWS, global_rank
 from copse.operators.skew import spread_join
-from copse.session import cut
+from copse.session import cut, removed, written
 
 KERNEL_NODES = 500_000
 
@@ -195,10 +195,11 @@ def _joined_x(shape: DataFrame, single_task_rows: int) -> DataFrame:
         "tree_index", "node_id", a.alias("a"), F.when(a != b, b).alias("b"),
         F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.5)).alias("wa"),
         F.lit(0.5).alias("wb"), F.lit(0.0).alias("c"))
-    state = cut(inner.unionByName(tips.select(
+    state = written(inner.unionByName(tips.select(
         "tree_index", "node_id", F.lit(None).cast("long").alias("a"),
         F.lit(None).cast("long").alias("b"), F.lit(0.0).alias("wa"), F.lit(0.0).alias("wb"),
-        F.col("rank").cast("double").alias("c"))))
+        F.col("rank").cast("double").alias("c"))), "contraction")
+    before = state
     while not state.where(F.col("a").isNotNull()).isEmpty():
         ready = state.where(F.col("b").isNull())
         for side in ("a", "b"):
@@ -219,10 +220,12 @@ def _joined_x(shape: DataFrame, single_task_rows: int) -> DataFrame:
                             (F.col("c") + moved["ca"] + moved["cb"]).alias("c"))
         # A lone reference is always kept in the first place.
         lone = F.col("a").isNull() & F.col("b").isNotNull()
-        state = cut(step.select(
+        after = written(step.select(
             "tree_index", "node_id", F.when(lone, F.col("b")).otherwise(F.col("a")).alias("a"),
             F.when(~lone, F.col("b")).alias("b"),
-            F.when(lone, F.col("wb")).otherwise(F.col("wa")).alias("wa"), "wb", "c"))
+            F.when(lone, F.col("wb")).otherwise(F.col("wa")).alias("wa"), "wb", "c"), "contraction")
+        removed(before)
+        before = state = after
     return state.join(totals, "tree_index").select(
         "tree_index", "node_id",
         (F.col("c") / F.greatest(F.lit(1), F.col("n_tips") - 1)).cast("float").alias("x"))

@@ -262,25 +262,25 @@ def lineage_paths(tn: DataFrame, seeds: DataFrame) -> DataFrame:
                     ["tree_index", "seed"])
 
 
-def acyclic_paths(tn: DataFrame, seeds: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """Seed-to-root path rows of possibly malformed trees.
+def acyclic_paths(tn: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Seed-to-root path rows of possibly malformed trees, however deep.
 
-    A path stops before the first node it has met already. The walk is level
-    by level; the nodes met so far travel with the seed.
+    A path stops before the first node it has met already, so it holds every
+    node above its seed once, at its least distance. Rounds double the steps
+    and keep one row per seed and node, until no simple path of the largest
+    tree can be longer; without cycles they end when nothing is left above.
     """
-    links = cut(tn.select("tree_index", F.col("node_id").alias("at"), "parent_id"))
-    walk = seeds.select("tree_index", F.col("node_id").alias("seed"),
-                        F.col("node_id").alias("at"), F.array("node_id").alias("seen"))
-    rows, distance = None, 0
-    while distance < max_depth:
-        here = walk.select("tree_index", "seed", F.col("at").alias("node_id"),
-                           F.lit(distance).cast("long").alias("distance"))
-        rows = here if rows is None else rows.unionByName(here)
-        nxt = walk.join(links, ["tree_index", "at"]).where(
-            F.col("parent_id").isNotNull() & ~F.array_contains("seen", F.col("parent_id")))
-        walk = cut(nxt.select("tree_index", "seed", F.col("parent_id").alias("at"),
-                              F.concat("seen", F.array("parent_id")).alias("seen")))
-        if walk.isEmpty():
-            return rows
-        distance += 1
-    raise ValueError(f"a path is longer than {max_depth}")
+    links = cut(tn.where(F.col("parent_id").isNotNull()).select(*KEY, F.col("parent_id").alias("up")))
+    longest = tn.groupBy("tree_index").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    rows = seeds.select("tree_index", F.col("node_id").alias("seed"), "node_id",
+                        F.lit(0).cast("long").alias("distance")).distinct()
+    step = 1
+    while step < 2 * longest and not links.isEmpty():
+        ahead = rows.join(links, KEY).select("tree_index", "seed", F.col("up").alias("node_id"),
+                                             (F.col("distance") + step).alias("distance"))
+        rows = cut(rows.unionByName(ahead).groupBy("tree_index", "seed", "node_id").agg(
+            F.min("distance").alias("distance")))
+        above = links.select("tree_index", F.col("node_id").alias("up"), F.col("up").alias("_up"))
+        links = cut(links.join(above, ["tree_index", "up"]).select(*KEY, F.col("_up").alias("up")))
+        step *= 2
+    return rows

@@ -22,13 +22,14 @@ def with_sites(mutations: DataFrame, sites: DataFrame) -> DataFrame:
                                        "ancestral_state"), "site_id")
 
 
-def with_inherited_state(mutations: DataFrame) -> DataFrame:
+def with_inherited_state(mutations: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """State before the mutation: its parent's derived state, else the ancestral one.
 
-    Most mutations have no parent; they stay out of the join, where they would
-    all meet on the NULL key.
+    ``parents`` is the table to find parents in, if ``mutations`` is a part of
+    it. Most mutations have no parent; they stay out of the join, where they
+    would all meet on the NULL key.
     """
-    ups = mutations.select(F.col("id").alias("parent_id"),
+    ups = (mutations if parents is None else parents).select(F.col("id").alias("parent_id"),
                            F.col("derived_state").alias("inherited_state"))
     first = mutations.where(F.col("parent_id").isNull()).withColumn(
         "inherited_state", F.col("ancestral_state"))

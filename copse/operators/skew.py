@@ -17,14 +17,14 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], counts: DataFr
     number callers know already. Keys above ``HOT_ROWS`` are joined apart: their
     rows are spread over ``SALTS`` sub-keys by the hash of ``spread``, and their
     table rows are repeated for each. There are at most ``len(rows) / HOT_ROWS``
-    such keys; their list is broadcast only up to ``HOT_KEYS`` entries, counted
-    first, and beyond that adaptive execution splits the partitions.
+    such keys; their list is broadcast up to ``HOT_KEYS`` entries, counted
+    first, and joined beyond that.
     """
     hot = counts.where(F.col(count) > HOT_ROWS).select(*on)
     found = hot.limit(HOT_KEYS + 1).count()
-    if found == 0 or found > HOT_KEYS:
+    if found == 0:
         return rows.join(table, on, how)
-    keys = F.broadcast(hot)
+    keys = F.broadcast(hot) if found <= HOT_KEYS else hot
     calm = rows.join(keys, on, "left_anti").join(table, on, how)
     salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)).cast("int")
     busy = rows.join(keys, on, "left_semi").withColumn("_salt", salt)

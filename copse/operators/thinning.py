@@ -34,7 +34,7 @@ class Box(NamedTuple):
                 & (y >= F.lit(lo_y)) & (y <= F.lit(hi_y)))
 
 
-def _grid(placed: DataFrame, cell: float | None, multiplier, box: Box | None,
+def grid(placed: DataFrame, cell: float | None, multiplier, box: Box | None,
           outside_cell: float | None) -> DataFrame:
     """Per tree: outside and inside resolution, and whether all tips sit at x = 1."""
     stats = placed.groupBy("tree_index").agg(
@@ -52,7 +52,7 @@ def _grid(placed: DataFrame, cell: float | None, multiplier, box: Box | None,
                         F.coalesce(F.col("_tip") > 0.999999, F.lit(False)).alias("_flat"))
 
 
-def _keeps_all_inside(box: Box | None, multiplier) -> bool:
+def keeps_all_inside(box: Box | None, multiplier) -> bool:
     return box is not None and abs(
         C.usable_multiplier(multiplier) - C.KEEP_ALL_INSIDE_MULTIPLIER) <= 1e-12
 
@@ -64,8 +64,8 @@ def edge_cells(placed: DataFrame, cell: float | None = None, multiplier=None,
 
     Direction counts only in trees whose tips all sit at x = 1, else it is -1.
     """
-    grid = _grid(placed, cell, multiplier, box, outside_cell)
-    edges = with_parent(placed, how="inner").join(grid, "tree_index")
+    cells = grid(placed, cell, multiplier, box, outside_cell)
+    edges = with_parent(placed, how="inner").join(cells, "tree_index")
     mx, my = C.midpoint(F.col("x"), F.col("parent_x")), C.midpoint(F.col("y"), F.col("parent_y"))
     inside = box.contains(F.col("tree_index"), mx, my) if box else F.lit(False)
     keyed = edges.withColumn("inside", inside)
@@ -98,7 +98,7 @@ def kept_nodes(placed: DataFrame, keep_tips: bool = False, **grid) -> DataFrame:
     Roots always stay, and the set is closed under ancestors. ``placed`` is read
     many times: pass a written layout.
     """
-    keep_inside = _keeps_all_inside(grid.get("box"), grid.get("multiplier"))
+    keep_inside = keeps_all_inside(grid.get("box"), grid.get("multiplier"))
     winners = cell_winners(edge_cells(placed, **grid), keep_inside)
     always = F.col("parent_id").isNull()
     if keep_tips:
@@ -150,14 +150,22 @@ def on_kept_nodes(mutations: DataFrame, nodes: DataFrame) -> DataFrame:
     return mutations.join(nodes.select(*KEY), KEY, "left_semi")
 
 
-def thin_mutations(mutations: DataFrame, resolution: int, inside_resolution: int | None = None,
+def thin_mutations(mutations: DataFrame, resolution: int | DataFrame, inside_resolution: int | None = None,
                    box: Box | None = None, keep_inside: bool = False) -> DataFrame:
-    """One mutation per tree and cell, the lowest id; the box has its own grid."""
+    """One mutation per tree and cell, the lowest id; the box has its own grid.
+
+    ``resolution`` is one number, or the :func:`grid` of the trees' layout, so
+    that nodes and mutations of a tree share their cells.
+    """
     x, y = F.col("x"), F.col("y")
     inside = box.contains(F.col("tree_index"), x, y) if box else F.lit(False)
-    res = F.when(F.col("_in"), F.lit(inside_resolution or resolution)).otherwise(
-        F.lit(resolution)).cast("long")
-    keyed = mutations.withColumn("_in", inside)
+    if isinstance(resolution, DataFrame):
+        keyed = mutations.join(resolution.select("tree_index", "_res_out", "_res_in"), "tree_index")
+    else:
+        keyed = mutations.withColumns({"_res_out": F.lit(resolution),
+                                       "_res_in": F.lit(inside_resolution or resolution)})
+    res = F.when(F.col("_in"), F.col("_res_in")).otherwise(F.col("_res_out")).cast("long")
+    keyed = keyed.withColumn("_in", inside)
     winners = keyed.where(~F.col("_in")) if keep_inside else keyed
     best = winners.groupBy("tree_index", "_in", C.grid_cell(x, res).alias("_cx"),
                            C.grid_cell(y, res).alias("_cy")).agg(
@@ -165,4 +173,4 @@ def thin_mutations(mutations: DataFrame, resolution: int, inside_resolution: int
     out = mutations.join(best, ["tree_index", "mutation_id"], "left_semi")
     if not keep_inside:
         return out
-    return out.unionByName(keyed.where("_in").drop("_in"))
+    return out.unionByName(keyed.where("_in").drop("_in", "_res_out", "_res_in"))

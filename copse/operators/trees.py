@@ -9,20 +9,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from copse.operators.intervals import Locator, locate
+from copse.operators.intervals import Locator, Reach, locate
 from copse.operators.ordered import fold_changes, segments
 
 EXPLODE_CHUNK = 65_536
+#: Trees that a request may name inside the plan; more of them are joined.
+LISTED_TREES = 64
+REQUEST_CHUNK = 256
+#: Sums of times along the genome: exact, whatever their order.
+EXACT = "decimal(38,12)"
 LIST_CHUNK = 65_536
 
 
-def edge_spans(edges: DataFrame, loc: Locator) -> DataFrame:
+def edge_spans(edges: DataFrame, loc: Locator, within: Reach | None = None) -> DataFrame:
     """Edges as runs of trees ``(child, parent, first_tree, last_tree)``.
 
     Edge ends are breakpoints, so both lookups are projections of the scan.
+    With ``within`` only edges that reach into that stretch are read, and their
+    runs end at its borders.
     """
+    if within is not None:
+        edges = edges.where((F.col("left") < F.lit(within.right)) & (F.col("right") > F.lit(within.left)))
     placed = locate(locate(edges, "left", loc, "first_tree"), "right", loc, "last_tree")
-    return placed.select("child", "parent", "first_tree", "last_tree")
+    spans = placed.select("child", "parent", "first_tree", "last_tree")
+    if within is None:
+        return spans
+    return spans.select("child", "parent",
+                        F.greatest("first_tree", F.lit(within.first).cast("long")).alias("first_tree"),
+                        F.least("last_tree", F.lit(within.last).cast("long")).alias("last_tree")).where(
+        F.col("first_tree") < F.col("last_tree"))
 
 
 def with_times(spans: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -37,26 +52,46 @@ def with_times(spans: DataFrame, nodes: DataFrame) -> DataFrame:
 def explode_spans(spans: DataFrame, trees: list[int] | DataFrame | None = None) -> DataFrame:
     """One row per span and tree of ``[first_tree, last_tree)``.
 
-    ``trees`` restricts the result: a request list is intersected before the
-    explode, a DataFrame (column ``tree_index``) is semi-joined after it. Runs
-    are cut into chunks first so that no array grows with the genome.
+    ``trees`` restricts the result before the explode: a short list (of up to
+    ``LISTED_TREES``) is intersected with each run, a long one or a DataFrame
+    (column ``tree_index``) meets the runs in chunks of trees, and only what
+    was asked for is exploded. Without it runs are cut into chunks, so that no
+    array grows with the genome.
     """
     keep = [c for c in spans.columns if c not in ("first_tree", "last_tree")]
     first, last = F.col("first_tree"), F.col("last_tree")
     if isinstance(trees, (list, tuple, range)):
-        wanted = F.array(*[F.lit(int(t)).cast("long") for t in sorted(set(trees))])
-        hits = F.filter(wanted, lambda t: (t >= first) & (t < last))
-        return spans.select(F.explode(hits).alias("tree_index"), *keep)
+        asked = sorted({int(t) for t in trees})
+        if len(asked) <= LISTED_TREES:
+            wanted = F.array(*[F.lit(t).cast("long") for t in asked]).cast("array<bigint>")
+            hits = F.filter(wanted, lambda t: (t >= first) & (t < last))
+            return spans.select(F.explode(hits).alias("tree_index"), *keep)
+        trees = spans.sparkSession.createDataFrame([(t,) for t in asked], "tree_index long")
+    if trees is not None:
+        return _asked_trees(spans, trees, keep)
     size = F.lit(EXPLODE_CHUNK)
     chunked = spans.where(first < last).select(
         *keep, first, last,
         F.explode(F.sequence(F.floor(first / size), F.floor((last - 1) / size))).alias("_c"))
-    rows = chunked.select(
+    return chunked.select(
         F.explode(F.sequence(F.greatest(first, F.col("_c") * size),
                              F.least(last, (F.col("_c") + 1) * size) - 1)).alias("tree_index"),
         *keep)
-    return rows if trees is None else rows.join(trees.select("tree_index"), "tree_index",
-                                                "left_semi")
+
+
+def _asked_trees(spans: DataFrame, trees: DataFrame, keep: list[str]) -> DataFrame:
+    """Runs against a table of trees: both by chunks of ``REQUEST_CHUNK`` trees.
+
+    A chunk of the request is an array of at most that many trees; a run meets
+    the chunks it spans, which callers have clipped to the request's reach.
+    """
+    first, last, size = F.col("first_tree"), F.col("last_tree"), F.lit(REQUEST_CHUNK)
+    asked = trees.groupBy(F.floor(F.col("tree_index") / size).cast("long").alias("_c")).agg(
+        F.collect_set("tree_index").alias("_asked"))
+    chunked = spans.where(first < last).select(
+        *keep, first, last, F.explode(F.sequence(F.floor(first / size), F.floor((last - 1) / size))).alias("_c"))
+    return chunked.join(asked, "_c").select(
+        F.explode(F.filter("_asked", lambda t: (t >= first) & (t < last))).alias("tree_index"), *keep)
 
 
 def tree_edges(spans: DataFrame, trees=None) -> DataFrame:
@@ -65,7 +100,7 @@ def tree_edges(spans: DataFrame, trees=None) -> DataFrame:
 
 
 def node_spans(spans: DataFrame, nodes: DataFrame, n_trees: int,
-               isolated: bool = True) -> DataFrame:
+               isolated: bool = True, within: Reach | None = None) -> DataFrame:
     """State of every node as runs of trees: ``(node_id, first_tree, last_tree,
     n_parents, n_children, parent_id, time, flags)``.
 
@@ -73,9 +108,13 @@ def node_spans(spans: DataFrame, nodes: DataFrame, n_trees: int,
     nodes, and to the child's parent id, which therefore is the running total.
     Ends are combined before the shuffle, so a parent of a third of all edges
     arrives as one row per breakpoint. ``isolated`` keeps sample nodes also
-    where they touch no edge.
+    where they touch no edge. ``within`` is the stretch that ``spans`` were
+    clipped to, if they were.
+
+    A node has one parent at a time; where edges give it two, the query fails.
     """
     zero = F.lit(0).cast("long")
+    border = (F.lit(within.first if within else 0), F.lit(within.last if within else n_trees))
     first, last = F.col("first_tree"), F.col("last_tree")
 
     def change(node, tree, up, down, parent):
@@ -91,7 +130,7 @@ def node_spans(spans: DataFrame, nodes: DataFrame, n_trees: int,
     if isolated:
         borders = nodes.where(F.col("flags").bitwiseAND(1) == 1).select(
             F.col("id").alias("node_id"),
-            F.explode(F.array(zero, F.lit(n_trees).cast("long"))).alias("tree_index"),
+            F.explode(F.array(*[b.cast("long") for b in border])).alias("tree_index"),
             zero.alias("up"), zero.alias("down"), zero.alias("above"), F.lit(True).alias("border"))
         ends = ends.unionByName(borders)
     deltas = ends.groupBy("node_id", "tree_index").agg(
@@ -103,7 +142,10 @@ def node_spans(spans: DataFrame, nodes: DataFrame, n_trees: int,
         "node_id", F.col("tree_index").alias("first_tree"),
         F.col("next_tree_index").alias("last_tree"),
         F.col("cum_up").alias("n_parents"), F.col("cum_down").alias("n_children"),
-        F.when(F.col("cum_up") > 0, F.col("cum_above")).alias("parent_id"))
+        F.when(F.col("cum_up") > 1, F.raise_error(F.concat(
+            F.lit("two parents at once: node "), F.col("node_id").cast("string"), F.lit(" in tree "),
+            F.col("tree_index").cast("string"))).cast("long"))
+        .when(F.col("cum_up") > 0, F.col("cum_above")).alias("parent_id"))
     member = (F.col("n_parents") + F.col("n_children")) > 0
     if not isolated:
         state = state.where(member)
@@ -163,19 +205,20 @@ def tree_statistics(node_runs: DataFrame, loc: Locator) -> DataFrame:
     Read from node runs alone: summed over edges, parent minus child times is
     each node's time once per child less once for its own parent. Sums are
     taken per first and last tree of a run and accumulated along the genome.
-    Roots are reduced to their oldest per run before runs become trees.
+    Sums are decimals, so a tree does not inherit the rounding of others. Roots
+    are reduced to their oldest per run before runs become trees.
     """
     zero, none = F.lit(0).cast("long"), F.lit(0.0)
     ends = fold_changes(node_runs, [], "first_tree", "last_tree", {
-        "length": F.col("time") * (F.col("n_children") - F.col("n_parents")),
+        "length": (F.col("time") * (F.col("n_children") - F.col("n_parents"))).cast(EXACT),
         "edges": F.col("n_parents"), "roots": (F.col("n_parents") == 0).cast("long")})
-    every = loc.intervals.select("tree_index", none.alias("length"), zero.alias("edges"),
+    every = loc.intervals.select("tree_index", none.cast(EXACT).alias("length"), zero.alias("edges"),
                                  zero.alias("roots"))
     dense = ends.unionByName(every).groupBy("tree_index").agg(
         F.sum("length").alias("length"), F.sum("edges").alias("edges"),
         F.sum("roots").alias("roots"))
     totals = segments(dense, [], "tree_index", ["length", "edges", "roots"], loc.n_trees + 1)
-    length = F.when(F.col("cum_edges") > 0, F.greatest(F.col("cum_length"), none)).otherwise(none)
+    length = F.when(F.col("cum_edges") > 0, F.col("cum_length").cast("double")).otherwise(none)
     tops = explode_spans(node_runs.where(F.col("n_parents") == 0)
                          .groupBy("first_tree", "last_tree").agg(F.max("time").alias("time")))
     oldest = tops.groupBy("tree_index").agg(F.max("time").alias("root_time"))
@@ -204,17 +247,19 @@ def pick_trees(tn: DataFrame, requested: list[int], n_trees: int | None = None,
     return request.join(tn, "tree_index")
 
 
-def run_counts(node_runs: DataFrame, loc: Locator) -> DataFrame:
+def run_counts(node_runs: DataFrame, loc: Locator, within: Reach | None = None) -> DataFrame:
     """``(tree_index, n_nodes, n_roots)`` from node runs, without exploding them."""
+    first, last = (within.first, within.last) if within else (0, loc.n_trees)
     root = (F.col("n_parents") == 0).cast("long")
     ends = fold_changes(node_runs, [], "first_tree", "last_tree",
                         {"nodes": F.lit(1).cast("long"), "roots": root})
     zero = F.lit(0).cast("long")
-    every = loc.intervals.select("tree_index", zero.alias("nodes"), zero.alias("roots"))
+    every = loc.intervals.where((F.col("tree_index") >= first) & (F.col("tree_index") < last)).select(
+        "tree_index", zero.alias("nodes"), zero.alias("roots"))
     dense = ends.unionByName(every).groupBy("tree_index").agg(
         F.sum("nodes").alias("nodes"), F.sum("roots").alias("roots"))
     totals = segments(dense, [], "tree_index", ["nodes", "roots"], loc.n_trees + 1)
-    return totals.where(F.col("tree_index") < loc.n_trees).select(
+    return totals.where(F.col("tree_index") < last).select(
         "tree_index", F.col("cum_nodes").alias("n_nodes"), F.col("cum_roots").alias("n_roots"))
 
 

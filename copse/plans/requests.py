@@ -31,27 +31,38 @@ def placed_nodes(c: Collection, trees=None, scale: str | None = None,
                  isolated: bool = True) -> DataFrame:
     """Tree nodes with coordinates, written once.
 
-    The compact node runs are written first: tree sizes come from them, and
-    the exploded trees pass through once, into the layout.
+    The compact node runs, of the requested stretch only, are written first:
+    tree sizes come from them, and the exploded trees pass through once, into
+    the layout.
     """
-    runs = written(c.runs(isolated), "node-runs")
-    giants = LAY.giant_trees(T.run_counts(runs, c.loc))
+    within = c.reach(trees)
+    runs = written(c.runs(isolated, within), "node-runs")
+    giants = LAY.giant_trees(T.run_counts(runs, c.loc, within))
     return written(LAY.layout(T.tree_nodes(runs, trees), c.time_range(), scale, giants=giants),
                    "layout")
 
 
-def located_mutations(c: Collection, bounds: bool = False) -> DataFrame:
-    """Mutations with site, inherited state and tree."""
-    rows = MUT.with_inherited_state(MUT.with_sites(c.mutations, c.sites))
+def located_mutations(c: Collection, bounds: bool = False, within: I.Reach | None = None) -> DataFrame:
+    """Mutations with site, inherited state and tree.
+
+    Sites outside ``within`` are dropped at their scan, before any join.
+    """
+    sites = c.sites if within is None else MUT.in_window(c.sites, within.left, within.right)
+    rows = MUT.with_inherited_state(MUT.with_sites(c.mutations, sites), c.mutations)
     return MUT.with_tree(rows, c.loc, bounds)
 
 
 def layout_request(c: Collection, trees=None, scale: str | None = None, thin: bool = True,
-                   multiplier=None, box: THN.Box | None = None,
-                   mutation_cell: float = C.DEFAULT_CELL) -> Layout:
-    """Layout of the requested trees, thinned to the grid, with their mutations."""
+                   multiplier=None, box: THN.Box | None = None, cell: float | None = None,
+                   outside_cell: float | None = None) -> Layout:
+    """Layout of the requested trees, thinned to the grid, with their mutations.
+
+    Nodes and mutations share the cell sizes of their tree: ``cell`` if given,
+    else by the size of the tree and ``multiplier``; ``box`` focuses one tree,
+    whose outside keeps ``outside_cell``.
+    """
     placed = placed_nodes(c, trees, scale, isolated=False)
-    muts = located_mutations(c).withColumnRenamed("id", "mutation_id")
+    muts = located_mutations(c, within=c.reach(trees)).withColumnRenamed("id", "mutation_id")
     if isinstance(trees, (list, tuple, range)):
         muts = muts.where(F.col("tree_index").isin([int(t) for t in trees]))
     elif trees is not None:
@@ -59,9 +70,11 @@ def layout_request(c: Collection, trees=None, scale: str | None = None, thin: bo
     on_trees = MUT.place(muts, placed, c.time_range(), scale)
     if not thin:
         return Layout(placed, on_trees)
-    nodes = written(THN.thin_nodes(placed, multiplier=multiplier, box=box), "thin-nodes")
+    grid = {"cell": cell, "multiplier": multiplier, "box": box, "outside_cell": outside_cell}
+    nodes = written(THN.thin_nodes(placed, **grid), "thin-nodes")
     shown = written(THN.on_kept_nodes(on_trees, nodes), "shown-mutations")
-    kept = THN.thin_mutations(shown, int(1.0 / mutation_cell))
+    kept = THN.thin_mutations(shown, THN.grid(placed, **grid), box=box,
+                              keep_inside=THN.keeps_all_inside(box, multiplier))
     return Layout(nodes, kept)
 
 

@@ -31,18 +31,18 @@ TABLES = {
     "individuals": INDIVIDUALS, "populations": POPULATIONS, "provenances": PROVENANCES,
 }
 
-# Boundary tables, 32-bit as the viewers of such data expect them.
-LAYOUT_NODES = _struct(("node_id", T.IntegerType()), ("parent_id", T.IntegerType()),
-                       ("is_tip", T.BooleanType()), ("tree_idx", T.IntegerType()),
+# Boundary tables. Ids stay long: those of a cluster-sized collection do not fit 32 bits.
+LAYOUT_NODES = _struct(("node_id", _L), ("parent_id", _L),
+                       ("is_tip", T.BooleanType()), ("tree_idx", _L),
                        ("x", T.FloatType()), ("y", T.FloatType()))
 LAYOUT_MUTATIONS = _struct(
-    ("mut_x", T.FloatType()), ("mut_y", T.FloatType()), ("mut_tree_idx", T.IntegerType()),
-    ("mut_node_id", T.IntegerType()), ("mut_id", T.IntegerType()),
-    ("mut_site_id", T.IntegerType()), ("mut_position", _D), ("mut_time", _D),
+    ("mut_x", T.FloatType()), ("mut_y", T.FloatType()), ("mut_tree_idx", _L),
+    ("mut_node_id", _L), ("mut_id", _L),
+    ("mut_site_id", _L), ("mut_position", _D), ("mut_time", _D),
     ("mut_ancestral_state", _S), ("mut_derived_state", _S), ("mut_inherited_state", _S))
 MUTATION_RESULT = _struct(
-    ("position", _L), ("mutation", _S), ("node_id", T.IntegerType()),
-    ("site_id", T.IntegerType()), ("ancestral_state", _S), ("derived_state", _S),
+    ("position", _L), ("mutation", _S), ("node_id", _L),
+    ("site_id", _L), ("ancestral_state", _S), ("derived_state", _S),
     ("distance", _L), ("tree_index", _L), ("interval_left", _D), ("interval_right", _D))
 NEWICK_NODES = _struct(
     ("tree_index", _L), ("postorder", _L), ("parent_postorder", _L), ("sibling", _L),

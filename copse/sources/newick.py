@@ -19,7 +19,7 @@ HEIGHT = "max_branch_length"
 INFO_COLUMNS = ("tree_info", "tree info")
 OUTGROUP = "etal"
 INTERNAL_BASE = 1_000_000
-SHIFTED_PREFIXES = ("heliconius",)
+SHIFTED_PREFIXES: tuple[str, ...] = ()
 
 
 # ---- file order -----------------------------------------------------------
@@ -210,14 +210,16 @@ def parse_newick(text: str) -> list[list]:
         nodes[parent][3].append(len(nodes) - 1)
         return len(nodes) - 1
 
-    quoted = comment = False
+    quoted = comment = token_quoted = False
+    last = ""                                        # a quote right after a closing one is a quote
     for char in text.strip():
         if comment:
             comment = char != "]"
         elif quoted or char == "'":
-            quoted = (not quoted) if char == "'" else quoted
-            if char != "'":
+            if char != "'" or not quoted and last == "'" and token_quoted:
                 token.append(char)
+            quoted = (not quoted) if char == "'" else quoted
+            token_quoted = True
         elif char == "[":
             comment = True
         elif char == "(":
@@ -236,6 +238,7 @@ def parse_newick(text: str) -> list[list]:
             break
         else:
             token.append(char)
+        last = char
     close_token()
     if at != 0:
         raise ValueError("unbalanced tree text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from copse.operators.trees import with_times
 from copse.schemas import TABLES
@@ -10,6 +10,21 @@ from copse.schemas import TABLES
 REQUIRED = ("nodes", "edges", "sites", "mutations", "individuals", "populations")
 
 
+#: Columns that a table may lack; they load as NULL.
+OPTIONAL = {
+    "nodes": {"flags", "population", "individual", "metadata_json"}, "edges": {"id"}, "sites": {"metadata_json"},
+    "mutations": {"parent_id", "time", "metadata_json"}, "individuals": {"flags", "location", "parents", "metadata_json"},
+    "populations": {"metadata_json"}, "provenances": {"timestamp"},
+}
+
+
+def _check_columns(name: str, have: set[str]) -> None:
+    """Refuse a table without a column that answers depend on."""
+    missing = [f.name for f in TABLES[name] if f.name not in have and f.name not in OPTIONAL[name]]
+    if missing:
+        raise ValueError(f"table {name!r} lacks {', '.join(missing)}")
+
+
 def _nulls(df: DataFrame) -> DataFrame:
     """Sentinels of foreign tables -> NULL."""
     out = df
@@ -27,6 +42,7 @@ def load_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet"
     if fmt == "parquet":
         raw = spark.read.parquet(f"{folder}/{name}.parquet")
         have = set(raw.columns)
+        _check_columns(name, have)
         return _nulls(raw.select(*[
             (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema]))
@@ -57,6 +73,13 @@ def integrity_report(nodes: DataFrame, edges: DataFrame, sites: DataFrame, mutat
 
     points = intervals.select(F.explode(F.array("left", "right")).alias("p")).distinct()
     ends = edges.select(F.explode(F.array("left", "right")).alias("p"))
+    # Parents at once: what starts and ends at each breakpoint of a child, added up.
+    steps = edges.where(F.col("left") < F.col("right")).select("child", F.explode(F.array(
+        F.struct(F.col("left").alias("at"), F.lit(1).alias("n")),
+        F.struct(F.col("right").alias("at"), F.lit(-1).alias("n")))).alias("s")).groupBy(
+        "child", F.col("s.at").alias("at")).agg(F.sum("s.n").alias("n"))
+    crowded = steps.select(F.sum("n").over(Window.partitionBy("child").orderBy("at")).alias("n")).agg(
+        F.count_if(F.col("n") > 1).alias("n_bad"))
     off = ends.join(points, "p", "left_anti").agg(F.count("*").alias("n_bad"))
     ages = with_times(edges, nodes).agg(
         F.count_if(F.col("parent_time") <= F.col("child_time")).alias("n_bad"))
@@ -65,6 +88,7 @@ def integrity_report(nodes: DataFrame, edges: DataFrame, sites: DataFrame, mutat
         "edge parent in nodes": orphans(edges, "parent", ids),
         "edge not empty": edges.agg(F.count_if(F.col("left") >= F.col("right")).alias("n_bad")),
         "edge ends are breakpoints": off,
+        "one parent at a time": crowded,
         "parent older than child": ages,
         "mutation node in nodes": orphans(mutations, "node_id", ids),
         "mutation site in sites": orphans(mutations, "site_id", sites),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from workload import queries as registered
 from copse.operators import trees as T
 from workload.collection import orders_collection
 
@@ -17,8 +18,25 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_every_query_that_is_not_random_has_a_text():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"int16_span_weighted_random"}
+def test_every_query_has_a_text():
+    assert set(registered.QUERIES) == set(registered.ORACLE)
+
+
+def test_a_request_reads_its_stretch_of_the_genome(spark):
+    """The range of the requested trees filters the scan, and only they are exploded."""
+    c = orders_collection(spark, SF)
+    whole = spark.createDataFrame([(40,), (44,)], "tree_index long")
+    for trees in ([40], whole):
+        text = plan(c.tree_nodes(trees))
+        assert "GreaterThan(right" in text and "LessThan(left" in text
+        within = c.reach(trees)
+        assert 0 < c.edges.where((F.col("left") < within.right) & (F.col("right") > within.left)).count() < c.edges.count()
+        got = c.tree_nodes(trees)
+        assert got.count() == c.tree_nodes().where(F.col("tree_index").isin(
+            [r[0] for r in whole.collect()] if trees is whole else trees)).count()
+    assert c.tree_nodes([]).count() == 0 == c.tree_nodes([-1, 10 ** 6]).count()
+    long_list = list(range(0, 10_000, 2))
+    assert c.tree_nodes(long_list).count() == c.tree_nodes().where("tree_index % 2 = 0").count()
 
 
 @pytest.mark.parametrize("name", NATIVE)

@@ -128,21 +128,47 @@ def _(spark, sf_dir):
     return e.select(F.col("event_id").alias("id"), summary.json_safe(text).alias("value"))
 
 
-@query("sum05_integrity", O.trees("""
-    SELECT 'edge child in nodes' AS "check", count(*) AS n_bad FROM edges WHERE child NOT IN (SELECT id FROM nodes)
-    UNION ALL SELECT 'edge parent in nodes', count(*) FROM edges WHERE parent NOT IN (SELECT id FROM nodes)
-    UNION ALL SELECT 'edge not empty', count(*) FROM edges WHERE lft >= rgt
-    UNION ALL SELECT 'edge ends are breakpoints', 0
-    UNION ALL SELECT 'parent older than child', count(*) FROM edges e JOIN nodes a ON a.id = e.child
-      JOIN nodes z ON z.id = e.parent WHERE z.time <= a.time
-    UNION ALL SELECT 'mutation node in nodes', count(*) FROM mutations WHERE node_id NOT IN (SELECT id FROM nodes)
-    UNION ALL SELECT 'mutation site in sites', count(*) FROM mutations WHERE site_id NOT IN (SELECT id FROM sites)
-    UNION ALL SELECT 'mutation parent in mutations', count(*) FROM mutations
-      WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM mutations)""", O.MUTS))
+def _integrity(nodes: str, edges: str, sites: str, mutations: str) -> str:
+    return f"""
+    , steps AS (SELECT child, place, sum(n) AS n FROM (
+        SELECT child, lft AS place, 1 AS n FROM {edges} WHERE lft < rgt
+        UNION ALL SELECT child, rgt, -1 FROM {edges} WHERE lft < rgt) GROUP BY ALL),
+    points AS (SELECT lft AS p FROM iv UNION SELECT rgt FROM iv)
+    SELECT 'edge child in nodes' AS "check", count(*) AS n_bad FROM {edges} WHERE child NOT IN (SELECT id FROM {nodes})
+    UNION ALL SELECT 'edge parent in nodes', count(*) FROM {edges} WHERE parent NOT IN (SELECT id FROM {nodes})
+    UNION ALL SELECT 'edge not empty', count(*) FROM {edges} WHERE lft >= rgt
+    UNION ALL SELECT 'edge ends are breakpoints', count(*) FROM (SELECT lft AS p FROM {edges} UNION ALL SELECT rgt FROM {edges})
+      WHERE p NOT IN (SELECT p FROM points)
+    UNION ALL SELECT 'one parent at a time', count(*) FILTER (n > 1) FROM (
+      SELECT sum(n) OVER (PARTITION BY child ORDER BY place) AS n FROM steps)
+    UNION ALL SELECT 'parent older than child', count(*) FROM {edges} e JOIN {nodes} a ON a.id = e.child
+      JOIN {nodes} z ON z.id = e.parent WHERE z.time <= a.time
+    UNION ALL SELECT 'mutation node in nodes', count(*) FROM {mutations} WHERE node_id NOT IN (SELECT id FROM {nodes})
+    UNION ALL SELECT 'mutation site in sites', count(*) FROM {mutations} WHERE site_id NOT IN (SELECT id FROM {sites})
+    UNION ALL SELECT 'mutation parent in mutations', count(*) FROM {mutations}
+      WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM {mutations})"""
+
+
+@query("sum05_integrity", O.trees(_integrity("nodes", "edges", "sites", "mutations"), O.MUTS))
 def _(c):
     return tables.integrity_report(c.nodes, c.edges, c.sites, c.mutations, c.intervals)
 
 
+@query("sum05_integrity_faults", O.trees(_integrity("bn", "be", "bs", "bm"), O.MUTS, """
+    bn AS (SELECT id, CASE WHEN id % 17 = 5 THEN 1000.0 ELSE time END AS time FROM nodes WHERE id % 7 <> 3),
+    be AS (SELECT child, parent, lft, CASE WHEN child % 19 = 4 THEN lft WHEN child % 13 = 2 THEN rgt + 0.5 ELSE rgt END AS rgt
+           FROM edges UNION ALL SELECT child, 99, lft, rgt FROM edges WHERE child % 11 = 1),
+    bs AS (SELECT * FROM sites WHERE id % 5 <> 2),
+    bm AS (SELECT * FROM mutations WHERE id % 3 <> 1)"""))
+def _(c):
+    end = F.when(F.col("child") % 19 == 4, F.col("left")).when(F.col("child") % 13 == 2, F.col("right") + 0.5)
+    edges = c.edges.withColumn("right", end.otherwise(F.col("right"))).unionByName(
+        c.edges.where("child % 11 = 1").withColumn("parent", F.lit(99).cast("long")))
+    nodes = c.nodes.where("id % 7 <> 3").withColumn(
+        "time", F.when(F.col("id") % 17 == 5, 1000.0).otherwise(F.col("time")))
+    return tables.integrity_report(nodes, edges, c.sites.where("id % 5 <> 2"), c.mutations.where("id % 3 <> 1"), c.intervals)
+
+
 @query("snk01_genealogy_rows", O.placed("""
     SELECT tree_index, node_id // 512 AS chunk, lft AS interval_left, rgt AS interval_right,
       string_agg(node_id::VARCHAR, ',' ORDER BY node_id) AS node_ids,
@@ -197,7 +223,7 @@ def _(c):
 
 
 @query("snk06_layout_tables", O.placed("""
-    SELECT node_id::INT AS node_id, coalesce(parent_id, -1)::INT AS parent_id, is_tip, tree_index::INT AS tree_idx,
+    SELECT node_id::BIGINT AS node_id, coalesce(parent_id, -1)::BIGINT AS parent_id, is_tip, tree_index::BIGINT AS tree_idx,
            round(x::DOUBLE, 6) AS x, round(y::DOUBLE, 6) AS y FROM placed""", isolated=False))
 def _(c):
     table = sinks.layout_nodes(R.placed_nodes(c, isolated=False))
@@ -206,18 +232,11 @@ def _(c):
 
 
 @query("snk07_mutation_result", O.trees("""
-    SELECT id, position::BIGINT AS position, ancestral_state || '->' || derived_state AS mutation,
-      node_id::INT AS node_id, site_id::INT AS site_id, 0::BIGINT AS distance,
+    SELECT position::BIGINT AS position, ancestral_state || '->' || derived_state AS mutation,
+      node_id::BIGINT AS node_id, site_id::BIGINT AS site_id, ancestral_state, derived_state, 0::BIGINT AS distance,
       coalesce(tree_index, -1) AS tree_index, interval_left, interval_right FROM muts""", O.MUTS))
 def _(c):
-    rows = R.located_mutations(c, bounds=True)
-    return rows.select("id", F.col("position").cast("long").alias("position"),
-                       MUT.label(F.col("ancestral_state"), F.col("derived_state")).alias("mutation"),
-                       F.col("node_id").cast("int").alias("node_id"),
-                       F.col("site_id").cast("int").alias("site_id"),
-                       F.lit(0).cast("long").alias("distance"),
-                       C.sentinels(F.col("tree_index")).alias("tree_index"),
-                       "interval_left", "interval_right")
+    return sinks.mutation_result(R.located_mutations(c, bounds=True))
 
 
 STATS = """
@@ -396,7 +415,9 @@ for _strategy, _order in {
     raw_query(_strategy, _best(_order))(_build)
 
 
-@raw_query("int16_span_weighted_random")
+@raw_query("int16_span_weighted_random", _best("""CASE WHEN span > 0 THEN -ln(
+      ((((tree_index % 2147483648) * 2654435761 + 283521) % 4294967296 * 1103515245 + 12345) % 4294967296 + 1.0)
+      / 4294967297.0::DOUBLE) / span ELSE 'inf'::DOUBLE END"""))
 def _(spark, sf_dir):
     return I.representatives(_slotted(spark, sf_dir), NSTART, ZOOM / BP, "span_weighted_random", 7)
 
@@ -713,6 +734,54 @@ def _(c):
     return _thin_out(THN.thin_nodes(R.placed_nodes(c, isolated=False), multiplier=0.35, box=BOX))
 
 
+@query("snk06_layout_mutations", O.placed("""
+    SELECT round(x::DOUBLE, 6) AS mut_x, round(y::DOUBLE, 6) AS mut_y, tree_index AS mut_tree_idx, node_id AS mut_node_id,
+      mutation_id AS mut_id, inherited_state AS mut_inherited_state FROM pm""", O.MUTS, MUT_ON_TREE, isolated=False))
+def _(c):
+    table = R.layout_tables(R.layout_request(c, thin=False)).mutations
+    return table.select(num("mut_x").alias("mut_x"), num("mut_y").alias("mut_y"), "mut_tree_idx", "mut_node_id",
+                        "mut_id", "mut_inherited_state")
+
+
+@query("tre15_one_tree", O.placed(THIN_OUT + " WHERE tree_index = 40", CELL, GRID, PLAIN_KEY, WINNERS, KEPT,
+                                  isolated=False))
+def _(c):
+    return _thin_out(R.layout_request(c, [40, 9_999]).nodes)
+
+
+@query("tre15_window", O.placed(THIN_OUT + " JOIN iv USING (tree_index) WHERE rgt > 1500 AND lft < 1900",
+                                CELL, GRID, PLAIN_KEY, WINNERS, KEPT, isolated=False))
+def _(c):
+    trees = c.intervals.where("right > 1500 and left < 1900").select("tree_index")
+    return _thin_out(R.layout_request(c, trees).nodes)
+
+
+@query("tre15_window_mutations", O.placed("""
+    , onk AS (SELECT pm.* FROM pm JOIN thin USING (tree_index, node_id) JOIN iv USING (tree_index) WHERE rgt > 1500 AND lft < 1900)
+    SELECT tree_index, min(mutation_id) AS mutation_id FROM onk JOIN cell USING (tree_index)
+    GROUP BY tree_index, least(trunc(x::DOUBLE * res)::BIGINT, res - 1), least(trunc(y::DOUBLE * res)::BIGINT, res - 1)""",
+    CELL, GRID, PLAIN_KEY, WINNERS, KEPT, O.MUTS, MUT_ON_TREE, isolated=False))
+def _(c):
+    trees = c.intervals.where("right > 1500 and left < 1900").select("tree_index")
+    return R.layout_request(c, trees).mutations.select("tree_index", "mutation_id")
+
+
+@query("tre15_focused_nodes", O.placed(THIN_OUT, CELL, GRID, BOX_KEY, WINNERS, KEPT, isolated=False))
+def _(c):
+    return _thin_out(R.layout_request(c, multiplier=0.5, box=BOX).nodes)
+
+
+@query("tre15_focused_mutations", O.placed("""
+    , z AS (SELECT pm.*, tree_index = 40 AND pm.x >= 0.2 AND pm.x <= 0.7 AND pm.y >= 0.3 AND pm.y <= 1.0 AS inside
+            FROM pm JOIN thin USING (tree_index, node_id))
+    SELECT tree_index, mutation_id FROM z WHERE inside
+    UNION ALL SELECT tree_index, min(mutation_id) FROM z JOIN cell USING (tree_index) WHERE NOT inside
+    GROUP BY tree_index, least(trunc(x::DOUBLE * res)::BIGINT, res - 1), least(trunc(y::DOUBLE * res)::BIGINT, res - 1)""",
+    CELL, GRID, BOX_KEY, WINNERS_KEEP, KEPT, O.MUTS, MUT_ON_TREE, isolated=False))
+def _(c):
+    return R.layout_request(c, multiplier=0.35, box=BOX).mutations.select("tree_index", "mutation_id")
+
+
 @query("thn12_inside_cell_size", O.placed("""
     SELECT tree_index, round(greatest(0.0004, least(0.002, size * greatest(0.35, 0.0004 / size))), 9) AS fine,
       round(greatest(0.0004, least(0.002, size * greatest(0.95, 0.0004 / size))), 9) AS held FROM cell""", CELL,
