@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, isqrt
 from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
@@ -71,10 +71,9 @@ def locate(df: DataFrame, position: str, loc: Locator, out: str = "tree_index")
 
     -1 before the first start, ``n_trees`` from the end on, NULL for NULL / NaN.
     Up to ``MAX_SPLITS`` trees this is a projection (binary search, no
-    shuffle). Beyond that the first step finds the block of ``step``
-    consecutive trees, and an equi-join on the block number brings in its
-    ``step`` starts; the work per row stays bounded however dense the
-    breakpoints or the positions are.
+    shuffle). Beyond that it finds the block of ``step`` consecutive trees,
+    then the part of the block, then the tree: two equi-joins bring in lists
+    of about the square root of ``step`` starts each.
     """
     inf = float("inf")
     value = F.col(position).cast("double")
@@ -88,15 +87,23 @@ def locate(df: DataFrame, position: str, loc: Locator, out: str = "tree_index")
     if loc.step == 1:
         found = F.when(at_end, F.lit(loc.n_trees)).otherwise(block)
         return staged.withColumn(out, F.when(usable, found).cast("long")).drop("_pos", "_bucket")
-    members = loc.intervals.groupBy(
-        F.floor(F.col("tree_index") / F.lit(loc.step)).cast("long").alias("_block")
-    ).agg(F.sort_array(F.collect_list("left")).alias("_starts"))
-    inside = F.size(F.filter("_starts", lambda s: s <= F.col("_pos"))) - 1
-    found = (F.when(block < 0, F.lit(-1)).when(at_end, F.lit(loc.n_trees))
-             .otherwise(F.col("_block") * F.lit(loc.step) + inside))
-    return (staged.withColumn("_block", block).join(members, "_block", "left")
-            .withColumn(out, F.when(usable, found).cast("long"))
-            .drop("_pos", "_bucket", "_block", "_starts"))
+    part = isqrt(loc.step - 1) + 1                   # trees of a part
+    parts = -(-loc.step // part)                     # parts of a block
+    index = F.col("tree_index")
+    of_block = F.floor(index / F.lit(loc.step)).cast("long")
+    of_part = of_block * parts + F.floor(F.pmod(index, F.lit(loc.step)) / F.lit(part)).cast("long")
+    starts = F.sort_array(F.collect_list("left")).alias("_starts")
+    heads = loc.intervals.where(F.pmod(F.pmod(index, F.lit(loc.step)), F.lit(part)) == 0)
+    coarse = heads.groupBy(of_block.alias("_block")).agg(starts)
+    fine = loc.intervals.groupBy(of_part.alias("_part")).agg(starts)
+    before = F.size(F.filter("_starts", lambda s: s <= F.col("_pos"))) - 1
+    in_part = (staged.withColumn("_block", block).join(coarse, "_block", "left")
+               .withColumn("_part", F.col("_block") * parts + before).drop("_starts"))
+    tree = F.col("_block") * F.lit(loc.step) + (F.col("_part") - F.col("_block") * parts) * part + before
+    found = F.when(F.col("_block") < 0, F.lit(-1)).when(
+        F.col("_block") == len(loc.splits), F.lit(loc.n_trees)).otherwise(tree)
+    return (in_part.join(fine, "_part", "left").withColumn(out, F.when(usable, found).cast("long"))
+            .drop("_pos", "_bucket", "_block", "_part", "_starts"))
 
 
 class Reach(NamedTuple):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -192,15 +193,19 @@ def windows(raw: DataFrame, window: int = 50_000) -> DataFrame:
 
 # ---- tree text -> node rows ----------------------------------------------
 
+#: Comments, quoted labels (a doubled quote is a quote), signs, and plain text.
+_TOKENS = re.compile(r"\[[^\]]*\]?|'(?:[^']|'')*'?|[(),:;]|[^\['(),:;]+")
+
+
 def parse_newick(text: str) -> list[list]:
     """Nodes ``[parent, name, length, children]`` of one tree; node 0 is the root."""
     nodes = [[-1, "", 0.0, []]]
-    at, token, field = 0, [], "name"
+    at, held, is_length = 0, "", False
 
-    def close_token():
-        word = "".join(token).strip()
-        token.clear()
-        if field == "length":
+    def close():
+        nonlocal held
+        word, held = held.strip(), ""
+        if is_length:
             nodes[at][2] = float(word) if word else 0.0
         elif word:
             nodes[at][1] = word
@@ -210,36 +215,26 @@ def parse_newick(text: str) -> list[list]:
         nodes[parent][3].append(len(nodes) - 1)
         return len(nodes) - 1
 
-    quoted = comment = token_quoted = False
-    last = ""                                        # a quote right after a closing one is a quote
-    for char in text.strip():
-        if comment:
-            comment = char != "]"
-        elif quoted or char == "'":
-            if char != "'" or not quoted and last == "'" and token_quoted:
-                token.append(char)
-            quoted = (not quoted) if char == "'" else quoted
-            token_quoted = True
-        elif char == "[":
-            comment = True
-        elif char == "(":
-            at, field = child_of(at), "name"
-            token.clear()
-        elif char in ",)":
-            close_token()
-            field, up = "name", nodes[at][0]
+    for token in _TOKENS.findall(text.strip()):
+        sign = token[0]
+        if sign == "(":
+            at, held, is_length = child_of(at), "", False
+        elif sign in ",)":
+            close()
+            is_length, up = False, nodes[at][0]
             if up < 0:
                 raise ValueError("unbalanced tree text")
-            at = child_of(up) if char == "," else up
-        elif char == ":":
-            close_token()
-            field = "length"
-        elif char == ";":
+            at = child_of(up) if sign == "," else up
+        elif sign == ":":
+            close()
+            is_length = True
+        elif sign == ";":
             break
-        else:
-            token.append(char)
-        last = char
-    close_token()
+        elif sign == "'":
+            held += token[1:-1].replace("''", "'") if len(token) > 1 and token[-1] == "'" else token[1:]
+        elif sign != "[":
+            held += token
+    close()
     if at != 0:
         raise ValueError("unbalanced tree text")
     return nodes

@@ -58,7 +58,9 @@ def test_coordinates(spark):
     assert {r.y for r in N.newick_y(parsed, rows, F.lit(0.0)).collect()} == {1.0}
     x = {r.node_id: r.x for r in N.newick_x(N.with_postorder_ids(parsed)).collect()}
     assert [x[i] for i in range(5)] == pytest.approx([0, 0.5, 0.25, 1, 0.625])
-    assert N.shifts_tips("/data/Heliconius_v2/file.csv") and not N.shifts_tips("/data/human/x.csv")
+    moths = ("moths",)
+    assert N.shifts_tips("/data/Moths_v2/file.csv", moths) and not N.shifts_tips("/data/human/x.csv", moths)
+    assert not N.shifts_tips("/data/Moths_v2/file.csv")
     assert N.with_node_height(parsed).where("name = 'A'").first().node_height == pytest.approx(0.1)
 
 
