@@ -228,3 +228,13 @@ def test_text_functions(spark):
     odd = spark.createDataFrame([("(A:2e-3,B:1E2);",)], "t string").select(
         X.leaf_names(F.col("t")).alias("n"), X.longest_edge(F.col("t")).alias("l")).first()
     assert odd.n == ["A", "e-3", "B", "E2"] and odd.l == 100.0
+
+
+def test_quotes_and_broken_texts():
+    parse = lambda text: [n[1:3] for n in N.parse_newick(text)]
+    assert parse("('it''s':1,b c:2)r;") == [["r", 0.0], ["it's", 1.0], ["b c", 2.0]]
+    assert parse("('':1,''''[note]:2,a'b'c:3);") == [["", 0.0], ["", 1.0], ["'", 2.0], ["abc", 3.0]]
+    assert parse("(a[x:1,(]:1,[b]b:2.5e-1);") == [["", 0.0], ["a", 1.0], ["b", 0.25]]
+    for text in ("(a,b", "a,b)", "((a,b);"):
+        with pytest.raises(ValueError):
+            N.parse_newick(text)

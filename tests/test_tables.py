@@ -130,3 +130,9 @@ def test_requests_over_orders(spark, orders):
     assert {r.color for r in steps} == {"red"}
     lit = R.highlight(orders, "segment", "building", [40]).collect()
     assert lit and {r.tree_index for r in lit} == {40}
+
+
+def test_a_table_without_a_needed_column_is_refused(spark, tmp_path):
+    spark.createDataFrame([(1, 2)], "parent long, child long").write.parquet(f"{tmp_path}/edges.parquet")
+    with pytest.raises(ValueError, match="'edges' lacks left, right"):
+        tables.load_table(spark, str(tmp_path), "edges")

@@ -186,3 +186,38 @@ def test_hot_keys_are_spread(spark, forest, monkeypatch):
     assert {tuple(r) for r in spread.collect()} == plain
     again = LAY.with_parent(tn, ["time"]).collect()
     assert {(r.tree_index, r.node_id, r.parent_time) for r in again} == ups and len(again) == len(ups)
+
+
+def ladder(spark, tips):
+    """One ladder: tips 0..n-1 hang from inner nodes n..2n-2, the root first."""
+    rows = [(0, k, tips + min(k, tips - 2)) for k in range(tips)]
+    rows += [(0, tips + k + 1, tips + k) for k in range(tips - 2)] + [(0, tips, None)]
+    return spark.createDataFrame(
+        [(t, c, p, 0.0 if c < tips else 1.0, int(c < tips), 0 if c < tips else 2, c < tips) for t, c, p in rows],
+        "tree_index long, node_id long, parent_id long, time double, flags long, n_children long, is_tip boolean")
+
+
+def test_both_layouts_agree_exactly_on_a_deep_tree(spark):
+    tn = ladder(spark, 400)
+    joined = {r.node_id: r.x for r in LAY.layout_x(tn, kernel_nodes=10).collect()}
+    assert joined == {r.node_id: r.x for r in LAY.layout_x(tn, kernel_nodes=10_000).collect()}
+
+
+def test_long_paths_have_no_limit(spark):
+    n = 12_000
+    chain = spark.createDataFrame([(0, k, k + 1) for k in range(n - 1)] + [(0, n - 1, None), (1, 5, 6), (1, 6, 7), (1, 7, 6)],
+                                  "tree_index long, node_id long, parent_id long")
+    seeds = spark.createDataFrame([(0, 0), (0, n - 3), (1, 5)], "tree_index long, node_id long")
+    paths = {}
+    for r in LIN.acyclic_paths(chain, seeds).collect():
+        paths.setdefault((r.tree_index, r.seed), {})[r.distance] = r.node_id
+    assert paths[0, 0] == {k: k for k in range(n)}
+    assert paths[0, n - 3] == {k: n - 3 + k for k in range(3)}
+    assert paths[1, 5] == {0: 5, 1: 6, 2: 7}
+
+
+def test_two_parents_at_once_are_refused(spark, two_trees):
+    more = spark.createDataFrame([(9, 0.0, 10.0, 4, 0)], two_trees.edges.schema)
+    crowded = two_trees._replace(edges=two_trees.edges.unionByName(more))
+    with pytest.raises(Exception, match="two parents at once: node 0 in tree 0"):
+        crowded.tree_nodes().collect()

@@ -18,6 +18,7 @@ from copse.sources import bed, newick as N, sinks, summary, tables
 from copse.streaming import landing
 from workload import newick as ON, oracle as O
 from workload.collection import LENGTH, orders_collection
+from workload import lines as LN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1553,3 +1554,63 @@ def _(spark, sf_dir):
     out = TOP.samples_down_rows(kept, TOP.first_seen_samples(rows))
     return out.select("chrom", F.col("start").alias("genomic_positions"),
                       X.longest_edge(F.col("newick"), X.LENGTH_PLAIN).alias("max_branch_length"), "samples")
+
+
+# ---- very many trees --------------------------------------------------------
+
+def lines_query(name: str, sql: str):
+    """Register a query over the collection of order lines."""
+    def add(build: Callable[[Collection], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: build(LN.lines_collection(spark, sf_dir))
+        ORACLE[name] = O.sql(sql, LN.SQL)
+        return build
+    return add
+
+
+@lines_query("many_tre01_active_edges", "SELECT tree_index, child, parent FROM ed")
+def _(c):
+    return c.tree_edges().select("tree_index", "child", "parent")
+
+
+@lines_query("many_tre05_membership", "SELECT tree_index, node_id, coalesce(parent_id, -1) AS parent_id FROM tn")
+def _(c):
+    return c.tree_nodes(isolated=False).select("tree_index", "node_id", C.sentinels(F.col("parent_id")).alias("parent_id"))
+
+
+@lines_query("many_tre15_request", """
+    SELECT tree_index, node_id, coalesce(parent_id, -1) AS parent_id FROM tn WHERE tree_index % 97 = 5 AND tree_index < 2000""")
+def _(c):
+    asked = c.intervals.where("tree_index % 97 = 5 and tree_index < 2000").select("tree_index")
+    return c.tree_nodes(asked, isolated=False).select("tree_index", "node_id", C.sentinels(F.col("parent_id")).alias("parent_id"))
+
+
+@lines_query("many_tre24_statistics", """
+    SELECT tree_index, 100.0 AS root_time, sum(z.time - a.time)::DOUBLE AS total_branch_length, 1::BIGINT AS n_roots
+    FROM ed JOIN tm a ON a.id = child JOIN tm z ON z.id = parent GROUP BY tree_index""")
+def _(c):
+    stats = T.tree_statistics(c.runs(isolated=False), c.loc)
+    return stats.select("tree_index", "root_time", num("total_branch_length").alias("total_branch_length"), "n_roots")
+
+
+@lines_query("many_snk05_membership_ranges", """
+    SELECT node_id, min(tree_index) AS first_tree, max(tree_index) + 1 AS last_tree FROM (
+      SELECT node_id, tree_index, tree_index - row_number() OVER (PARTITION BY node_id ORDER BY tree_index) AS island FROM tn)
+    GROUP BY node_id, island""")
+def _(c):
+    return T.membership_ranges(c.runs(isolated=False), c.loc.n_trees)
+
+
+@lines_query("many_mut03_with_interval", """
+    SELECT k * 10 + n AS id, tree_index, lft AS interval_left, rgt AS interval_right FROM ll JOIN iv USING (k)""")
+def _(c):
+    return R.located_mutations(c, bounds=True).select("id", "tree_index", "interval_left", "interval_right")
+
+
+@lines_query("many_lin01_ancestors_of_tips", """
+    SELECT tree_index, a.child AS seed, b.node_id FROM ed a JOIN tn b USING (tree_index)
+    WHERE a.child < 99 AND (b.node_id = 99 OR b.node_id BETWEEN 101 AND a.parent) AND tree_index % 50 = 3""")
+def _(c):
+    asked = c.intervals.where("tree_index % 50 = 3").select("tree_index")
+    tn = c.written_nodes(asked, isolated=False)
+    return LIN.acyclic_paths(tn, tn.where("is_tip").select("tree_index", "node_id")).where(
+        "distance > 0").select("tree_index", "seed", "node_id")
