@@ -124,6 +124,24 @@ def highlight_values(c: Collection, key: str, values: DataFrame, trees=None,
     return asked.join(found, "value", "left").select("value", "tree_index", "node_id", "x", "y")
 
 
+def count_values(c: Collection, key: str, values: DataFrame) -> DataFrame:
+    """Samples per requested value, a value nobody has counting 0, and the ``total`` over all values.
+
+    A sample has one value of a key, so the total counts it once.
+    """
+    hits = MET.multi_value_hits(MET.sample_values(samples(c), key), values)
+    counts = hits.groupBy("value").agg(F.count("node_id").alias("n_samples"))
+    total = hits.agg(F.count("node_id")).first()[0]
+    return counts.withColumn("total", F.lit(total).cast("long"))
+
+
+def value_lineages(c: Collection, key: str, values: DataFrame, trees=None) -> DataFrame:
+    """Root-to-sample path rows of the samples with requested values: ``(tree_index, seed, step, node_id, value)``."""
+    tn = c.written_nodes(trees, isolated=False)
+    hits = MET.multi_value_hits(MET.sample_values(samples(c), key), values).where(F.col("node_id").isNotNull())
+    return LIN.lineage_steps(tn, hits.join(tn.select("tree_index", "node_id"), "node_id"))
+
+
 def search_names(c: Collection, names: DataFrame, trees=None) -> DataFrame:
     """Named samples per tree they are members of."""
     found = MET.find_names(MET.name_index(samples(c)), names)

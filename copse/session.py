@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", app: str = "copse", **conf: str) -> Spa
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(parallel))
         .config("spark.sql.session.timeZone", "UTC")

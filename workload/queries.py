@@ -1165,6 +1165,39 @@ def _(c):
                       F.coalesce(num("x"), F.lit(-1.0)).alias("x"))
 
 
+@query("met14_value_counts", O.trees("""
+    , q(value) AS (VALUES ('building'), ('MACHINERY'), ('nobody')),
+    n AS (SELECT q.value, count(node_id) AS n_samples FROM q LEFT JOIN vals USING (value) GROUP BY q.value)
+    SELECT value, n_samples, (SELECT sum(n_samples) FROM n)::BIGINT AS total FROM n""", O.META))
+def _(c):
+    wanted = c.spark.createDataFrame([("building",), ("MACHINERY",), ("nobody",), ("building",)], "value string")
+    return R.count_values(c, "segment", wanted)
+
+
+PATH_STEPS = """
+    , deep AS (SELECT tree_index, seed, max(distance) AS depth FROM anc GROUP BY ALL),
+    step AS (SELECT tree_index, seed, depth - distance AS step, node_id FROM anc JOIN deep USING (tree_index, seed) WHERE depth > 0)
+"""
+
+
+@query("met14_value_lineages", lineage_sql(PATH_STEPS + """
+    SELECT tree_index, seed, step::BIGINT AS step, step.node_id, value FROM step JOIN vals ON vals.node_id = seed
+    WHERE value IN ('building', 'MACHINERY') AND tree_index IN (3, 40, 41)""", O.META, isolated=False))
+def _(c):
+    wanted = c.spark.createDataFrame([("building",), ("MACHINERY",), ("nobody",)], "value string")
+    out = R.value_lineages(c, "segment", wanted, [3, 40, 41])
+    return out.select("tree_index", "seed", F.col("step").cast("long").alias("step"), "node_id", "value")
+
+
+@query("met11_name_lineages", lineage_sql(PATH_STEPS + """
+    SELECT tree_index, seed, step::BIGINT AS step, step.node_id, upper(name) AS name FROM step JOIN smp ON smp.node_id = seed
+    WHERE tree_index BETWEEN 20 AND 30""", O.META, isolated=False))
+def _(c):
+    trees = c.intervals.where("tree_index between 20 and 30").select("tree_index")
+    out = R.name_lineages(c, _asked_names(c), trees)
+    return out.select("tree_index", "seed", F.col("step").cast("long").alias("step"), "node_id", "name")
+
+
 @query("met15_trees_with_samples", O.trees("""
     SELECT DISTINCT tree_index FROM touch JOIN vals USING (node_id) WHERE value = 'building'""", O.META))
 def _(c):
