@@ -162,7 +162,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         F.bit_count(F.bit_or("near")).alias("n_near"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train=None, min_near: int = 8, min_odds: float = 3.0,
+def learn(docs: DataFrame, labels: DataFrame, train=None, min_near: int = 5, min_odds: float = 3.0,
           exceptions: tuple[str, ...] = EXCEPTIONS, most_rows: int = LEARN_ROWS) -> Lexicon:
     """A lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
