@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from copse.session import ship
@@ -15,6 +16,11 @@ from copse.session import ship
 #: UTF-8 bytes of text that a kernel sees at once; a longer text comes alone.
 BATCH_BYTES = 4 << 20
 
+def named(*names: str) -> list[Column]:
+    """Columns by name, whatever signs the names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 Kernel = Callable[[list[bytes | None]], dict[str, object]]
 
 
@@ -53,8 +59,10 @@ def annotate(df: DataFrame, text: str, kernel: Callable[[], Kernel], fields: str
     made = StructType.fromDDL(fields)
     names = [into] if into else made.fieldNames()
     keep = [c for c in keep if c not in names]
-    source = df.select(*keep) if text in keep else df.select(*keep, text)
-    schema = StructType([source.schema[c] for c in keep])
+    source = df.select(*named(*keep)) if text in keep else df.select(*named(*keep, text))
+    schema = StructType(source.schema.fields[:len(keep)])
+    at = source.columns.index(text)
+    plain = source.toDF(*[f"_{k}" for k in range(len(source.columns))])   # names with dots would not resolve
     schema = schema.add(into, made) if into else StructType(schema.fields + made.fields)
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(made)
@@ -62,15 +70,15 @@ def annotate(df: DataFrame, text: str, kernel: Callable[[], Kernel], fields: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = kernel()
         for whole in batches:
-            for batch in bounded(whole, text):
-                out = apply(texts_of(batch, text))
+            for batch in bounded(whole, f"_{at}"):
+                out = apply(texts_of(batch, f"_{at}"))
                 columns = [pa.array(out[f.name], type=f.type) for f in arrow]
-                kept = [batch.column(c) for c in keep]
+                kept = [batch.column(k) for k in range(len(keep))]
                 if into:
                     columns = [pa.StructArray.from_arrays(columns, fields=list(arrow))]
                 yield pa.RecordBatch.from_arrays(kept + columns, names=keep + names)
 
-    return source.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -107,3 +115,39 @@ class Index(dict):
         self.fresh = []
         numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return numbers, self.fresh, anew
+
+
+class Flat:
+    """Lists of ids in one growing array, by the number of their word."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids = np.zeros(1 << 16, np.uint32)      # ids of all words in a row
+        self.starts = np.zeros(1 << 14, np.int64)    # where each word's begin
+        self.sizes = np.zeros(1 << 14, np.int64)
+        self.used = self.count = 0
+
+    def add(self, lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        total, words = self.used + int(sizes.sum()), self.count + len(lists)
+        self.ids, self.starts, self.sizes = _room(self.ids, total), _room(self.starts, words), _room(self.sizes, words)
+        self.ids[self.used:total] = np.fromiter(chain.from_iterable(lists), np.uint32, total - self.used)
+        self.sizes[self.count:words] = sizes
+        self.starts[self.count:words] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.count = total, words
+
+    def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has."""
+        sizes = self.sizes[codes]
+        first = np.repeat(self.starts[codes] - (np.cumsum(sizes) - sizes), sizes)
+        return self.ids[first + np.arange(len(first))], sizes
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(array):
+        return array
+    grown = np.zeros(max(size, 2 * len(array)), array.dtype)
+    grown[:len(array)] = array
+    return grown

@@ -13,17 +13,21 @@ by word, and each different word once per task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from copse.llm.batches import Index, Kernel, annotate
+from copse.llm.batches import Flat, Index, Kernel, annotate
 
 SPACE = "▁"
 #: Fixed value: the model file of the query; a parameter everywhere else.
 MODEL = "piece_bpe_32k.model"
+#: Marks a part that follows the one before it without a space.
+JOINED = "\x00"
+_ENDING = re.compile("(?<=[A-Za-z0-9\u00c0-\u00ff])([.,;:!?]+)(?= |\\Z)")
 #: Weight of a character in bytes: over any piece.
 FALLBACK = 1e6
 
@@ -46,6 +50,8 @@ class Transducer:
     prefixes: frozenset[str]
 
     def __post_init__(self):
+        # Whether marks behind a letter, and lines, can be taken for themselves.
+        self.splits = not any("\n" in p or re.search("[A-Za-z0-9\u00c0-\u00ff][.,;:!?]", p) for p in self.weights)
         self._halves: dict[str, tuple[str, str] | None] = {}
         self._open: dict[tuple[str, str], bool] = {}
 
@@ -256,39 +262,68 @@ class Decoder:
         self.data |= {i: bytes([b]) for b, i in enumerate(model.bytes_) if i >= 0}
         self.dummy_prefix = model.dummy_prefix
 
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return b"".join([self.data.get(i, b"") for i in ids])
+
     def decode(self, ids: list[int]) -> str:
         """Bytes that are no UTF-8 become replacement characters."""
-        text = b"".join(self.data.get(i, b"") for i in ids)
+        text = self.bytes_of(ids)
         if self.dummy_prefix and text.startswith(b" "):
             text = text[1:]
         return text.decode("utf-8", "replace")
 
 
-FIELDS = "ids array<int>"
-
+class Encoder:
+    """Ids of texts, the path of each different word found once per task."""
 
-def _encoder(path: str):
-    """From texts to ids in a row with the number of each, every word's path found once per task."""
-    model, index = transducer(path), Index()
-    paths: list[np.ndarray] = []
+    def __init__(self, path: str):
+        self.model = transducer(path)
+        self.decoder = Decoder(self.model)
+        self.index, self.ids, self.whole = Index(400_000), Flat(), np.zeros(0, bool)
 
-    def run(texts: list[bytes | None]) -> list[np.ndarray]:
+    def words(self, text: str) -> list[str]:
+        """Parts that have a path each for itself: words without their one space in front, and, marked by
+        ``JOINED``, marks behind a word and lines, where no piece of the model reaches across."""
+        if (not self.model.dummy_prefix or "  " in text or SPACE in text or JOINED in text
+                or text[0] == " " or text[-1] == " "):
+            return self.model.words(self.model.normalised(text))
+        if self.model.splits:
+            if "\n" in text:
+                text = text.replace("\n", f" {JOINED}\n {JOINED}")
+            text = _ENDING.sub(f" {JOINED}\\1", text)
+        return text.split(" ")
+
+    def _spelled(self, word: str) -> str:
+        if word.startswith(JOINED):
+            return word[1:]
+        return word if word.startswith(SPACE) or not self.model.dummy_prefix else SPACE + word
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in a row, the number of each text's, and whether decoding gives each text back."""
         words, sizes = [], []
         for text in texts:
-            own = model.words(model.normalised(text.decode("utf-8"))) if text else []
+            own = self.words(text.decode("utf-8")) if text else []
             words += own
             sizes.append(len(own))
-        codes, fresh, anew = index.codes(words)
+        codes, fresh, anew = self.index.codes(words)
         if anew:
-            paths.clear()
-        paths.extend(np.array(model.path(w), np.int32) for w in fresh)
-        out, at = [], 0
-        none = np.zeros(0, np.int32)
-        for size in sizes:
-            out.append(np.concatenate([paths[c] for c in codes[at:at + size].tolist()]) if size else none)
-            at += size
-        return out
-    return run
+            self.ids.clear()
+            self.whole = self.whole[:0]
+        spelled = [self._spelled(w) for w in fresh]
+        found = [self.model.path(w) for w in spelled]
+        self.ids.add(found)
+        # Decoding puts the bytes of ids in a row, so a text comes back if all its words do.
+        self.whole = np.concatenate([self.whole, np.fromiter(
+            (self.decoder.bytes_of(i) == w.replace(SPACE, " ").encode() and SPACE not in w.lstrip(SPACE)
+             for i, w in zip(found, spelled)), bool, len(found))])
+        flat, lengths = self.ids.take(codes)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        broken = np.bincount(row, ~self.whole[codes], minlength=len(texts)) > 0
+        literal = np.array([t is not None and SPACE.encode() in t for t in texts], bool)
+        return flat, np.bincount(row, lengths, minlength=len(texts)).astype(np.int64), ~broken & ~literal
+
+
+FIELDS = "ids array<int>"
 
 
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -300,21 +335,29 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", keep:
     path = path or model_path()
 
     def kernel() -> Kernel:
-        run = _encoder(path)
-        return lambda texts: {"ids": run(texts)}
+        encoder = Encoder(path)
+
+        def run(texts):
+            ids, lengths, _ = encoder.encode(texts)
+            return {"ids": np.split(ids.astype(np.int32), np.cumsum(lengths)[:-1])}
+        return run
     return annotate(docs, text, kernel, FIELDS, keep or ["doc_id"])
 
 
 def digests(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Number and checksum of the ids of every text, and whether decoding them gives the text back."""
+    """Number and checksum of the ids of every text, and whether decoding them gives the text back.
+
+    A text with a ``\u2581`` of its own does not come back: it decodes to a space.
+    """
     path = path or model_path()
 
     def kernel() -> Kernel:
-        run, decoder = _encoder(path), Decoder(transducer(path))
+        encoder = Encoder(path)
 
         def digest(texts):
-            ids = run(texts)
-            return {"n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids],
-                    "round_trip": [decoder.decode(x.tolist()).encode() == (t or b"") for x, t in zip(ids, texts)]}
+            ids, lengths, whole = encoder.encode(texts)
+            data, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths).tolist()
+            return {"n_tokens": lengths, "round_trip": whole,
+                    "ids_crc32": [zlib.crc32(data[4 * (b - n):4 * b]) for b, n in zip(ends, lengths.tolist())]}
         return digest
     return annotate(docs, text, kernel, "n_tokens long, ids_crc32 long, round_trip boolean", keep or ["doc_id"])

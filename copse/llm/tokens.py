@@ -8,7 +8,7 @@ from itertools import chain
 
 import numpy as np
 
-from copse.llm.batches import Index
+from copse.llm.batches import Flat, Index
 
 #: Fixed value: the vocabulary file of the queries; a parameter everywhere else.
 VOCABULARY = "word_bpe_49k.json"
@@ -50,26 +50,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word, self.index = by_word, Index(limit)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.ids = np.zeros(1 << 16, np.uint32)      # ids of all words in a row
-        self.starts = np.zeros(1 << 14, np.int64)    # where each word's begin
-        self.sizes = np.zeros(1 << 14, np.int64)
-        self.used, self.count = 0, 0
+        self.by_word, self.index, self.flat = by_word, Index(limit), Flat()
 
     def _add(self, words: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        self.ids = _room(self.ids, self.used + len(flat))
-        self.starts, self.sizes = _room(self.starts, self.count + len(ids)), _room(self.sizes, self.count + len(ids))
-        self.ids[self.used:self.used + len(flat)] = flat
-        self.sizes[self.count:self.count + len(ids)] = sizes
-        self.starts[self.count:self.count + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.used, self.count = self.used + len(flat), self.count + len(ids)
+        self.flat.add([e.ids for e in found])
 
     def encode(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with ``end`` behind it, and the number of ids of each."""
@@ -86,27 +71,13 @@ class Encoder:
             n_words[k] = len(own)
         codes, fresh, anew = self.index.codes(words)
         if anew:
-            self._clear()
+            self.flat.clear()
         for k in range(0, len(fresh), 20_000):
             self._add(fresh[k:k + 20_000])
-        sizes, starts = self.sizes[codes], self.starts[codes]
+        ids, sizes = self.flat.take(codes)
         row = np.repeat(np.arange(len(texts)), n_words)
-        lengths = np.bincount(row, sizes, minlength=len(texts)).astype(np.int64) + 1
-        # Place of each word's first id in the result: the ids before it and an end for each text before.
-        at = np.cumsum(sizes) - sizes + row
-        total = int(sizes.sum())
-        inside = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        out = np.full(total + len(texts), end, np.uint32)
-        out[np.repeat(at, sizes) + inside] = self.ids[np.repeat(starts, sizes) + inside]
-        return out, lengths
-
-
-def _room(array: np.ndarray, size: int) -> np.ndarray:
-    if size <= len(array):
-        return array
-    grown = np.zeros(max(size, 2 * len(array)), array.dtype)
-    grown[:len(array)] = array
-    return grown
+        lengths = np.bincount(row, sizes, minlength=len(texts)).astype(np.int64)
+        return np.insert(ids, np.cumsum(lengths), end), lengths + 1
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

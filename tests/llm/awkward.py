@@ -6,7 +6,7 @@ import re
 import zlib
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
-          "score double, kept boolean, n_words string, shard int, spans string, slot string, ids string")
+          "score double, kept boolean, n_words string, shard int, spans string, slot string, ids string, `a.b` string")
 
 
 def rows():
@@ -19,9 +19,9 @@ def rows():
         (9, "mail a.b@c.example.org and +1 (017) 555-7713 or 192.168.0.1 card 4111 1111 1111 1111", "en"),
         (10, "long " + " ".join(f"w{k % 7919}" for k in range(120_000)), "en"),
         (11, "x" * 300_000, "en"), (12, "ДА 你好 \x00 é É ß 🎉 … ﬁ", None), (13, plain + " more", "en"),
-        (14, "!!! ### $$$ | | |", None), (15, "same line\nsame line\nsame line\n\n", "en"),
+        (14, "!!! ### $$$ | | | ²", None), (15, "same line\nsame line\nsame line\n\n", "en"),
     ]
-    return [(k, t, lang, None if k == 3 else "s", None, 0.5, None, "7", 3, "x", None, "y") for k, t, lang in texts]
+    return [(k, t, lang, None if k == 3 else "s", None, 0.5, None, "7", 3, "x", None, "y", "z") for k, t, lang in texts]
 
 
 def frame(spark):

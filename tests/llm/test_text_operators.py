@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from copse.llm import langid, pieces, pii, quality, toxicity
-from awkward import base_spans, frame, quality as plain_quality, rows
+from awkward import base_spans, crc, frame, quality as plain_quality, rows
 
 
 @pytest.fixture(scope="module")
@@ -154,7 +154,7 @@ def test_exception_phrases_void_matches(spark):
 
 
 PIECE_TEXTS = ["", "a", "  a  b ｆ\n\tc ", "héllo wörld 你好 🎉 hello", "aaaaaaaaaaaaaaaaaaaa", "    def f(x):\n        return x",
-               "http://www.example.com/a?b=1&c=2", "Internationalization. ΟΔΟΣ Привет", "<s></s><0x41>", " ", "       "]
+               "http://www.example.com/a?b=1&c=2", "Internationalization. ΟΔΟΣ Привет", "end.\nNext, \nline!? \n\n é. ².,\n", "\nfirst", "last \n.", "a\x00.b c", "<s></s><0x41>", " ", "       "]
 
 
 def test_pieces_equal_the_library():
@@ -192,5 +192,13 @@ def test_piece_rows(spark, docs):
     got = {r["doc_id"]: r for r in pieces.digests(docs.where("doc_id is not null")).collect()}
     assert all(r["round_trip"] for r in got.values())
     assert got[4]["n_tokens"] == got[5]["n_tokens"] == 0
+    import sentencepiece
+    library = _library(sentencepiece)
+    for r in rows():
+        if r[0] is not None:
+            assert (got[r[0]]["n_tokens"], got[r[0]]["ids_crc32"]) == (len(x := library.encode(r[1] or "")), crc(x))
+    odd = spark.createDataFrame([(k, t) for k, t in enumerate(PIECE_TEXTS + ["a \u2581b"])], "doc_id long, text string")
+    assert [r["ids"] for r in pieces.encoded(odd).orderBy("doc_id").collect()] == [library.encode(t) for t in PIECE_TEXTS + ["a \u2581b"]]
+    assert [r["round_trip"] for r in pieces.digests(odd).orderBy("doc_id").collect()] == [True] * len(PIECE_TEXTS) + [False]
     assert pieces.encoded(docs.limit(0)).count() == 0
 
