@@ -223,8 +223,10 @@ def _sums(model: Model):
             if anew:
                 held = held[:0]
             if fresh:
+                # Signs like ² are word characters but no letters: they count for nothing.
+                letters = np.array([any(map(str.isalpha, w)) for w in fresh])
                 length = np.array([len(w) + 1 for w in fresh], float)
-                held = np.vstack([held, np.column_stack([model.costs(fresh), length])])
+                held = np.vstack([held, np.column_stack([model.costs(fresh), length]) * letters[:, None]])
             row = np.repeat(np.arange(len(texts)), sizes)
             sums = np.column_stack([np.bincount(row, held[codes, k], minlength=len(texts))
                                     for k in range(held.shape[1])]) if len(texts) else held[:0]

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from copse.llm.batches import Index, Kernel, annotate, bounded, free_name, texts_of
+from copse.llm.batches import Index, Kernel, annotate, bounded, free_name, named, texts_of
 from copse.llm.components import components
 from copse.session import ship, written
 
@@ -374,4 +374,4 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **how
     number = free_name(docs, "_number")
     first = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last(text)))
     one = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").withColumn(number, first).where(F.col(number) == 1)
-    return one.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    return one.select(*named(*docs.columns)).union(docs.where(F.col(key).isNull()))

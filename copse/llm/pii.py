@@ -19,7 +19,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from copse.llm.batches import Index, Kernel, annotate, free_name
+from copse.llm.batches import Index, Kernel, annotate, free_name, named
 from copse.session import ship, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -245,7 +245,7 @@ def found(docs: DataFrame, text: str = "text", keep: list[str] | None = None, in
     ordered = F.expr(f"""array_sort(concat({box}.spans, coalesce(_more, array())), (a, b) -> case
         when a.start < b.start then -1 when a.start > b.start then 1
         when a.kind < b.kind then -1 when a.kind > b.kind then 1 else 0 end)""")
-    return rows.join(sure, row, "left").select(*[c for c in keep if c != into], ordered.alias(into))
+    return rows.join(sure, row, "left").select(*named(*[c for c in keep if c != into]), ordered.alias(into))
 
 
 def listed(spans: str = "spans", base_only: bool = False):
@@ -269,7 +269,7 @@ def sanitised(docs: DataFrame, text: str = "text", **how) -> DataFrame:
 
     clean = F.pandas_udf(lambda t, s: pd.Series([replaced(a, b) for a, b in zip(t, s)]), "string")
     some = F.size(spans) > 0
-    return rows.withColumn(text, F.when(some, clean(F.col(text), F.col(spans))).otherwise(F.col(text))).select(*docs.columns)
+    return rows.withColumn(text, F.when(some, clean(F.col(text), F.col(spans))).otherwise(F.col(text))).select(*named(*docs.columns))
 
 
 def replaced(text: str | None, spans) -> str | None:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from copse.llm.batches import Kernel, annotate, free_name
+from copse.llm.batches import Kernel, annotate, free_name, named
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -132,7 +132,7 @@ def filtered(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that a policy keeps, in all their columns."""
     box = free_name(docs, "_measured")
     rows = annotate(docs, text, _kernel, MEASURES, docs.columns, box)
-    return rows.where(passes(policy, failure_bits(lambda name: F.col(f"{box}.{name}")))).select(*docs.columns)
+    return rows.where(passes(policy, failure_bits(lambda name: F.col(f"{box}.{name}")))).select(*named(*docs.columns))
 
 
 def judged(rows: DataFrame, *policies: Policy) -> DataFrame:
