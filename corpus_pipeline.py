@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from copse.llm import neardup, packing, pii, quality, toxicity
-from copse.llm.batches import free_name, table
+from copse.llm.batches import free_name, named, table
 from copse.session import written
 
 #: Score from which a document is rejected as toxic.
@@ -26,7 +26,7 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
     box = free_name(docs, "_toxicity")
     rows = toxicity.scored(docs, lexicon, keep=docs.columns, into=box)
-    return rows.where(F.col(f"{box}.score") < TOXIC).select(*docs.columns)
+    return rows.where(F.col(f"{box}.score") < TOXIC).select(*named(*docs.columns))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
