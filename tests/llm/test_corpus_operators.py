@@ -277,10 +277,10 @@ def test_pipeline(spark, docs, tmp_path):
     spark.createDataFrame([(1, 0), (3, 1), (9, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     now = docs
     for name, stage in pipeline.STAGES[:-1]:
-        after = stage(spark, now, str(tmp_path))
+        after = stage(spark, now, str(tmp_path)).cache()
         assert after.columns == docs.columns and after.count() <= now.count()
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
-        now = after.cache()
+        now = after
     left = {r["doc_id"] for r in now.collect()}
     assert 1 in left and 3 in left and not left & {2, 4, 5, 6, 7, 8, 13, 14, 15}
     assert pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() >= now.count()
