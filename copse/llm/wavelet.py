@@ -38,15 +38,16 @@ FILE_IDS = 1 << 20
 def build(ids: np.ndarray, keys: np.ndarray, null_keys: np.ndarray, lengths: np.ndarray) -> bytes:
     """The compressed file of documents' ids in a row."""
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    seq = ids.astype(np.uint32)
+    kind = np.uint16 if planes <= 16 else np.uint32
+    seq = ids.astype(kind)
+    pad = bytes(-(-(-len(seq) // 8)) % (BLOCK // 8))
     zeros, data = [], []
     for plane in range(planes - 1, -1, -1):
-        bit = (seq >> np.uint32(plane)) & np.uint32(1)
-        ones = bit.astype(bool)
-        zeros.append(len(seq) - int(ones.sum()))
-        packed = np.packbits(bit.astype(np.uint8), bitorder="little")
-        data.append(np.pad(packed, (0, -len(packed) % (BLOCK // 8))).tobytes())
-        seq = np.concatenate([seq[~ones], seq[ones]])
+        ones = (seq & kind(1 << plane)) != 0
+        zeros.append(len(seq) - int(np.count_nonzero(ones)))
+        data += [np.packbits(ones, bitorder="little").tobytes(), pad]
+        if plane:
+            seq = np.concatenate([seq[~ones], seq[ones]])
     head = MAGIC + np.array([planes, len(lengths), len(ids)], "<u4").tobytes()
     body = (np.asarray(keys, "<i8").tobytes() + np.asarray(null_keys, "u1").tobytes()
             + np.asarray(lengths, "<u4").tobytes() + np.asarray(zeros, "<u4").tobytes())
@@ -157,15 +158,16 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids in order: the planes undone from the last to the first."""
-        values = np.zeros(self.size, np.uint32)
-        for plane in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[plane], count=self.size, bitorder="little").astype(bool)
-            back = np.empty(self.size, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        values = np.unpackbits(self.planes[-1], count=self.size, bitorder="little").astype(kind)
+        for plane in range(len(self.planes) - 2, -1, -1):
+            bit = np.unpackbits(self.planes[plane], count=self.size, bitorder="little").view(bool)
+            back = np.empty(self.size, kind)
             zeros = int(self.zeros[plane])
             back[~bit] = values[:zeros]
-            back[bit] = values[zeros:] | np.uint32(1 << (len(self.planes) - 1 - plane))
+            back[bit] = values[zeros:] | kind(1 << (len(self.planes) - 1 - plane))
             values = back
-        return values
+        return values.astype(np.uint32)
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "text", key: str = "doc_id",
