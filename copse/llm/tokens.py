@@ -46,7 +46,7 @@ class Encoder:
     ``by_word=False``, which encodes whole texts.
     """
 
-    def __init__(self, path: str, by_word: bool = True, limit: int = 400_000):
+    def __init__(self, path: str, by_word: bool = True, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
