@@ -3,10 +3,11 @@
 Patterns find e-mail addresses, IP addresses, card and phone numbers: the
 protected entities. A term discloses an entity as far as seeing the term
 tells of the entity: their pointwise mutual information against all the
-information in the entity, ``-log2 p(entity)``. Both come from the whole
-corpus: contexts (the words around a mention; equal contexts, as in copies of
-a text, count once) and the number of texts with the term. Terms over the
-threshold are generalised, like the entities, wherever they stand.
+information in the entity, ``-log2 p(entity)``. All counts come from the whole
+corpus and are in one unit, different texts, so that copies of a text count
+once on either side. Besides, a term must stand in several different contexts
+(the words around a mention). Terms over the threshold are generalised, like
+the entities, wherever they stand.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ MIN_CONTEXTS = 3
 DISCLOSURE = 0.85
 #: Bits of the filter that lets only words worth a look pass a shuffle; a full filter lets all pass.
 FILTER_BITS = 1 << 20
+#: Bits of the filter over texts that stand in several rows; other texts pass no shuffle to count once.
+COPY_BITS = 1 << 22
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -94,6 +97,12 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode()) - (1 << 63)
 
 
+def text_hash(text: bytes) -> int:
+    """As ``xxhash64`` of Spark."""
+    found = xxhash.xxh64_intdigest(text, 42)
+    return found - (1 << 64) if found >> 63 else found
+
+
 def contexts(text: str, spans: list[Span]) -> Iterator[tuple[int, int, list[int]]]:
     """Per mention: hash of the entity, hash of its context, and hashes of the context's terms."""
     for start, end, kind in spans:
@@ -107,30 +116,58 @@ def contexts(text: str, spans: list[Span]) -> Iterator[tuple[int, int, list[int]
 
 
 def _mentions(docs: DataFrame, text: str) -> DataFrame:
+    """(text, entity, contexts) of every text, by hash, and each entity in it."""
     def kernel() -> Kernel:
         def run(texts):
             out = []
             for raw in texts:
                 own = raw.decode("utf-8") if raw else ""
                 spans = base_spans(own)
-                out.append([{"entity": e, "context": c, "terms": t} for e, c, t in contexts(own, spans)] if spans else [])
+                by: dict[int, dict[int, list[int]]] = {}
+                for entity, context, terms in contexts(own, spans):
+                    by.setdefault(entity, {})[context] = terms
+                out.append([{"text": text_hash(raw), "entity": e, "contexts": [{"context": c, "terms": t} for c, t in m.items()]}
+                            for e, m in by.items()])
             return {"m": out}
         return run
-    rows = annotate(docs, text, kernel, "m array<struct<entity: long, context: long, terms: array<long>>>", [])
+    rows = annotate(docs, text, kernel, "m array<struct<text: long, entity: long, "
+                    "contexts: array<struct<context: long, terms: array<long>>>>>", [])
     return rows.select(F.explode("m").alias("m")).select("m.*")
 
 
-def _filter_of(terms: DataFrame, column: str) -> np.ndarray:
-    """A bitmap over hashes of ``column``; its size is fixed whatever the table holds."""
-    slot = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    rows = terms.groupBy(F.shiftright(slot, 6).alias("w")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, {FILTER_BITS}) & 63 as int))")).alias("b")).collect()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+def _bits(rows, size: int) -> np.ndarray:
+    bits = np.zeros(size // 64, np.int64)
     for r in rows:
         bits[r["w"]] = r["b"]
     return bits.view(np.uint64)
 
 
+def _slot(column: str, size: int):
+    """Number of a hash's word in a bitmap, and the word with its bit."""
+    slot = F.pmod(F.col(column), F.lit(size))
+    return F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, {size}) & 63 as int))")
+
+
+def _filter_of(terms: DataFrame, column: str) -> np.ndarray:
+    """A bitmap over hashes of ``column``; its size is fixed whatever the table holds."""
+    word, bit = _slot(column, FILTER_BITS)
+    return _bits(terms.groupBy(word).agg(F.bit_or(bit).alias("b")).collect(), FILTER_BITS)
+
+
+def _copies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
+    """Number of different texts, and a bitmap over the hashes of those that stand in several rows."""
+    own = named(text)[0]
+    each = docs.where(own.isNotNull()).groupBy(F.xxhash64(own).alias("text")).agg(F.count("*").alias("n"))
+    word, bit = _slot("text", COPY_BITS)
+    rows = each.groupBy(word).agg(F.count("*").alias("n"), F.bit_or(F.when(F.col("n") > 1, bit).otherwise(F.lit(0).cast("long"))).alias("b")).collect()
+    return sum(r["n"] for r in rows), _bits(rows, COPY_BITS)
+
+
+def _in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = np.mod(hashes, 64 * len(bits))
+    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 class _Passing:
     """Hashes of words that pass a filter, each word worked out once per task."""
 
@@ -144,14 +181,17 @@ class _Passing:
             self.hashes, self.passes = self.hashes[:0], self.passes[:0]
         if fresh:
             hashes = np.fromiter(map(word_hash, fresh), np.int64, len(fresh))
-            slot = np.mod(hashes, FILTER_BITS)
             self.hashes = np.concatenate([self.hashes, hashes])
-            self.passes = np.concatenate([self.passes, (self.bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1])
+            self.passes = np.concatenate([self.passes, _in(self.bits, hashes)])
         return self.hashes[codes], self.passes[codes]
 
 
-def _text_counts(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
-    """(term, n_texts) of the terms that pass the filter, counted per batch first."""
+def _text_counts(docs: DataFrame, text: str, bits: np.ndarray, copies: np.ndarray) -> DataFrame:
+    """(term, n_texts) of the terms that pass the filter, in different texts.
+
+    Texts that have no copy are counted per batch first; the others come with
+    their hash, and a term counts once for each hash.
+    """
     def kernel() -> Kernel:
         passing = _Passing(bits)
 
@@ -164,30 +204,41 @@ def _text_counts(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
             hashes, ok = passing.look(words)
             row = np.repeat(np.arange(len(texts)), rows)[ok]
             pairs = np.unique(np.column_stack([row, hashes[ok]]), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
-            terms, n = np.unique(pairs[:, 1], return_counts=True)
-            first = [{"term": int(a), "n": int(b)} for a, b in zip(terms, n)]
+            keys = np.fromiter((text_hash(raw) if raw else 0 for raw in texts), np.int64, len(texts))
+            again = _in(copies, keys)[pairs[:, 0]]
+            terms, n = np.unique(pairs[~again, 1], return_counts=True)
+            first = [{"text": None, "term": a, "n": b} for a, b in zip(terms.tolist(), n.tolist())]
+            held = np.column_stack([keys[pairs[again, 0]], pairs[again, 1]])
+            first += [{"text": k, "term": a, "n": 1} for k, a in np.unique(held, axis=0).tolist()]
             return {"c": [first] + [[]] * (len(texts) - 1)}
         return run
-    rows = annotate(docs, text, kernel, "c array<struct<term: long, n: long>>", [])
-    return rows.select(F.explode("c").alias("c")).groupBy(F.col("c.term").alias("term")).agg(F.sum("c.n").alias("n_texts"))
+    rows = annotate(docs, text, kernel, "c array<struct<text: long, term: long, n: long>>", [])
+    once = rows.select(F.explode("c").alias("c")).groupBy("c.text", "c.term").agg(F.sum("c.n").alias("n"))
+    return once.groupBy("term").agg(F.sum(F.when(F.col("text").isNull(), F.col("n")).otherwise(1)).alias("n_texts"))
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text", threshold: float = DISCLOSURE,
                      min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(term, entity, n_both, n_entity, n_texts, share) of the terms over the threshold.
+    """(term, entity, n_both, n_contexts, n_entity, n_texts, share) of the terms over the threshold.
 
-    ``share`` is the part of the entity's information that the term gives
+    ``n_both``, ``n_entity`` and ``n_texts`` are numbers of different texts:
+    with the term in a context of the entity, with the entity, with the term.
+    ``n_contexts`` is the number of different contexts of the entity with the
+    term. ``share`` is the part of the entity's information that the term gives
     away. All texts count. Null texts, texts without an entity and empty
     tables add nothing.
     """
     ship(docs.sparkSession)
-    n = docs.count()
+    n, copies = _copies(docs, text)
     seen = written(_mentions(docs, text).distinct(), "mentions")
     entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
-        F.count("*").alias("n_both")).where(F.col("n_both") >= min_contexts)
-    both = written(both, "disclosing")
-    counts = _text_counts(docs, text, _filter_of(both.select("term"), "term"))
+    around = seen.select("entity", F.explode("contexts").alias("c")).select("entity", "c.context", "c.terms").distinct()
+    evidence = around.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
+        F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= min_contexts)
+    texts = seen.select("entity", F.explode(F.expr("array_distinct(flatten(contexts.terms))")).alias("term")).groupBy(
+        "entity", "term").agg(F.count("*").alias("n_both"))
+    both = written(evidence.join(texts, ["entity", "term"]), "disclosing")
+    counts = _text_counts(docs, text, _filter_of(both.select("term"), "term"), copies)
     found = both.join(entities, "entity").join(counts, "term")
     shared = F.least("n_both", "n_texts")
     # p(entity) is at most a half, so that an entity in every text still has information.

@@ -92,6 +92,30 @@ def test_disclosing_terms(spark):
     assert clean[100] == rest[0][1]
 
 
+def test_copies_and_repeated_mentions_count_once_on_both_sides(spark):
+    """Three texts with a thousand copies each, mentions in several places of a text, and a term that is common elsewhere."""
+    told = [f"note {k} kestrelman wrote from k.man@mail.example.org about topic{k}" for k in range(3)]
+    often = [f"place{k} sparrowman x.y@mail.example.org and{k} later{k} sparrowman x.y@mail.example.org here{k}" for k in range(3)]
+    elsewhere = [f"sparrowman was seen {k} times" for k in range(60)]
+    filler = [f"filler text number {k}" for k in range(1500)]
+    table = told * 1000 + often + elsewhere * 2 + filler + [None, None, "", ""]
+    docs = spark.createDataFrame(list(enumerate(table)), "doc_id long, text string").repartition(4)
+    got = {r["term"]: r for r in pii.disclosing_terms(docs, threshold=-100.0).collect()}
+    one, other = got[pii.word_hash("kestrelman")], got[pii.word_hash("sparrowman")]
+    assert (one["n_both"], one["n_entity"], one["n_texts"], one["n_contexts"]) == (3, 3, 3, 3)
+    assert one["share"] == pytest.approx(1.0)
+    assert (other["n_both"], other["n_entity"], other["n_texts"]) == (3, 3, 63)
+    clean = pii.sanitised(docs).where("text like '%[EMAIL]%'").collect()
+    assert sum("kestrelman" in r["text"] for r in clean) == 0 and sum("[TERM]" in r["text"] for r in clean) == 3000
+    assert sum("sparrowman" in r["text"] for r in clean) == 3
+
+
+def test_text_hash_is_that_of_spark(spark):
+    texts = ["", "a", "é ß 🎉", "x" * 1000]
+    got = spark.createDataFrame(list(enumerate(texts)), "k long, text string").selectExpr("k", "xxhash64(text) h").orderBy("k").collect()
+    assert [r["h"] for r in got] == [pii.text_hash(t.encode()) for t in texts]
+
+
 def test_language(spark, docs):
     table = spark.createDataFrame(
         [(k, "the quick and the lazy with them that", "en") for k in range(60)]
