@@ -8,11 +8,16 @@ corpus and are in one unit, different texts, so that copies of a text count
 once on either side. Besides, a term must stand in several different contexts
 (the words around a mention). Terms over the threshold are generalised, like
 the entities, wherever they stand.
+
+A term is a run of letters and digits of any length, in lower case. Where a
+script sets no spaces, a run up to the next mark is one term, and signs that
+combine with letters end one.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +31,12 @@ from copse.session import ship, written
 KINDS = ("email", "ip", "card", "phone", "term")
 PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
-#: Words on either side of a mention that make its context.
+#: A context reaches on either side of a mention to the tenth word of four or more characters;
+#: shorter words on the way belong to it. Words further away are no evidence.
 CONTEXT_WORDS = 10
+LONG_WORD = 4
+#: Words of any length that a side of a context has at most, as many as 400 characters can hold.
+CONTEXT_REACH = 200
 #: Contexts that a term must share with an entity before it counts as evidence.
 MIN_CONTEXTS = 3
 #: Share of an entity's information that a term may not reach.
@@ -43,7 +52,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W_]{4,}")
+_TERM = re.compile(r"[^\W_]+")
 
 Span = tuple[int, int, int]                          # start, end, number of kind
 
@@ -103,16 +112,38 @@ def text_hash(text: bytes) -> int:
     return found - (1 << 64) if found >> 63 else found
 
 
-def contexts(text: str, spans: list[Span]) -> Iterator[tuple[int, int, list[int]]]:
-    """Per mention: hash of the entity, hash of its context, and hashes of the context's terms."""
+def folded(text: str) -> str:
+    """In lower case, as long as the text itself: the few letters that grow stay as they are."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def contexts(text: str, spans: list[Span]) -> Iterator[tuple[int, int, list[int], int]]:
+    """Per mention: hash of the entity, hash of its context, hashes of the context's terms, and how many of
+    these are whole words of the text, which come first."""
+    if not spans:
+        return
+    lower = folded(text)
+    found = [m.span() for m in _TERM.finditer(lower)]
+    starts, ends = [a for a, _ in found], [b for _, b in found]
+    long = [k for k, (a, b) in enumerate(found) if b - a >= LONG_WORD]
     for start, end, kind in spans:
-        before = _TERM.findall(text[max(0, start - 40 * CONTEXT_WORDS):start].lower())[-CONTEXT_WORDS:]
-        after = _TERM.findall(text[end:end + 40 * CONTEXT_WORDS].lower())[:CONTEXT_WORDS]
-        terms = sorted(set(before + after))
+        stop, go = bisect_right(ends, start), bisect_left(starts, end)
+        near, far = bisect_left(long, stop), bisect_left(long, go) + CONTEXT_WORDS
+        first = max(long[near - CONTEXT_WORDS] if near >= CONTEXT_WORDS else 0, stop - CONTEXT_REACH)
+        last = min(long[far - 1] + 1 if far <= len(long) else len(found), go + CONTEXT_REACH)
+        before = [lower[a:b] for a, b in found[first:stop]]
+        after = [lower[a:b] for a, b in found[go:last]]
+        whole = set(before + after)
+        if stop < len(found) and starts[stop] < start:           # words that run into the mention
+            before.append(lower[starts[stop]:start])
+        if go and ends[go - 1] > end:
+            after.insert(0, lower[end:ends[go - 1]])
         value = text[start:end].lower()
         if kind >= 2:
             value = re.sub(r"[^0-9]", "", value)
-        yield word_hash(f"{kind}:{value}"), word_hash(" ".join(before + ["|"] + after)), [word_hash(t) for t in terms]
+        terms = sorted(whole) + sorted(set(before + after) - whole)
+        yield word_hash(f"{kind}:{value}"), word_hash(" ".join(before + ["|"] + after)), [word_hash(t) for t in terms], len(whole)
 
 
 def _mentions(docs: DataFrame, text: str) -> DataFrame:
@@ -123,15 +154,14 @@ def _mentions(docs: DataFrame, text: str) -> DataFrame:
             for raw in texts:
                 own = raw.decode("utf-8") if raw else ""
                 spans = base_spans(own)
-                by: dict[int, dict[int, list[int]]] = {}
-                for entity, context, terms in contexts(own, spans):
-                    by.setdefault(entity, {})[context] = terms
-                out.append([{"text": text_hash(raw), "entity": e, "contexts": [{"context": c, "terms": t} for c, t in m.items()]}
-                            for e, m in by.items()])
+                by: dict[int, list[dict]] = {}
+                for entity, context, terms, whole in contexts(own, spans):
+                    by.setdefault(entity, []).append({"context": context, "terms": terms, "whole": whole})
+                out.append([{"text": text_hash(raw), "entity": e, "contexts": m} for e, m in by.items()])
             return {"m": out}
         return run
     rows = annotate(docs, text, kernel, "m array<struct<text: long, entity: long, "
-                    "contexts: array<struct<context: long, terms: array<long>>>>>", [])
+                    "contexts: array<struct<context: long, terms: array<long>, whole: int>>>>", [])
     return rows.select(F.explode("m").alias("m")).select("m.*")
 
 
@@ -198,18 +228,20 @@ def _text_counts(docs: DataFrame, text: str, bits: np.ndarray, copies: np.ndarra
         def run(texts):
             words, rows = [], []
             for raw in texts:
-                own = _TERM.findall(raw.decode("utf-8").lower()) if raw else []
+                own = _TERM.findall(folded(raw.decode("utf-8"))) if raw else []
                 words += own
                 rows.append(len(own))
             hashes, ok = passing.look(words)
             row = np.repeat(np.arange(len(texts)), rows)[ok]
-            pairs = np.unique(np.column_stack([row, hashes[ok]]), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
-            keys = np.fromiter((text_hash(raw) if raw else 0 for raw in texts), np.int64, len(texts))
-            again = _in(copies, keys)[pairs[:, 0]]
-            terms, n = np.unique(pairs[~again, 1], return_counts=True)
-            first = [{"text": None, "term": a, "n": b} for a, b in zip(terms.tolist(), n.tolist())]
-            held = np.column_stack([keys[pairs[again, 0]], pairs[again, 1]])
-            first += [{"text": k, "term": a, "n": 1} for k, a in np.unique(held, axis=0).tolist()]
+            terms, term = np.unique(hashes[ok], return_inverse=True)
+            pairs = np.unique(row * len(terms) + term)
+            row, term = pairs // max(len(terms), 1), pairs % max(len(terms), 1)
+            keys, key = np.unique(np.fromiter((text_hash(raw) if raw else 0 for raw in texts), np.int64, len(texts)), return_inverse=True)
+            again = _in(copies, keys)[key[row]]
+            n = np.bincount(term[~again], minlength=len(terms))
+            first = [{"text": None, "term": a, "n": b} for a, b in zip(terms.tolist(), n.tolist()) if b]
+            held = np.unique(key[row[again]] * len(terms) + term[again])
+            first += [{"text": int(keys[k // len(terms)]), "term": int(terms[k % len(terms)]), "n": 1} for k in held.tolist()]
             return {"c": [first] + [[]] * (len(texts) - 1)}
         return run
     rows = annotate(docs, text, kernel, "c array<struct<text: long, term: long, n: long>>", [])
@@ -232,20 +264,29 @@ def disclosing_terms(docs: DataFrame, text: str = "text", threshold: float = DIS
     n, copies = _copies(docs, text)
     seen = written(_mentions(docs, text).distinct(), "mentions")
     entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    around = seen.select("entity", F.explode("contexts").alias("c")).select("entity", "c.context", "c.terms").distinct()
+    around = seen.select("entity", F.explode("contexts").alias("c")).select(
+        "entity", "c.context", F.array_sort("c.terms").alias("terms")).distinct()
     evidence = around.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
         F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= min_contexts)
     texts = seen.select("entity", F.explode(F.expr("array_distinct(flatten(contexts.terms))")).alias("term")).groupBy(
         "entity", "term").agg(F.count("*").alias("n_both"))
-    both = written(evidence.join(texts, ["entity", "term"]), "disclosing")
+    near = seen.select("text", F.explode(F.expr(
+        "array_distinct(flatten(transform(contexts, c -> slice(c.terms, 1, c.whole))))")).alias("term")).distinct().groupBy(
+        "term").agg(F.count("*").alias("n_near"))
+
+    def share(n_texts):
+        """Falls as ``n_texts`` grows."""
+        # p(entity) is at most a half, so that an entity in every text still has information.
+        p = F.least(F.col("n_entity") / F.lit(float(max(n, 2))), F.lit(0.5))
+        return F.log2(F.least(F.col("n_both"), n_texts) / n_texts / p) / -F.log2(p)
+
+    # A term stands in as many texts at least as it stands in near any entity: words that stay below
+    # the threshold with that number, as common ones do, need no count over the corpus.
+    both = evidence.join(texts, ["entity", "term"]).join(entities, "entity").join(near, "term", "left").where(
+        share(F.coalesce("n_near", F.lit(1))) >= threshold).drop("n_near")
+    both = written(both, "disclosing")
     counts = _text_counts(docs, text, _filter_of(both.select("term"), "term"), copies)
-    found = both.join(entities, "entity").join(counts, "term")
-    shared = F.least("n_both", "n_texts")
-    # p(entity) is at most a half, so that an entity in every text still has information.
-    p = F.least(F.col("n_entity") / F.lit(float(max(n, 2))), F.lit(0.5))
-    information = -F.log2(p)
-    mutual = F.log2(shared / F.col("n_texts") / p)
-    return found.withColumn("share", mutual / information).where(F.col("share") >= threshold)
+    return both.join(counts, "term").withColumn("share", share(F.col("n_texts"))).where(F.col("share") >= threshold)
 
 
 def _spans_kernel(bits: np.ndarray | None):
@@ -259,9 +300,7 @@ def _spans_kernel(bits: np.ndarray | None):
                 spans.append([{"start": a, "end": b, "kind": k} for a, b, k in base_spans(own)])
                 hits = []
                 if passing and own:
-                    lower = own.lower()
-                    if len(lower) != len(own):       # a few letters grow in lower case
-                        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in own)
+                    lower = folded(own)
                     hashes, ok = passing.look(_TERM.findall(lower))
                     if ok.any():
                         hits = [{"term": int(h), "start": m.start(), "end": m.end()}

@@ -110,6 +110,30 @@ def test_copies_and_repeated_mentions_count_once_on_both_sides(spark):
     assert sum("sparrowman" in r["text"] for r in clean) == 3
 
 
+def test_short_terms_disclose(spark):
+    """Names and codes of one to three characters are measured and removed wherever they stand."""
+    told = [f"note {k} Lee of room 417 金 ı wrote from k.man@mail.example.org about it{k}" for k in range(4)]
+    rest = [f"note {k} of a room, someone wrote about it from here" for k in range(80)]
+    docs = spark.createDataFrame(list(enumerate(told + rest + ["LEE, 金! in 417; leeward"])), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert clean[84] == "[TERM], [TERM]! in [TERM]; leeward"
+    assert clean[2] == "note 2 [TERM] of room [TERM] [TERM] [TERM] wrote from [EMAIL] about it2"
+    assert clean[10] == rest[6]
+
+
+def test_contexts_by_words():
+    """Ten longer words on either side with the short ones among them, whole, however many characters they take."""
+    def terms(text):
+        return {h for _, _, t, _ in pii.contexts(text, pii.base_spans(text)) for h in t}
+
+    long = [f"{'w' * 60}{chr(97 + k)}" for k in range(24)]
+    text = " a b ".join(long[:12]) + " x@y.org " + " c 7 ".join(long[12:])
+    assert terms(text) == {pii.word_hash(w) for w in [*long[2:22], "a", "b", "c", "7"]}
+    assert terms("far " + "ab " * 199 + "x@y.org") == {pii.word_hash("far"), pii.word_hash("ab")}
+    assert terms("far " + "ab " * 200 + "x@y.org") == {pii.word_hash("ab")}
+    assert terms("İda namé@b.org 1.2.3.4smith") >= {pii.word_hash(w) for w in ("İda", "smith")}
+
+
 def test_text_hash_is_that_of_spark(spark):
     texts = ["", "a", "é ß 🎉", "x" * 1000]
     got = spark.createDataFrame(list(enumerate(texts)), "k long, text string").selectExpr("k", "xxhash64(text) h").orderBy("k").collect()
