@@ -15,12 +15,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
-from copse.llm.batches import Flat, Index, Kernel, annotate
+from copse.llm.batches import Flat, Index, Kernel, annotate, named
+from copse.session import ship
 
 SPACE = "▁"
 #: Fixed value: the model file of the query; a parameter everywhere else.
@@ -278,8 +282,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.model = transducer(path)
-        self.decoder = Decoder(self.model)
-        self.index, self.ids, self.whole = Index(400_000), Flat(), np.zeros(0, bool)
+        self.index, self.ids = Index(400_000), Flat()
 
     def words(self, text: str) -> list[str]:
         """Parts that have a path each for itself: words without their one space in front, and, marked by
@@ -298,8 +301,8 @@ class Encoder:
             return word[1:]
         return word if word.startswith(SPACE) or not self.model.dummy_prefix else SPACE + word
 
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids in a row, the number of each text's, and whether decoding gives each text back."""
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of each text's."""
         words, sizes = [], []
         for text in texts:
             own = self.words(text.decode("utf-8")) if text else []
@@ -308,19 +311,10 @@ class Encoder:
         codes, fresh, anew = self.index.codes(words)
         if anew:
             self.ids.clear()
-            self.whole = self.whole[:0]
-        spelled = [self._spelled(w) for w in fresh]
-        found = [self.model.path(w) for w in spelled]
-        self.ids.add(found)
-        # Decoding puts the bytes of ids in a row, so a text comes back if all its words do.
-        self.whole = np.concatenate([self.whole, np.fromiter(
-            (self.decoder.bytes_of(i) == w.replace(SPACE, " ").encode() and SPACE not in w.lstrip(SPACE)
-             for i, w in zip(found, spelled)), bool, len(found))])
+        self.ids.add([self.model.path(self._spelled(w)) for w in fresh])
         flat, lengths = self.ids.take(codes)
         row = np.repeat(np.arange(len(texts)), sizes)
-        broken = np.bincount(row, ~self.whole[codes], minlength=len(texts)) > 0
-        literal = np.array([t is not None and SPACE.encode() in t for t in texts], bool)
-        return flat, np.bincount(row, lengths, minlength=len(texts)).astype(np.int64), ~broken & ~literal
+        return flat, np.bincount(row, lengths, minlength=len(texts)).astype(np.int64)
 
 
 FIELDS = "ids array<int>"
@@ -338,26 +332,60 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", keep:
         encoder = Encoder(path)
 
         def run(texts):
-            ids, lengths, _ = encoder.encode(texts)
+            ids, lengths = encoder.encode(texts)
             return {"ids": np.split(ids.astype(np.int32), np.cumsum(lengths)[:-1])}
         return run
     return annotate(docs, text, kernel, FIELDS, keep or ["doc_id"])
 
 
-def digests(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Number and checksum of the ids of every text, and whether decoding them gives the text back.
+def decoded(df: DataFrame, ids: str = "ids", path: str | None = None, keep: list[str] | None = None,
+            into: str = "decoded") -> DataFrame:
+    """Columns ``keep`` and the text that the ids of every row stand for.
+
+    Null ids stay null, and no ids give the empty text. Bytes that are no
+    UTF-8 become replacement characters; ids without a piece add nothing.
+    """
+    path = path or model_path()
+    ship(df.sparkSession)
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c != into]
+    source = df.select(*named(*keep), named(ids)[0])
+    schema = StructType(source.schema.fields[:len(keep)]).add(into, "string")
+    plain = source.toDF(*[f"_{k}" for k in range(len(source.columns))])   # names with dots would not resolve
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(transducer(path))
+        for batch in batches:
+            texts = [None if i is None else decoder.decode(i) for i in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(texts, pa.string())], names=[*keep, into])
+
+    return plain.mapInArrow(run, schema)
+
 
-    A text with a ``\u2581`` of its own does not come back: it decodes to a space.
+def round_trips(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep``, the ids of every text with number and checksum, the text decoded from these ids,
+    and whether it is the text that was encoded.
+
+    Null texts count as empty. A text with a ``\u2581`` of its own does not
+    come back: it decodes to a space.
     """
     path = path or model_path()
 
     def kernel() -> Kernel:
-        encoder = Encoder(path)
+        encoder, decoder = Encoder(path), Decoder(transducer(path))
 
-        def digest(texts):
-            ids, lengths, whole = encoder.encode(texts)
+        def run(texts):
+            ids, lengths = encoder.encode(texts)
             data, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths).tolist()
-            return {"n_tokens": lengths, "round_trip": whole,
-                    "ids_crc32": [zlib.crc32(data[4 * (b - n):4 * b]) for b, n in zip(ends, lengths.tolist())]}
-        return digest
-    return annotate(docs, text, kernel, "n_tokens long, ids_crc32 long, round_trip boolean", keep or ["doc_id"])
+            split = np.split(ids.astype(np.int32), ends[:-1])
+            back = [decoder.decode(i.tolist()) for i in split]
+            return {"n_tokens": lengths, "ids": split, "decoded": back,
+                    "ids_crc32": [zlib.crc32(data[4 * (b - n):4 * b]) for b, n in zip(ends, lengths.tolist())],
+                    "round_trip": [b.encode("utf-8") == (t or b"") for b, t in zip(back, texts)]}
+        return run
+    return annotate(docs, text, kernel, "n_tokens long, ids array<int>, ids_crc32 long, decoded string, round_trip boolean",
+                    ["doc_id"] if keep is None else keep)
+
+
+def digests(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """:func:`round_trips` without ids and texts."""
+    return round_trips(docs, path, text, keep).drop("ids", "decoded")

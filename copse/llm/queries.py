@@ -63,7 +63,7 @@ def _(spark, sf_dir):
 
 @query("op6_pieces")
 def _(spark, sf_dir):
-    return PIECE.digests(table(spark, sf_dir, "documents"))
+    return PIECE.round_trips(table(spark, sf_dir, "documents"))
 
 
 @query("op7_toxicity")

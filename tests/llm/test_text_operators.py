@@ -250,3 +250,24 @@ def test_piece_rows(spark, docs):
     assert [r["round_trip"] for r in pieces.digests(odd).orderBy("doc_id").collect()] == [True] * len(PIECE_TEXTS) + [False]
     assert pieces.encoded(docs.limit(0)).count() == 0
 
+
+def test_pieces_decode_over_a_table(spark, tmp_path):
+    """The query returns ids and the text decoded from them; ids of any origin decode as in the library."""
+    from copse.llm import queries
+    texts = [*PIECE_TEXTS, "a \u2581b", None]
+    odd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op6_pieces"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    import sentencepiece
+    library = _library(sentencepiece)
+    assert [r["ids"] for r in got] == [library.encode(t or "") for t in texts]
+    assert [r["decoded"] for r in got] == [(t or "").replace("\u2581", " ") for t in texts]
+    assert [r["round_trip"] for r in got] == [True] * len(PIECE_TEXTS) + [False, True]
+    own = pieces.transducer(pieces.model_path())
+    the = own.encode("the")
+    half = [own.bytes_[b] for b in "é".encode()]
+    lists = [[], the, the * 2, half, [own.bytes_[0x41]], own.encode("  a")]
+    table = spark.createDataFrame([(k, i) for k, i in enumerate([*lists, half[:1] + the, None])], "doc_id long, `my.ids` array<int>")
+    back = [r["decoded"] for r in pieces.decoded(table, "my.ids").orderBy("doc_id").collect()]
+    assert back[:len(lists)] == [library.decode(i) for i in lists]
+    assert back[len(lists):] == ["\ufffd the", None]
