@@ -1611,9 +1611,10 @@ def _(c):
 
 
 @lines_query("many_tre15_request", """
-    SELECT tree_index, node_id, coalesce(parent_id, -1) AS parent_id FROM tn WHERE tree_index % 97 = 5 AND tree_index < 2000""")
+    SELECT tree_index, node_id, coalesce(parent_id, -1) AS parent_id FROM tn JOIN iv USING (tree_index)
+    WHERE lft < (SELECT (min(lft) + max(rgt)) / 2 FROM iv)""")
 def _(c):
-    asked = c.intervals.where("tree_index % 97 = 5 and tree_index < 2000").select("tree_index")
+    asked = c.intervals.where(F.col("left") < (c.loc.begin + c.loc.end) / 2).select("tree_index")   # half of the genome
     return c.tree_nodes(asked, isolated=False).select("tree_index", "node_id", C.sentinels(F.col("parent_id")).alias("parent_id"))
 
 
@@ -1641,9 +1642,8 @@ def _(c):
 
 @lines_query("many_lin01_ancestors_of_tips", """
     SELECT tree_index, a.child AS seed, b.node_id FROM ed a JOIN tn b USING (tree_index)
-    WHERE a.child < 99 AND (b.node_id = 99 OR b.node_id BETWEEN 101 AND a.parent) AND tree_index % 50 = 3""")
+    WHERE a.child < 99 AND (b.node_id = 99 OR b.node_id BETWEEN 101 AND a.parent)""")
 def _(c):
-    asked = c.intervals.where("tree_index % 50 = 3").select("tree_index")
-    tn = c.written_nodes(asked, isolated=False)
+    tn = c.written_nodes(isolated=False)
     return LIN.acyclic_paths(tn, tn.where("is_tip").select("tree_index", "node_id")).where(
         "distance > 0").select("tree_index", "seed", "node_id")
