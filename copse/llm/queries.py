@@ -7,7 +7,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copse.llm import hnsw as ANN, langid as LID, neardup as DUP, oracle as O, packing as PACK, pieces as PIECE, pii as PII, quality as Q, sharding as SHARD, toxicity as TOX, wavelet as WAV
+from copse.llm import bytebpe as BYTES, hnsw as ANN, langid as LID, neardup as DUP, oracle as O, packing as PACK, pieces as PIECE, pii as PII, quality as Q, sharding as SHARD, toxicity as TOX, wavelet as WAV
 from copse.llm.batches import table
 from copse.session import checkpoint_dir
 
@@ -92,3 +92,8 @@ def _(spark, sf_dir):
     folder = f"{checkpoint_dir(spark)}/tokens-{uuid4().hex}"
     WAV.write(table(spark, sf_dir, "documents"), folder)
     return WAV.read(spark, folder)
+
+
+@query("op11_byte_pieces")
+def _(spark, sf_dir):
+    return BYTES.digests(table(spark, sf_dir, "documents"))
