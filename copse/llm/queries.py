@@ -7,7 +7,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copse.llm import bytebpe as BYTES, hnsw as ANN, langid as LID, neardup as DUP, oracle as O, packing as PACK, pieces as PIECE, pii as PII, quality as Q, sharding as SHARD, spelling as SPELL, toxicity as TOX, wavelet as WAV
+from copse.llm import bytebpe as BYTES, filters as AUDIT, hnsw as ANN, langid as LID, neardup as DUP, oracle as O, packing as PACK, pieces as PIECE, pii as PII, quality as Q, sharding as SHARD, spelling as SPELL, toxicity as TOX, wavelet as WAV
 from copse.llm.batches import table
 from copse.session import checkpoint_dir
 
@@ -102,3 +102,8 @@ def _(spark, sf_dir):
 @query("op12_spelling_variants")
 def _(spark, sf_dir):
     return SPELL.variants(SPELL.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query("op13_filter_audit", O.FILTERS)
+def _(spark, sf_dir):
+    return AUDIT.audited(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
