@@ -3,7 +3,7 @@
 Files arrive in micro-batches. A document's own failures are a mask of bits;
 whether a smaller id has the same text is known only up to now, so the stream
 keeps, under the digest of each text, the least id seen and the documents that
-have it. A smaller id takes back the mask counted for them, as failing no copy
+have it (many texts a bucket, so that a bucket's rows are handled together). A smaller id takes back the mask counted for them, as failing no copy
 filter, and counts them again as copies. What leaves the stream are changes of
 counters per part and mask; everything a report says follows from their sums.
 
@@ -20,13 +20,14 @@ table has no parts and gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 import re
 from collections.abc import Callable, Iterator
 from itertools import combinations, permutations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState
 
@@ -36,8 +37,8 @@ from copse.session import checkpoint_dir, removed, ship, written
 FILTERS = "ABCDE"
 #: The bit of the filter that looks at other documents.
 COPY = 1 << FILTERS.index("E")
-#: Bytes of files that a micro-batch takes; raise it with the table.
-BATCH_BYTES = 64 << 20
+#: Bytes of files that a micro-batch takes, and buckets of the state; raise both with the table.
+BATCH_BYTES, BUCKETS = 128 << 20, 1024
 
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -74,6 +75,8 @@ def judged(labels: DataFrame) -> DataFrame:
 
 
 ENTRY = ["part", "mask", "good", "toxic"]
+_HELD = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()),
+                   ("good", pa.int32()), ("toxic", pa.int32()), ("n", pa.int64())])
 
 
 def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,45 +89,48 @@ def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             columns={"size": "n"})
 
 
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, schema=_HELD, preserve_index=False)
+    with pa.ipc.new_stream(sink, _HELD) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def _counted(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of counters that the rows of one text bring; the state is its least id and who has it."""
-    least, held = None, []
-    if state.exists:
-        least, said = state.get
-        held = json.loads(said)
-    before, out = least, []
-    for rows in batches:
-        for doc_id, copy, n, *entry in zip(rows["doc_id"], rows["copy"], rows["n"], *(rows[c] for c in ENTRY)):
-            n, entry = int(n), [entry[0], *map(int, entry[1:])]
-            if copy:
-                out.append((*entry, COPY, n))
-            elif doc_id is None or doc_id != doc_id:
-                out.append((*entry, 0, n))
-            elif least is not None and doc_id > least:
-                out.append((*entry, COPY, n))
-            else:
-                if least is None or doc_id < least:
-                    for *other, m in held:
-                        out += [(*other, 0, -m), (*other, COPY, m)]
-                    least, held = int(doc_id), []
-                held.append([*entry, n])
-                out.append((*entry, 0, n))
-                before = None
-    if least is not None and before is None:
-        state.update((least, json.dumps(held)))
-    parts, masks, good, toxic, copies, n = zip(*out)
-    yield pd.DataFrame({"part": parts, "mask": [m | c for m, c in zip(masks, copies)], "good": good, "toxic": toxic, "n": n})
-
-
-def changes(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
+    """Changes of counters that the rows of one bucket bring; the state is who has the least id of each of its texts."""
+    rows = pd.concat(batches)
+    held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else _HELD.empty_table().to_pandas()
+    placed = rows[rows["doc_id"].notna()].astype({"doc_id": "int64"})
+    both = pd.concat([held, placed[held.columns]])
+    least = both.groupby("digest")["doc_id"].transform("min").to_numpy()
+    behind = both["doc_id"].to_numpy() > least
+    before = np.arange(len(both)) < len(held)
+
+    def changed(some: pd.DataFrame, copies: int, sign: int) -> pd.DataFrame:
+        return some.assign(mask=some["mask"] | copies, n=sign * some["n"])[[*ENTRY, "n"]]
+
+    first = both[~behind]
+    if len(first) != len(held) or behind.any():
+        state.update((_packed(first.groupby([c for c in first.columns if c != "n"], as_index=False, sort=False)["n"].sum()),))
+    rest = rows[rows["doc_id"].isna()]
+    yield pd.concat([
+        changed(rest[~rest["copy"]], 0, 1), changed(rest[rest["copy"]], COPY, 1),     # without an id; copies for sure
+        changed(both[~before & ~behind], 0, 1), changed(both[~before & behind], COPY, 1),
+        changed(both[before & behind], 0, -1), changed(both[before & behind], COPY, 1),   # no longer the least
+    ]).groupby(ENTRY, as_index=False)["n"].sum()
+
+
+def changes(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, **columns: str) -> DataFrame:
     """The stream ``(part, mask, good, toxic, n)`` of changes of counters for a stream of documents."""
     ship(docs.sparkSession)
     rows = masked(docs, **columns).join(labels, "doc_id", "left").select(
         "digest", "doc_id", "part", "mask", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")])
     joined = rows.mapInPandas(_combined, "digest binary, doc_id long, copy boolean, part string, mask int, "
                                          "good int, toxic int, n long")
-    return joined.groupBy("digest").applyInPandasWithState(
-        _counted, "part string, mask int, good int, toxic int, n long", "least long, held string", "append", "NoTimeout")
+    dealt = joined.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(
+        _counted, "part string, mask int, good int, toxic int, n long", "held binary", "append", "NoTimeout")
 
 
 def _folder_or_pattern(spark: SparkSession, path: str) -> str:
@@ -135,14 +141,16 @@ def _folder_or_pattern(spark: SparkSession, path: str) -> str:
 
 
 def counters(spark: SparkSession, path: str, labels: DataFrame, folder: str,
-             batch_bytes: int = BATCH_BYTES, **columns: str) -> DataFrame:
+             batch_bytes: int = BATCH_BYTES, buckets: int = BUCKETS, **columns: str) -> DataFrame:
     """Read all Parquet files below ``path`` that ``folder`` has not met yet; ``(part, mask, good, toxic, n)``.
 
     ``folder`` holds the stream's progress, its state and the changes of each
     micro-batch, so a second call takes up new files only, and a batch run
     again after a failure replaces what it wrote. The state is as large as ids
-    and digests of all texts; sessions whose executors cannot hold their share
-    set Spark's RocksDB state store.
+    and digests of all texts, in ``buckets`` that a micro-batch reads and writes
+    whole where it has a text of theirs: one per 128 KB of ``batch_bytes`` keeps
+    that well below the texts themselves. Their number stays the same for a
+    folder. Sessions whose executors cannot hold the state set Spark's RocksDB store.
     """
     once = written(judged(labels), "labels")
     docs = spark.readStream.schema(spark.read.parquet(path).schema).option(
@@ -152,7 +160,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, folder: str,
         changed.groupBy(*ENTRY).agg(F.sum("n").alias("n")).where("n <> 0").coalesce(1).write.mode(
             "overwrite").parquet(f"{folder}/changes/batch={batch}")
 
-    stream = changes(docs, once, **columns)
+    stream = changes(docs, once, buckets, **columns)
     schema = stream.schema
     query = stream.writeStream.foreachBatch(kept).option(
         "checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
@@ -196,7 +204,8 @@ def report(counts: DataFrame) -> DataFrame:
         "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
-def audited(spark: SparkSession, path: str, labels: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def audited(spark: SparkSession, path: str, labels: DataFrame, batch_bytes: int = BATCH_BYTES,
+            buckets: int = BUCKETS) -> DataFrame:
     """The report over all files of a table, streamed once through a fresh state."""
     from uuid import uuid4
-    return report(counters(spark, path, labels, f"{checkpoint_dir(spark)}/audit-{uuid4().hex}", batch_bytes))
+    return report(counters(spark, path, labels, f"{checkpoint_dir(spark)}/audit-{uuid4().hex}", batch_bytes, buckets))
