@@ -9,7 +9,7 @@ by tree contraction, a logarithmic number of joins on unique keys.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,7 +66,11 @@ def _kernel_x(shape: DataFrame) -> DataFrame:
 
 
 def _complete_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hold back the last tree of a batch until its remaining rows have arrived."""
+    return complete_trees(batches, _trees_x)
+
+
+def complete_trees(batches: Iterator[pd.DataFrame], apply: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``apply`` to whole trees; the last tree of a batch is held back until its remaining rows have arrived."""
     held: list[pd.DataFrame] = []
     for batch in batches:
         if batch.empty:
@@ -74,14 +78,14 @@ def _complete_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = batch["tree_index"].iat[-1]
         at = int(np.searchsorted(batch["tree_index"].to_numpy(), last))
         if at:
-            yield _trees_x(pd.concat([*held, batch.iloc[:at]]))
+            yield apply(pd.concat([*held, batch.iloc[:at]]))
             held = []
         elif held and held[-1]["tree_index"].iat[-1] != last:
-            yield _trees_x(pd.concat(held))
+            yield apply(pd.concat(held))
             held = []
         held.append(batch.iloc[at:])
     if held:
-        yield _trees_x(pd.concat(held))
+        yield apply(pd.concat(held))
 
 
 def _levels(parent: np.ndarray) -> np.ndarray:

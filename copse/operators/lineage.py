@@ -1,5 +1,7 @@
-"""Ancestors and descendants by pointer doubling.
+"""Ancestors by pointer doubling, descendants by nested numbers.
 
+What lies below a node, how much, and what several nodes share above them is
+read from numbers (:mod:`copse.operators.nesting`), whatever the depth.
 ``jumps`` yields, for k = 0, 1, 2, ..., the ancestor 2^k steps up. A set of
 nodes follows all of them once, so log2(depth) joins reach every ancestor.
 Only inner nodes are doubled: whatever the seeds, the first step is their own
@@ -13,8 +15,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
+from copse.operators.nesting import below, nested
 from copse.operators.skew import spread_join
-from copse.session import cut
+from copse.session import cut, written
 
 KEY = ["tree_index", "node_id"]
 
@@ -119,48 +122,34 @@ def ancestors(placed: DataFrame, seeds: DataFrame) -> DataFrame:
     return ancestor_pairs(placed, seeds).join(placed.select(*KEY, *extra), KEY)
 
 
-def descendants(tn: DataFrame, of: DataFrame, tips_only: bool = False) -> DataFrame:
-    """``(tree_index, query_node, node_id, distance, is_tip)`` below each given node.
+def _numbered(tn: DataFrame, of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbered rows of the trees that hold a given node, and the rows of those nodes.
 
     ``of`` holds ``node_id`` and, unless every tree is meant, ``tree_index``.
-    The search runs down level by level and touches only what it returns.
+    Rows that are numbered already are taken as they are.
     """
     on = [c for c in KEY if c in of.columns]
-    scope = tn
-    if "tree_index" in on:
-        scope = tn.join(of.select("tree_index").distinct(), "tree_index", "left_semi")
-    children = cut(scope.where(F.col("parent_id").isNotNull()).select(
-        "tree_index", "node_id", "parent_id", "is_tip"))
-    start = tn.select(*KEY).join(of.select(*on).distinct(), on, "left_semi")
-    level = start.select("tree_index", F.col("node_id").alias("query_node"),
-                         F.col("node_id").alias("parent_id"))
-    found, distance = None, 0
-    while True:
-        distance += 1
-        hit = cut(children.join(level, ["tree_index", "parent_id"]).select(
-            "tree_index", "query_node", "node_id", F.lit(distance).cast("long").alias("distance"),
-            "is_tip"))
-        if hit.isEmpty():
-            break
-        found = hit if found is None else found.unionByName(hit)
-        level = hit.where(~F.col("is_tip")).select("tree_index", "query_node",
-                                                   F.col("node_id").alias("parent_id"))
-    if found is None:
-        found = hit
-    return found.where("is_tip") if tips_only else found
+    wanted = of.select(*on).distinct()
+    if "enter" not in tn.columns:
+        held = wanted if "tree_index" in on else tn.join(wanted, on, "left_semi")
+        tn = written(nested(tn.join(held.select("tree_index").distinct(), "tree_index", "left_semi")), "nested-nodes")
+    return tn, tn.join(wanted, on, "left_semi")
 
 
-def descendant_counts(tn: DataFrame) -> DataFrame:
-    """Number of descendants and of tips below every inner node of every tree.
+def descendants(tn: DataFrame, of: DataFrame, tips_only: bool = False) -> DataFrame:
+    """``(tree_index, query_node, node_id, distance, is_tip)`` below each given node.
 
-    Children are counted per parent first; the counts then follow the chains of
-    the parents, so pairs of single nodes are never made.
+    ``of`` holds ``node_id`` and, unless every tree is meant, ``tree_index``.
     """
-    families = cut(tn.where(F.col("parent_id").isNotNull()).groupBy(
-        "tree_index", F.col("parent_id").alias("first")).agg(
-        F.count("*").alias("n"), F.count_if("is_tip").alias("tips")))
-    return _chains(families, tn).join(families, ["tree_index", "first"]).groupBy(*KEY).agg(
-        F.sum("n").alias("n_descendants"), F.sum("tips").alias("n_tips"))
+    rows, tops = _numbered(tn, of)
+    found = below(rows.where("is_tip") if tips_only else rows, tops)
+    return found.select("tree_index", "query_node", "node_id", "distance", "is_tip")
+
+
+def descendant_counts(tn: DataFrame) -> DataFrame:
+    """Number of descendants and of tips below every inner node of every tree, by subtraction."""
+    return nested(tn).where("NOT is_tip").select(
+        *KEY, (F.col("leave") - F.col("enter") - 1).alias("n_descendants"), "n_tips")
 
 
 def search_nodes(placed: DataFrame, min_time=None, max_time=None, min_y=None, max_y=None,
@@ -183,18 +172,15 @@ def search_nodes(placed: DataFrame, min_time=None, max_time=None, min_y=None, ma
 
 def subtree_nodes(placed: DataFrame, of: DataFrame) -> DataFrame:
     """Rows of the given nodes and everything below, with ``query_node``."""
-    below = descendants(placed, of).select("tree_index", "query_node", "node_id")
-    on = [c for c in KEY if c in of.columns]
-    tops = placed.select(*KEY).join(of.select(*on).distinct(), on, "left_semi").select(
-        "tree_index", F.col("node_id").alias("query_node"), "node_id")
-    return tops.unionByName(below).join(placed, KEY)
+    rows, tops = _numbered(placed, of)
+    return below(rows, tops, include_self=True).select(*placed.columns, "query_node")
 
 
 def subtree_edges(tn: DataFrame, of: DataFrame) -> DataFrame:
     """Edges below the given nodes."""
-    return descendants(tn, of).join(
-        tn.select(*KEY, F.col("parent_id").alias("parent")), KEY).select(
-        "tree_index", "query_node", "parent", F.col("node_id").alias("child"))
+    rows, tops = _numbered(tn, of)
+    return below(rows, tops).select(
+        "tree_index", "query_node", F.col("parent_id").alias("parent"), F.col("node_id").alias("child"))
 
 
 def common_ancestor(tn: DataFrame, seeds: DataFrame, oldest: bool = False) -> DataFrame:
@@ -204,20 +190,18 @@ def common_ancestor(tn: DataFrame, seeds: DataFrame, oldest: bool = False) -> Da
     root. The youngest one by default, the oldest with ``oldest=True``. Trees
     need two seeds or more.
     """
-    start, families, scope = _seeded(tn, seeds)
+    rows, ends = _numbered(tn, seeds.select(*KEY))
     wanted = seeds.select(*KEY).distinct().groupBy("tree_index").agg(
         F.count("*").alias("n")).where(F.col("n") >= 2)
-    # Seeds reach a node through the chains of their parents, or are it.
-    reached = _chains(families, scope).join(families, ["tree_index", "first"]).select(
-        *KEY, F.col("n").alias("hits")).unionByName(
-        start.select(*KEY, F.lit(1).cast("long").alias("hits")))
-    shared = reached.groupBy(*KEY).agg(F.sum("hits").alias("hits"))
-    candidates = shared.join(wanted, "tree_index").where(F.col("hits") == F.col("n"))
-    timed = candidates.join(tn.select(*KEY, "time"), KEY)
+    # What lies above all seeds lies above the first and the last of them.
+    reach = ends.groupBy("tree_index").agg(F.min("enter").alias("_lo"), F.max("enter").alias("_hi"),
+                                           F.count("*").alias("_n"))
+    shared = rows.join(reach, "tree_index").where("enter <= _lo AND leave > _hi")
     pick = (F.max if oldest else F.min)(F.struct("time", "node_id"))
-    best = timed.groupBy("tree_index").agg(pick.alias("_b"))
+    best = shared.groupBy("tree_index").agg(pick.alias("_b"), F.first("_n").alias("_n"))
+    found = F.col("n") == F.col("_n")                  # a seed that is not in the tree is below nothing
     return wanted.join(best, "tree_index", "left").select(
-        "tree_index", F.col("_b.node_id").alias("mrca"), F.col("_b.time").alias("mrca_time"))
+        "tree_index", F.when(found, F.col("_b.node_id")).alias("mrca"), F.when(found, F.col("_b.time")).alias("mrca_time"))
 
 
 def lineage_steps(tn: DataFrame, seeds: DataFrame) -> DataFrame:

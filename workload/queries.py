@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from copse.functions import coordinates as C, json as J, text as X
 from copse.operators import (compare as CMP, details as DET, intervals as I, layout as LAY,
-                             lineage as LIN, metadata as MET, mutations as MUT, thinning as THN,
+                             lineage as LIN, metadata as MET, mutations as MUT, nesting as NEST, thinning as THN,
                              topology as TOP, trees as T)
 from copse.plans import requests as R
 from copse.plans.collection import Collection
@@ -18,7 +18,7 @@ from copse.sources import bed, newick as N, sinks, summary, tables
 from copse.streaming import landing
 from workload import newick as ON, oracle as O
 from workload.collection import LENGTH, orders_collection
-from workload import lines as LN
+from workload import ladders as LD, lines as LN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1645,5 +1645,61 @@ def _(c):
     WHERE a.child < 99 AND (b.node_id = 99 OR b.node_id BETWEEN 101 AND a.parent)""")
 def _(c):
     tn = c.written_nodes(isolated=False)
-    return LIN.acyclic_paths(tn, tn.where("is_tip").select("tree_index", "node_id")).where(
-        "distance > 0").select("tree_index", "seed", "node_id")
+    return LIN.ancestor_pairs(tn, tn.where("is_tip").select("tree_index", "node_id"), include_self=False).select(
+        "tree_index", "seed", "node_id")
+
+
+# ---- very deep trees -------------------------------------------------------
+
+def ladder_query(name: str, sql: str):
+    """Register a query over the ladders of orders: their steps and their nodes."""
+    def add(build: Callable[[DataFrame, DataFrame], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: build(*LD.ladders(spark, sf_dir))
+        ORACLE[name] = O.sql(sql, LD.SQL)
+        return build
+    return add
+
+
+@ladder_query("deep_lin02_descendant_counts", """
+    SELECT tree_index, 2 * k AS node_id, 2 * (m - j) + 1 AS n_descendants, m - j + 1 AS n_tips FROM lo""")
+def _(steps, tn):
+    return LIN.descendant_counts(tn)
+
+
+@ladder_query("deep_lin03_descendant_tips", """
+    SELECT tree_index, q AS query_node, 2 * k + 1 AS node_id, j - qj + 1 AS distance FROM lo JOIN mid USING (tree_index)
+    WHERE j >= qj""")
+def _(steps, tn):
+    return LIN.descendants(tn, LD.middles(steps), tips_only=True).drop("is_tip")
+
+
+@ladder_query("deep_lin05_subtree_edges", """
+    SELECT tree_index, q AS query_node, 2 * k AS parent, 2 * k + 1 AS child FROM lo JOIN mid USING (tree_index) WHERE j >= qj
+    UNION ALL SELECT tree_index, q, 2 * b.k, 2 * a.k FROM lo a JOIN lo b USING (tree_index) JOIN mid USING (tree_index)
+    WHERE b.j = a.j - 1 AND b.j >= qj""")
+def _(steps, tn):
+    return LIN.subtree_edges(tn, LD.middles(steps))
+
+
+@ladder_query("deep_lin06_common_ancestor", """
+    SELECT tree_index, 2 * min(k) AS mrca FROM lo WHERE s = 'F' GROUP BY tree_index HAVING count(*) > 1""")
+def _(steps, tn):
+    seeds = steps.where("status = 'F'").select("tree_index", (F.col("k") * 2 + 1).alias("node_id"))
+    return LIN.common_ancestor(tn, seeds).select("tree_index", "mrca")
+
+
+@ladder_query("deep_lin06_pair_ancestors", """
+    SELECT * FROM (SELECT tree_index, 2 * lag(k) OVER w + 1 AS a, 2 * k + 1 AS b, 2 * lag(k) OVER w AS mrca FROM lo
+    WINDOW w AS (PARTITION BY tree_index, c ORDER BY k)) WHERE a IS NOT NULL""")
+def _(steps, tn):
+    by_customer = Window.partitionBy("tree_index", "cust").orderBy("k")        # orders of one customer
+    pairs = steps.select("tree_index", (F.lag("k").over(by_customer) * 2 + 1).alias("a"), (F.col("k") * 2 + 1).alias("b"))
+    return NEST.pair_ancestors(tn, pairs.where("a IS NOT NULL"))
+
+
+@ladder_query("deep_nested_numbers_by_joins", """
+    SELECT tree_index, 2 * k AS node_id, 2 * (j - 1) AS enter, 2 * m AS leave, j - 1 AS depth, m - j + 1 AS n_tips FROM lo
+    UNION ALL SELECT tree_index, 2 * k + 1, 2 * j - 1, 2 * j, j, 1 FROM lo""")
+def _(steps, tn):
+    rows = NEST.nested(tn, kernel_nodes=1000)              # as trees of many millions of nodes are numbered
+    return rows.select("tree_index", "node_id", "enter", "leave", "depth", "n_tips")
