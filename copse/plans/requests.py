@@ -11,7 +11,7 @@ from copse.operators import (compare as CMP, intervals as I, layout as LAY, line
                              metadata as MET, mutations as MUT, thinning as THN, trees as T)
 from copse.plans.collection import Collection
 from copse.session import written
-from copse.sources import sinks, summary
+from copse.sources import mutation_store as STORE, sinks, summary
 
 
 class Layout(NamedTuple):
@@ -102,6 +102,26 @@ def mutations_near(c: Collection, position: float, range_bp: float = 5000, offse
     return sinks.mutation_result(MUT.with_tree(page, c.loc))
 
 
+def stored_mutations(c: Collection, path: str, block_rows: int = STORE.BLOCK_ROWS) -> STORE.Store:
+    """Write the mutations of a collection by position and open them, for pages that read few blocks."""
+    STORE.write_store(MUT.with_sites(c.mutations, c.sites), path, block_rows)
+    return STORE.open_store(c.spark, path)
+
+
+def stored_window(c: Collection, store: STORE.Store, start: float, end: float, offset: int = 0, limit: int = 1000,
+                  after: tuple[float, int] | None = None) -> DataFrame:
+    """The page of :func:`mutation_window` from stored blocks; ``after`` continues behind the last key of a page."""
+    I.check_range(start, end, c.length)
+    return sinks.mutation_result(MUT.with_tree(STORE.window_page(store, start, end, offset, limit, after), c.loc))
+
+
+def stored_near(c: Collection, store: STORE.Store, position: float, range_bp: float = 5000, offset: int = 0,
+                limit: int = 1000) -> DataFrame:
+    """The page of :func:`mutations_near` from stored blocks."""
+    page = STORE.near_page(store, position, range_bp, c.length, offset, limit)
+    return sinks.mutation_result(MUT.with_tree(page, c.loc))
+
+
 def samples(c: Collection) -> DataFrame:
     """Samples with decoded metadata."""
     return MET.samples_with_metadata(c.nodes, c.individuals, c.populations)

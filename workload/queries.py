@@ -14,7 +14,7 @@ from copse.operators import (compare as CMP, details as DET, intervals as I, lay
 from copse.plans import requests as R
 from copse.plans.collection import Collection
 from copse.session import checkpoint_dir, cut
-from copse.sources import bed, newick as N, sinks, summary, tables
+from copse.sources import bed, mutation_store as STORE, newick as N, sinks, summary, tables
 from copse.streaming import landing
 from workload import newick as ON, oracle as O
 from workload.collection import LENGTH, orders_collection
@@ -1331,6 +1331,59 @@ def _(c):
         "position", "mutation", "node_id", "distance", "tree_index")
 
 
+_STORES: dict[int, STORE.Store] = {}
+
+
+def _store(c) -> STORE.Store:
+    """The stored mutations of a collection, written once per application."""
+    if id(c) not in _STORES:
+        _STORES[id(c)] = R.stored_mutations(c, f"{checkpoint_dir(c.spark)}/mutations-{uuid4().hex}", block_rows=4096)
+    return _STORES[id(c)]
+
+
+@query("mut01_stored_window", O.trees("""
+    SELECT position::BIGINT AS position, ancestral_state || '->' || derived_state AS mutation, node_id::INT AS node_id,
+      site_id::INT AS site_id, tree_index, interval_left, interval_right FROM muts
+    WHERE position >= 1500 AND position < 2500 ORDER BY muts.position, id LIMIT 1000 OFFSET 1200""", O.MUTS))
+def _(c):
+    return R.stored_window(c, _store(c), START, END, 1200, 1000).select(
+        "position", "mutation", "node_id", "site_id", "tree_index", "interval_left", "interval_right")
+
+
+@query("mut01_stored_continuation", O.trees("""
+    , k AS (SELECT id FROM muts WHERE position >= 1000 AND position < 2500 ORDER BY muts.position, id LIMIT 1 OFFSET 700),
+    p AS (SELECT position, id FROM muts WHERE id = (SELECT id FROM k))
+    SELECT position::BIGINT AS position, ancestral_state || '->' || derived_state AS mutation, node_id::INT AS node_id, tree_index
+    FROM muts WHERE position < 2500 AND (position, id) > (SELECT (position, id) FROM p) ORDER BY muts.position, id LIMIT 1000""",
+    O.MUTS))
+def _(c):
+    key = STORE.window_page(_store(c), 1000.0, END, 700, 1).select("position", "id").first()
+    return R.stored_window(c, _store(c), 1000.0, END, limit=1000, after=tuple(key)).select(
+        "position", "mutation", "node_id", "tree_index")
+
+
+@query("mut01_stored_totals", O.trees("""
+    SELECT count(*) AS total_count, 1500 < count(*) AS has_more FROM muts WHERE position >= 1500 AND position < 2500""", O.MUTS))
+def _(c):
+    return STORE.window_summary(_store(c), START, END, 500, 1000)
+
+
+@query("mut02_stored_near", O.trees("""
+    SELECT position::BIGINT AS position, ancestral_state || '->' || derived_state AS mutation, node_id::INT AS node_id,
+      trunc(abs(position - 2000.5))::BIGINT AS distance, tree_index FROM (
+      SELECT * FROM muts WHERE position >= 1750.5 AND position < 2250.5
+      ORDER BY abs(position - 2000.5), position, id LIMIT 300 OFFSET 20)""", O.MUTS))
+def _(c):
+    return R.stored_near(c, _store(c), 2000.5, 500, 20, 300).select(
+        "position", "mutation", "node_id", "distance", "tree_index")
+
+
+@query("mut04_stored_on_node", O.trees("""
+    SELECT id, position FROM muts WHERE node_id = 107 AND position >= 1500 AND position < 2500""", O.MUTS))
+def _(c):
+    return STORE.on_node(_store(c), 107, START, END).select("id", "position")
+
+
 @query("mut03_with_interval", O.trees(
     "SELECT id, tree_index, interval_left, interval_right FROM muts", O.MUTS))
 def _(c):
