@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from copse.operators.blocks import cover, holding
 from copse.operators.ordered import fold_changes
 
 
@@ -15,6 +16,31 @@ def request_pairs(tn_or_edges: DataFrame, requested: list[int], n_trees: int) ->
         rows, "pair int, prev_tree long, next_tree long")
 
 
+def pairs_of(requested: DataFrame) -> DataFrame:
+    """Neighbours in a request ``(pos, tree_index)``: ``(pair, prev_tree, next_tree)``, ``pos`` counting from 0 without gaps."""
+    after = requested.select((F.col("pos") - 1).alias("pos"), F.col("tree_index").alias("next_tree"))
+    return requested.join(after, "pos").select(
+        F.col("pos").alias("pair"), F.col("tree_index").alias("prev_tree"), "next_tree")
+
+
+def pair_differences(spans: DataFrame, pairs: DataFrame, n_trees: int) -> DataFrame:
+    """The rows of :func:`edge_differences` for any pairs of trees, from edge spans.
+
+    What an edge loses or gains between two trees is the sum of its starts and
+    ends on the way from one to the other. Those meet the stretches of the pairs
+    in blocks of trees; edges that both trees hold are never looked at.
+    """
+    changes = fold_changes(spans, ["parent", "child"], "first_tree", "last_tree", {"delta": F.lit(1)})
+    points = changes.select("parent", "child", "delta", F.inline(holding(F.col("tree_index"), F.lit(n_trees + 1))))
+    low, high = F.least("prev_tree", "next_tree"), F.greatest("prev_tree", "next_tree")
+    ways = pairs.select("pair", "prev_tree", "next_tree", F.inline(cover(low + 1, high + 1)))
+    key = ["pair", "prev_tree", "next_tree", "parent", "child"]
+    net = points.join(ways, ["level", "block"]).groupBy(*key).agg(F.sum("delta").alias("net")).where("net <> 0")
+    gained = (F.col("net") > 0) == (F.col("next_tree") > F.col("prev_tree"))
+    return net.select("pair", "prev_tree", "next_tree", F.when(gained, "inserted").otherwise("removed").alias("change"),
+                      "parent", "child")
+
+
 def edge_differences(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges of only one tree of a pair:
     ``(pair, prev_tree, next_tree, change, parent, child)``.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from copse.functions import json as J
 from copse.operators.ordered import global_rank
-from copse.operators.trees import explode_spans
+from copse.operators.blocks import cover, holding
 
 SOURCES = ("individual", "node", "population")
 LIST_CHUNK = 65_536
@@ -179,12 +179,15 @@ def multi_value_hits(values: DataFrame, wanted: DataFrame) -> DataFrame:
 def trees_of_nodes(ranges: DataFrame, hits: DataFrame, trees: DataFrame) -> DataFrame:
     """Requested trees that hold at least one of the nodes, from membership runs.
 
-    Ranges are exploded in chunks and only for the hit nodes; trees no node is
-    in are never read.
+    Runs of the hit nodes are cut into blocks of trees, the same blocks of
+    several nodes become one, and a tree asks for the few blocks that hold it:
+    no run is ever made into its trees.
     """
     near = ranges.join(hits.select("node_id").distinct(), "node_id", "left_semi")
-    return trees.select("tree_index").join(
-        explode_spans(near).select("tree_index"), "tree_index", "left_semi")
+    held = near.select(F.inline(cover(F.col("first_tree"), F.col("last_tree")))).distinct()
+    asked = trees.select("tree_index", F.inline(holding(F.col("tree_index")))).distinct()
+    found = asked.join(held, ["level", "block"], "left_semi").select("tree_index").distinct()
+    return trees.select("tree_index").join(found, "tree_index", "left_semi")
 
 
 def values_matching(values: DataFrame, text: str | None) -> DataFrame:

@@ -177,9 +177,12 @@ def name_lineages(c: Collection, names: DataFrame, trees=None) -> DataFrame:
     return LIN.lineage_steps(tn, seeds)
 
 
-def compare_trees(c: Collection, requested: list[int], scale: str | None = None) -> DataFrame:
-    """Edge changes between consecutive requested trees with coordinates."""
-    trees = sorted({t for t in requested if 0 <= t < c.loc.n_trees})
-    pairs = CMP.request_pairs(c.nodes, requested, c.loc.n_trees)
-    changes = CMP.edge_differences(c.tree_edges(trees), pairs)
+def compare_trees(c: Collection, requested: list[int] | DataFrame, scale: str | None = None) -> DataFrame:
+    """Edge changes between pairs of trees with coordinates.
+
+    Pairs are neighbours in a list, or rows ``(pair, prev_tree, next_tree)``.
+    """
+    pairs = requested if isinstance(requested, DataFrame) else CMP.request_pairs(c.nodes, requested, c.loc.n_trees)
+    changes = CMP.pair_differences(c.spans, pairs, c.loc.n_trees)
+    trees = pairs.select(F.explode(F.array("prev_tree", "next_tree")).alias("tree_index")).distinct()
     return CMP.with_coordinates(changes, placed_nodes(c, trees, scale, isolated=False))

@@ -948,12 +948,28 @@ def _(c):
     return CMP.change_counts(CMP.neighbour_differences(c.spans, c.loc.n_trees))
 
 
+def _all_neighbours(c) -> DataFrame:
+    return CMP.pairs_of(c.intervals.select(F.col("tree_index").alias("pos"), "tree_index"))
+
+
+@query("cmp01_distant_differences", O.trees("""
+    , n AS (SELECT max(tree_index) AS n FROM iv), pr AS (SELECT tree_index AS prev_tree, n - tree_index AS next_tree FROM iv, n),
+    dd AS (SELECT DISTINCT tree_index, parent, child FROM te)
+    SELECT prev_tree, next_tree, 'removed' AS change, parent, child FROM pr JOIN dd a ON a.tree_index = prev_tree
+    WHERE NOT EXISTS (SELECT 1 FROM dd b WHERE b.tree_index = next_tree AND b.parent = a.parent AND b.child = a.child)
+    UNION ALL SELECT prev_tree, next_tree, 'inserted', parent, child FROM pr JOIN dd a ON a.tree_index = next_tree
+    WHERE NOT EXISTS (SELECT 1 FROM dd b WHERE b.tree_index = prev_tree AND b.parent = a.parent AND b.child = a.child)"""))
+def _(c):
+    """Each tree with the one as far from the other end, forwards and backwards."""
+    t = F.col("tree_index")
+    pairs = c.intervals.select(t.alias("pair"), t.alias("prev_tree"), (F.lit(c.loc.n_trees - 1) - t).alias("next_tree"))
+    return CMP.pair_differences(c.spans, pairs, c.loc.n_trees).drop("pair")
+
+
 @query("cmp01_requested_differences", O.trees("""
     SELECT tree_index - 1 AS prev_tree, tree_index AS next_tree, change, parent, child FROM chg""", CHANGES))
 def _(c):
-    n = c.loc.n_trees
-    pairs = CMP.request_pairs(c.nodes, list(range(n)), n)
-    return CMP.edge_differences(c.tree_edges(), pairs).drop("pair")
+    return CMP.pair_differences(c.spans, _all_neighbours(c), c.loc.n_trees).drop("pair")
 
 
 @query("cmp02_difference_coordinates", O.placed("""
@@ -964,7 +980,7 @@ def _(c):
     JOIN placed p ON p.tree_index = home AND p.node_id = parent
     JOIN placed k ON k.tree_index = home AND k.node_id = child""", CHANGES, isolated=False))
 def _(c):
-    out = R.compare_trees(c, list(range(c.loc.n_trees)))
+    out = R.compare_trees(c, _all_neighbours(c))
     return out.select("prev_tree", "next_tree", "change", "parent", "child",
                       *[num(f"{e}_{a}").alias(f"{e}_{a}") for e in ("parent", "child") for a in "xy"])
 
