@@ -14,7 +14,7 @@ from copse.operators import (compare as CMP, details as DET, intervals as I, lay
 from copse.plans import requests as R
 from copse.plans.collection import Collection
 from copse.session import checkpoint_dir, cut
-from copse.sources import bed, mutation_store as STORE, newick as N, sinks, summary, tables
+from copse.sources import bed, genealogies as GEN, mutation_store as STORE, newick as N, sinks, summary, tables
 from copse.streaming import landing
 from workload import newick as ON, oracle as O
 from workload.collection import LENGTH, orders_collection
@@ -187,6 +187,39 @@ def _(c):
                        num(total("node_times")).alias("sum_time"))
 
 
+_TREES: dict[int, str] = {}
+
+
+def _stored_trees(c) -> DataFrame:
+    """All trees and mutations as compressed rows in shards, written once per application."""
+    if id(c) not in _TREES:
+        path = f"{checkpoint_dir(c.spark)}/genealogies-{uuid4().hex}"
+        parts = GEN.genealogy_parts(R.placed_nodes(c), c.intervals, R.located_mutations(c), part_size=1024)
+        GEN.write_shards(parts, path, shard_bytes=1 << 20)
+        _TREES[id(c)] = path
+    return GEN.read_shards(c.spark, _TREES[id(c)])
+
+
+@query("snk01_stored_nodes", O.placed("""
+    SELECT tree_index, node_id, coalesce(parent_id, -1) AS parent_id, time, flags, n_children, round(x::DOUBLE, 6) AS x FROM placed"""))
+def _(c):
+    return GEN.nodes_of(_stored_trees(c)).select(
+        "tree_index", "node_id", C.sentinels(F.col("parent_id")).alias("parent_id"), "time", "flags", "n_children", num("x").alias("x"))
+
+
+@query("snk01_stored_children", O.placed(
+    "SELECT tree_index, parent_id AS parent, node_id AS child FROM placed WHERE parent_id IS NOT NULL"))
+def _(c):
+    return GEN.children_of(_stored_trees(c), part_size=1024)
+
+
+@query("snk01_stored_mutations", O.trees(
+    "SELECT tree_index, id, node_id, position, ancestral_state, derived_state FROM muts WHERE tree_index IS NOT NULL", O.MUTS))
+def _(c):
+    return GEN.mutations_of(_stored_trees(c)).select(
+        "tree_index", "id", "node_id", "position", "ancestral_state", "derived_state")
+
+
 @query("snk02_node_dimension", O.trees("""
     SELECT id, flags, time, coalesce(population, -1) AS population, coalesce(individual, -1) AS individual,
            metadata_json, strlen(metadata_json) AS n_bytes FROM nodes"""))
