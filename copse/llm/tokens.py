@@ -19,9 +19,8 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-#: ASCII marks that end a word after an ASCII letter or digit, or a letter of Latin-1.
-_ENDING = re.compile(rb"(?<=[A-Za-z0-9])([.,;:!?]+)(?=[\x20\x09-\x0D]|\Z)"
-                     rb"|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([.,;:!?]+)(?=[\x20\x09-\x0D]|\Z)")
+#: ASCII marks that end a word after an ASCII letter or digit, or a letter of Latin-1; searched by the first mark.
+_ENDING = re.compile(rb"[.,;:!?](?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?]*(?=[\x20\x09-\x0D]|\Z)")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -35,7 +34,7 @@ def words_of(text: bytes) -> list[bytes]:
     if b"<|" not in text:
         if b"\xcc" not in text and b"\xcd" not in text:
             text = text.lower()                      # bytes: A-Z only
-        text = _ENDING.sub(rb" \1\2", text)
+        text = _ENDING.sub(rb" \g<0>", text)
     return text.split()                              # bytes split at ASCII white space
 
 

@@ -7,7 +7,7 @@ rank directory (ones before every block of 512 bits) makes access, counting
 and the search for the n-th occurrence cost one step per plane, all from the
 one compressed file. Documents are marked by the places of their ends.
 
-Layout, little-endian: magic ``CWM1``; uint32 planes, documents, ids; then
+Layout, little-endian: magic ``CWM2``; uint32 planes, documents, ids; then
 all documents' int64 keys, uint8 marks of null keys and uint32 numbers of
 ids, ends counted; per plane uint32 zeros; then the planes, each padded to
 whole 512-bit blocks. The file is compressed with zstd. Rank
@@ -22,36 +22,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from copse.llm.batches import bounded, texts_of
 from copse.llm.tokens import encoder, tokenizer_path
 from copse.session import ship
 
-MAGIC = b"CWM1"
+MAGIC = b"CWM2"
 BLOCK = 512
 #: Ids after which a file is closed; a longer document makes a longer file.
 FILE_IDS = 1 << 20
 
 
 def build(ids: np.ndarray, keys: np.ndarray, null_keys: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The compressed file of documents' ids in a row."""
+    """The file of documents' ids in a row."""
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     kind = np.uint16 if planes <= 16 else np.uint32
     seq = ids.astype(kind)
-    pad = bytes(-(-(-len(seq) // 8)) % (BLOCK // 8))
+    width = -(-len(seq) // BLOCK) * (BLOCK // 8)
     zeros, data = [], []
     for plane in range(planes - 1, -1, -1):
         ones = (seq & kind(1 << plane)) != 0
-        zeros.append(len(seq) - int(np.count_nonzero(ones)))
-        data += [np.packbits(ones, bitorder="little").tobytes(), pad]
+        bits = np.zeros(width, np.uint8)
+        bits[:-(-len(seq) // 8)] = np.packbits(ones, bitorder="little")
+        inside = np.bitwise_count(bits.view("<u8")).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
+        ranks = np.concatenate([np.zeros(1, "<u4"), np.cumsum(inside, dtype="<u4")])
+        zeros.append(len(seq) - int(ranks[-1]))
+        data += [ranks.tobytes(), bits.tobytes()]
         if plane:
-            seq = np.concatenate([seq[~ones], seq[ones]])
+            seq = np.concatenate([seq[np.flatnonzero(~ones)], seq[np.flatnonzero(ones)]])
     head = MAGIC + np.array([planes, len(lengths), len(ids)], "<u4").tobytes()
     body = (np.asarray(keys, "<i8").tobytes() + np.asarray(null_keys, "u1").tobytes()
             + np.asarray(lengths, "<u4").tobytes() + np.asarray(zeros, "<u4").tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(head + body + b"".join(data))
+    return head + body + b"".join(data)
 
 
 @dataclass
@@ -68,7 +71,7 @@ class WaveletMatrix:
 
     @classmethod
     def open(cls, file: bytes) -> WaveletMatrix:
-        raw = zstandard.ZstdDecompressor().decompress(file)
+        raw = file
         if raw[:4] != MAGIC:
             raise ValueError("not a wavelet file")
         n_planes, n_docs, size = np.frombuffer(raw, "<u4", 3, 4).tolist()
@@ -78,12 +81,10 @@ class WaveletMatrix:
         lengths = np.frombuffer(raw, "<u4", n_docs, at + 9 * n_docs)
         zeros = np.frombuffer(raw, "<u4", n_planes, at + 13 * n_docs).astype(np.int64)
         at += 13 * n_docs + 4 * n_planes
-        width = -(-size // BLOCK) * (BLOCK // 8)
-        planes = [np.frombuffer(raw, np.uint8, width, at + k * width) for k in range(n_planes)]
-        ranks = []
-        for plane in planes:
-            ones = np.bitwise_count(plane).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
-            ranks.append(np.concatenate([np.zeros(1, np.int64), np.cumsum(ones)]))
+        blocks = -(-size // BLOCK)
+        width, step = blocks * (BLOCK // 8), 4 * (blocks + 1) + blocks * (BLOCK // 8)
+        ranks = [np.frombuffer(raw, "<u4", blocks + 1, at + k * step) for k in range(n_planes)]
+        planes = [np.frombuffer(raw, np.uint8, width, at + k * step + 4 * (blocks + 1)) for k in range(n_planes)]
         return cls(keys, nulls, lengths, zeros, planes, ranks, size)
 
     def _bit(self, plane: int, at: np.ndarray) -> np.ndarray:
@@ -92,7 +93,7 @@ class WaveletMatrix:
     def _ones(self, plane: int, at: np.ndarray) -> np.ndarray:
         """Ones before each place (0 to size)."""
         block = at >> 9
-        before = self.ranks[plane][block]
+        before = self.ranks[plane][block].astype(np.int64)
         bits = self.planes[plane].reshape(-1, BLOCK // 8)
         inside = np.zeros(len(at), np.int64)
         part = at & (BLOCK - 1)
@@ -128,6 +129,17 @@ class WaveletMatrix:
         low, high = self._range(token, start, self.size if stop is None else stop)
         return high - low
 
+    def counts(self, token: int, ends: np.ndarray) -> np.ndarray:
+        """Occurrences of an id before each of many places, all walked down the planes at once."""
+        ends = np.asarray(ends, np.int64)
+        if token >> len(self.planes):
+            return np.zeros(len(ends), np.int64)
+        at = np.append(ends, 0)
+        for plane in range(len(self.planes)):
+            ones = self._ones(plane, at)
+            at = self.zeros[plane] + ones if token >> (len(self.planes) - 1 - plane) & 1 else at - ones
+        return at[:-1] - at[-1]
+
     def _range(self, token: int, low: int, high: int) -> tuple[int, int]:
         if token >> len(self.planes):
             return 0, 0
@@ -151,21 +163,25 @@ class WaveletMatrix:
         return at
 
     def _select_bit(self, plane: int, one: int, n: int) -> int:
-        ranks = self.ranks[plane] if one else np.arange(len(self.ranks[plane])) * BLOCK - self.ranks[plane]
+        ranks = self.ranks[plane].astype(np.int64)
+        ranks = ranks if one else np.arange(len(ranks)) * BLOCK - ranks
         block = int(np.searchsorted(ranks, n, side="right")) - 1
         bits = np.unpackbits(self.planes[plane][block * (BLOCK // 8):(block + 1) * (BLOCK // 8)], bitorder="little")
         return block * BLOCK + int(np.flatnonzero(bits == one)[n - ranks[block]])
 
     def ids(self) -> np.ndarray:
-        """All ids in order: the planes undone from the last to the first."""
+        """All ids in order, for sequential reading: the planes undone from the last to the first.
+
+        Single places are read by :meth:`access`, which needs no other.
+        """
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         values = np.unpackbits(self.planes[-1], count=self.size, bitorder="little").astype(kind)
         for plane in range(len(self.planes) - 2, -1, -1):
             bit = np.unpackbits(self.planes[plane], count=self.size, bitorder="little").view(bool)
             back = np.empty(self.size, kind)
             zeros = int(self.zeros[plane])
-            back[~bit] = values[:zeros]
-            back[bit] = values[zeros:] | kind(1 << (len(self.planes) - 1 - plane))
+            back[np.flatnonzero(~bit)] = values[:zeros]
+            back[np.flatnonzero(bit)] = values[zeros:] | kind(1 << (len(self.planes) - 1 - plane))
             values = back
         return values.astype(np.uint32)
 
@@ -212,13 +228,17 @@ def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "te
 
     rows = docs.select(F.col(key).cast("long").alias(key), text)
     rows = rows.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, text)
-    rows.mapInArrow(run, "shard int, file int, n_ids long, data binary").write.parquet(folder)
+    rows.mapInArrow(run, "shard int, file int, n_ids long, data binary").write.option(
+        "compression", "none").parquet(folder)
 
 
-def read(spark, folder: str, key: str = "doc_id") -> DataFrame:
-    """Documents of the files in ``folder``: (key, start, n_tokens, ids_crc32).
+def read(spark, folder: str, key: str = "doc_id", end: int = 2) -> DataFrame:
+    """Documents of the files in ``folder``: (key, start, n_tokens, ids_crc32, first_id, n_end).
 
-    ``start`` counts the ids of all documents before, over all shards.
+    ``start`` counts the ids of all documents before, over all shards. The
+    checksum is of ids read in sequence; the first id of a document is looked up
+    by its place and occurrences of ``end`` in it are counted, both on the planes.
+    An empty table's folder gives no rows.
     """
     ship(spark)
     files = spark.read.parquet(folder)
@@ -234,17 +254,19 @@ def read(spark, folder: str, key: str = "doc_id") -> DataFrame:
                 ends = np.cumsum(one.lengths, dtype=np.int64)
                 sums = [zlib.crc32(data[4 * (b - n):4 * b]) for b, n in zip(ends.tolist(), one.lengths.tolist())]
                 n = len(ends)
+                counts = one.counts(end, np.append(ends - one.lengths, ends))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, batch.column("shard")[k].as_py()), pa.int32()),
                      pa.array(np.full(n, batch.column("file")[k].as_py()), pa.int32()),
                      pa.array(one.keys, mask=one.null_keys), pa.array(ends - one.lengths, pa.int64()),
-                     pa.array(one.lengths, pa.int64()), pa.array(sums, pa.int64())],
-                    names=["shard", "file", key, "inside", "n_tokens", "ids_crc32"])
+                     pa.array(one.lengths, pa.int64()), pa.array(sums, pa.int64()),
+                     pa.array(one.access(ends - one.lengths), pa.int64()), pa.array(counts[n:] - counts[:n], pa.int64())],
+                    names=["shard", "file", key, "inside", "n_tokens", "ids_crc32", "first_id", "n_end"])
 
     rows = files.select("shard", "file", "data").mapInArrow(
-        run, f"shard int, file int, `{key}` long, inside long, n_tokens long, ids_crc32 long")
+        run, f"shard int, file int, `{key}` long, inside long, n_tokens long, ids_crc32 long, first_id long, n_end long")
     return rows.join(starts, ["shard", "file"]).select(
-        key, (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+        key, (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "first_id", "n_end")
 
 
 def occurrences(spark, folder: str, token: int) -> DataFrame:

@@ -96,6 +96,7 @@ def test_wavelet_matrix(values):
         assert [one.select(token, n) for n in range(len(at) + 1)] == at + [-1]
         for place in (0, len(ids) // 2, len(ids)):
             assert one.rank(token, place) == sum(x < place for x in at)
+        assert one.counts(token, [0, len(ids) // 3, len(ids)]).tolist() == [sum(x < p for x in at) for p in (0, len(ids) // 3, len(ids))]
         assert one.count(token, len(ids) // 3, len(ids) // 2) == sum(len(ids) // 3 <= x < len(ids) // 2 for x in at)
 
 
@@ -107,7 +108,7 @@ def test_token_files(spark, docs, library, tmp_path):
     want, start, total = [], 0, 0
     for r in ordered:
         ids = library.encode(r[1] or "", add_special_tokens=False).ids + [2]
-        want.append((r[0], start, len(ids), crc(ids)))
+        want.append((r[0], start, len(ids), crc(ids), ids[0], ids.count(2)))
         start += len(ids)
         total += ids.count(2)
     assert got == want
