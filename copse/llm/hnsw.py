@@ -1,13 +1,16 @@
 """Nearest neighbours by largest inner product, from small-world graphs per shard.
 
-Vectors are dealt to shards by a hash. Each shard has a hierarchical navigable
+Vectors are dealt to bands of like length (powers of 8 of their largest
+component), so that one long vector does not take the precision of the others,
+and within a band to shards by a hash. Each shard has a hierarchical navigable
 small-world graph, stored as one row of flat arrays: per level a table of
 ``M`` neighbours a node. Equal vectors are one node that lists their ids, so
 copies cannot crowd out a node's neighbours. Inner product becomes distance by
 one more coordinate, which brings all vectors of a shard to the same norm. A
 search walks the graphs of all shards with a block of queries at once; found
 ids are scored on the original vectors in double precision, and shard results
-are merged.
+are merged. A shard of many holds few of the nearest, so the candidates that a
+search keeps are shared out over the shards of a band.
 """
 
 from __future__ import annotations
@@ -18,19 +21,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from copse.session import ship, written
 
-#: Vectors of a shard, neighbours of a node (twice as many at the bottom), candidates kept in a search, queries of a block.
+#: Vectors of a shard, neighbours of a node (twice as many at the bottom), queries of a block.
 SHARD_ROWS = 8192
 M = 16
-EF = 160
+#: Candidates kept in a search: of a band in one shard, at least in one of many, and beyond the ``k`` that are asked for.
+EF, EF_LEAST, EF_SPARE = 160, 96, 16
 QUERY_BLOCK = 2048
 
 
 def usable(rows: DataFrame, vector: str, key: str) -> DataFrame:
-    """(key, v, dim): vectors without null or non-finite components, and not zero."""
+    """(key, v, dim, band): vectors without null or non-finite components, and not zero."""
     v = F.col(vector).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0.0)
+    largest = F.array_max(F.transform(v, F.abs))
     return rows.where(F.col(key).isNotNull() & v.isNotNull() & good).select(
-        F.col(key).cast("long").alias(key), v.alias("v"), F.size(v).alias("dim"))
+        F.col(key).cast("long").alias(key), v.alias("v"), F.size(v).alias("dim"),
+        F.floor(F.log2(largest) / 3).cast("int").alias("band"))
 
 
 class Graph:
@@ -146,13 +152,15 @@ def _level(points: np.ndarray, m: int) -> np.ndarray:
     place = np.arange(len(target)) - np.searchsorted(target, target)
     room = place < m - half
     table[target[room], half + place[room]] = source[room]
-    # A chain through all nodes keeps the level in one piece.
+    # A chain through all nodes keeps the level in one piece; a link stands in a row once.
     if m > half:
-        table[np.arange(n - 1), m - 1] = np.arange(1, n)
+        after = np.arange(1, n)
+        linked = (table[:-1, :m - 1] == after[:, None]).any(axis=1)
+        table[:-1, m - 1] = np.where(linked, -1, after)
     return table
 
 
-_INDEX = ("dim int, shard int, n int, ids binary, firsts binary, vectors binary, high double, sizes array<int>, "
+_INDEX = ("dim int, band int, shard int, n int, ids binary, firsts binary, vectors binary, sizes array<int>, "
           "neighbours array<binary>")
 
 
@@ -161,9 +169,9 @@ def index(rows: DataFrame, key: str = "vec_id", shard_rows: int = SHARD_ROWS) ->
 
     ``ids`` are sorted within a node, ``firsts`` say where a node's begin.
     """
-    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("n_shards"))
-    # One row per dimension; a table has few.
-    sharded = rows.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64(key), F.col("n_shards")).cast("int"))
+    sizes = rows.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("n_shards"))
+    # One row per dimension and band; a table has few dimensions, and doubles have some 700 bands.
+    sharded = rows.join(F.broadcast(sizes), ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64(key), F.col("n_shards")).cast("int"))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(key)
@@ -173,34 +181,40 @@ def index(rows: DataFrame, key: str = "vec_id", shard_rows: int = SHARD_ROWS) ->
         place = np.empty(len(unique), np.int64)
         place[shuffle] = np.arange(len(unique))
         unique, at = unique[shuffle], place[at.ravel()]
+        both = np.unique(np.column_stack([at, ids]), axis=0)          # a row that repeats id and vector is one
+        at, ids = both[:, 0], both[:, 1]
         order = np.lexsort((ids, at))
         firsts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(unique)))])
-        points, high = _lifted(unique)
+        points = _lifted(unique)
         graph = Graph.build(points)
         return pd.DataFrame([{
-            "dim": int(group["dim"].iloc[0]), "shard": int(group["shard"].iloc[0]), "n": len(unique),
-            "ids": ids[order].tobytes(), "firsts": firsts.tobytes(), "vectors": unique.tobytes(), "high": high,
+            **{c: int(group[c].iloc[0]) for c in ("dim", "band", "shard")}, "n": len(unique),
+            "ids": ids[order].tobytes(), "firsts": firsts.tobytes(), "vectors": unique.tobytes(),
             "sizes": graph.sizes, "neighbours": [t.tobytes() for t in graph.neighbours]}])
-    return sharded.groupBy("dim", "shard").applyInPandas(build, _INDEX)
+    return sharded.groupBy("dim", "band", "shard").applyInPandas(build, _INDEX)
 
 
-def _lifted(vectors: np.ndarray) -> tuple[np.ndarray, float]:
-    """Vectors with a coordinate that brings all to one norm, as single floats, and that norm."""
+def _lifted(vectors: np.ndarray) -> np.ndarray:
+    """Vectors with a coordinate that brings all to one norm, which is taken as 1, as single floats."""
+    vectors = vectors / np.abs(vectors).max()
     norms = np.einsum("nd,nd->n", vectors, vectors)
-    high = float(norms.max())
-    scale = high ** -0.5
-    last = np.sqrt(np.maximum(0.0, high - norms))
-    return (np.column_stack([vectors, last]) * scale).astype(np.float32), high
+    high = norms.max()
+    return (np.column_stack([vectors, np.sqrt(np.maximum(0.0, high - norms))]) * high ** -0.5).astype(np.float32)
 
 
 def _opened(row) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     vectors = np.frombuffer(row["vectors"], float).reshape(row["n"], -1)
-    points, _ = _lifted(vectors)
+    points = _lifted(vectors)
     sizes = [int(s) for s in row["sizes"]]
     tables = [np.frombuffer(t, np.int32).reshape(s, -1) for t, s in zip(row["neighbours"], sizes)]
     return Graph(points, sizes, tables), vectors, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["firsts"], np.int64)
 
 
+def kept_candidates(k: int, n_shards: int, ef: int = EF) -> int:
+    """Candidates that the search of one of ``n_shards`` random shards keeps."""
+    return max(k + EF_SPARE, min(ef, EF_LEAST), -(-2 * ef // (n_shards + 1)))
+
+
 def search(built: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ef: int = EF,
            block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, key, score): the ``k`` nearest found of each query but itself, ties to the smaller id.
@@ -209,12 +223,13 @@ def search(built: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ef
     a shard returns ``k`` ids of each query at most.
     """
     ship(built.sparkSession)
-    shards = built.groupBy("dim").agg(F.max("shard").alias("last"))
+    shards = built.groupBy("dim", "band").agg(F.max("shard").alias("last"))
     blocks = queries.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
-    per_dim = shards.join(blocks, "dim")                 # one row per dimension
-    left = built.join(F.broadcast(per_dim), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    right = queries.join(F.broadcast(per_dim), "dim").select(
-        "dim", F.col(key).alias("query_id"), "v", F.pmod(F.xxhash64(F.lit(3), key), F.col("n_blocks")).cast("int").alias("block"),
+    per_band = shards.join(blocks, "dim")                # one row per dimension and band
+    left = built.join(F.broadcast(per_band), ["dim", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    right = queries.drop("band").join(F.broadcast(per_band), "dim").select(
+        "dim", (F.col("band") + 0).alias("band"), (F.col("last") + 1).alias("n_shards"), F.col(key).alias("query_id"), "v",
+        F.pmod(F.xxhash64(F.lit(3), key), F.col("n_blocks")).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("last"))).alias("shard"))
 
     def look(graphs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -223,12 +238,13 @@ def search(built: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ef
         graph, vectors, ids, firsts = _opened(graphs.iloc[0])
         wanted = np.stack(asked["v"].to_numpy()).astype(float)
         names = asked["query_id"].to_numpy(np.int64)
-        lifted = np.column_stack([wanted, np.zeros(len(wanted))])
-        norms = np.maximum(np.sqrt(np.einsum("nd,nd->n", lifted, lifted)), 1e-300)
+        wide = kept_candidates(k, int(asked["n_shards"].iloc[0]), ef)
+        lifted = np.column_stack([wanted / np.abs(wanted).max(axis=1, keepdims=True), np.zeros(len(wanted))])
+        norms = np.sqrt(np.einsum("nd,nd->n", lifted, lifted))
         out = []
         for start in range(0, len(wanted), 256):
             part = slice(start, start + 256)
-            nodes = graph.search((lifted[part] / norms[part, None]).astype(np.float32), max(ef, k + 1))
+            nodes = graph.search((lifted[part] / norms[part, None]).astype(np.float32), wide)
             for name, query, row in zip(names[part], wanted[part], nodes):
                 row = row[row >= 0]
                 # Summed the same way for every vector: equal vectors have equal scores.
@@ -237,11 +253,12 @@ def search(built: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ef
                 value = np.repeat(score, np.minimum(firsts[row + 1] - firsts[row], k + 1))
                 other = found != name
                 found, value = found[other], value[other]
-                best = np.lexsort((found, -value))[:k]
+                best = np.lexsort((found, -value))
+                best = best[np.sort(np.unique(found[best], return_index=True)[1])][:k]    # an id once, at its best
                 out.append((np.full(len(best), name), found[best], value[best]))
         return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), key: np.concatenate([o[1] for o in out]),
                              "score": np.concatenate([o[2] for o in out])})
-    by = ["dim", "shard", "block"]
+    by = ["dim", "band", "shard", "block"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(look, f"query_id long, `{key}` long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
@@ -252,9 +269,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vector: str = "emb
 
     Vectors that are null, zero, or hold null or non-finite components take no
     part, as do rows without a key; vectors meet those of their own dimension.
-    Copies are found like any other row, the smaller ids first. Empty tables
+    Copies are found like any other row, the smaller ids first; an id that
+    stands in several rows is one candidate, at its best score, and asks with
+    the least of its vectors. Empty tables
     give an empty result; other columns play no part.
     """
     ship(rows.sparkSession)
     built = written(index(usable(rows, vector, key), key), "graphs")
-    return search(built, usable(queries, vector, key), k, key, **how)
+    asked = usable(queries, vector, key).groupBy(key).agg(F.min(F.struct("dim", "v", "band")).alias("_q")).select(key, "_q.*")
+    return search(built, asked, k, key, **how)

@@ -265,6 +265,33 @@ def test_neighbours(spark):
     assert hnsw.nearest(few, few.where("vec_id = 0")).count() == 4
 
 
+def test_neighbours_beside_very_long_vectors_and_repeated_ids(spark):
+    """Lengths from tiny to huge do not spoil each other's shards; an id in several rows is found once."""
+    pick = np.random.default_rng(4)
+    vectors = pick.normal(size=(1200, 24))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[7] *= 3e5
+    vectors[8] *= 1e170
+    vectors[9] *= 1e-170
+    vectors[600:800] *= np.exp(pick.uniform(0, 14, 200))[:, None]
+    table = [(k, v.tolist()) for k, v in enumerate(vectors)] + [(33, vectors[33].tolist())] * 2 + [(33, vectors[34].tolist())]
+    rows_ = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = hnsw.nearest(rows_, rows_.where("vec_id % 20 = 0 or vec_id in (7, 9, 33)")).toPandas()
+    assert not got.duplicated(["query_id", "vec_id"]).any() and (got.groupby("query_id").size() == 20).all()
+    hits = total = 0
+    for query in [*range(0, 1200, 20), 7, 9]:
+        score = (vectors * vectors[query]).sum(axis=1)
+        score[33] = max(score[33], score[34])
+        order = [k for k in np.lexsort((np.arange(1200), -score)) if k != query][:20]
+        hits += len(set(order) & set(got[got["query_id"] == query]["vec_id"]))
+        total += 20
+    assert hits >= 0.95 * total
+
+
+def test_kept_candidates_shrink_with_shards():
+    assert [hnsw.kept_candidates(20, n) for n in (1, 2, 7, 1000)] == [160, 107, 96, 96]
+
+
 def test_index_starts_over():
     index = Index(3)
     assert index.codes(["a", "b", "a"])[0].tolist() == [0, 1, 0]
