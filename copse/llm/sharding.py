@@ -14,6 +14,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from copse.llm.batches import free_name, named
 from copse.session import written
 
 #: Ranges for each shard, at least; and records that a range is meant to hold.
@@ -67,12 +68,12 @@ def _quantiles(drawn: DataFrame, key: str, cuts: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def splitters(rows: DataFrame, ranges: int, total: int, key: str = "doc_id", draws: int = DRAWS) -> tuple[list[int], dict[int, int]]:
-    """Splitters for about ``ranges`` ranges, and parts for ranges that one key overfills."""
+def splitters(rows: DataFrame, ranges: int, total: int, key: str = "doc_id", draws: int = DRAWS) -> list[int]:
+    """Splitters for about ``ranges`` ranges; what is overfull after the last round is left to :func:`parts_of`."""
     found = _quantiles(_draw(rows, key, draws * ranges, total, 0), key, ranges - 1)
     for round_ in range(1, ROUNDS + 1):
-        full = _overfull(rows, found, key, total / ranges)
-        split = {r["range"]: r for r in full if r["low"] != r["high"]}
+        full = _overfull(rows, _range_of(key, found), key, total / ranges)
+        split = {r["range"]: r for r in full.where("low <> high").collect()}    # at most ranges / OVERFULL
         if not split or round_ == ROUNDS or len(found) > 2 * MAX_RANGES:
             break
         inside = rows.withColumn("range", _range_of(key, found)).where(F.col("range").isin(list(split)))
@@ -82,50 +83,56 @@ def splitters(rows: DataFrame, ranges: int, total: int, key: str = "doc_id", dra
         # One heavy record among light ones may take all draws: its own key is a splitter too.
         more += [r["high"] for r in split.values()] + [r["low"] + 1 for r in split.values()]
         found = sorted(set(found) | set(more))
-    parts = {r["range"]: ceil(r["bytes"] / (total / ranges)) for r in full if r["n"] > 1}
-    return found, parts
+    return found
 
 
-def _overfull(rows: DataFrame, found: list[int], key: str, mean: float) -> list:
-    """Overfull ranges: at most ``ranges / OVERFULL`` rows."""
-    return rows.groupBy(_range_of(key, found).alias("range")).agg(
+def _overfull(rows: DataFrame, number: Column, key: str, mean: float) -> DataFrame:
+    """Overfull ranges: at most ``ranges / OVERFULL`` rows, as they hold that many means together."""
+    return rows.groupBy(number.alias("range")).agg(
         F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).where(
-        F.col("bytes") > OVERFULL * mean).collect()
+        F.col("bytes") > OVERFULL * mean)
+
+
+def parts_of(rows: DataFrame, number: Column, key: str, mean: float) -> DataFrame:
+    """(range, parts): how many parts the rows of a range that is still overfull go to, by their hash."""
+    return _overfull(rows, number, key, mean).where("n > 1").select(
+        "range", F.ceil(F.col("bytes") / F.lit(mean)).alias("parts"))
 
 
 def sharded(rows: DataFrame, shards: int, key: str = "doc_id", ranges: int | None = None) -> DataFrame:
-    """``rows`` (key, size, ...) with ``shard`` and ``slot``: shard sizes differ by one record at most.
+    """``rows`` (key, size, text_crc32, ...) with ``shard`` and ``slot``: shard sizes differ by one record at most.
 
     Shard ``k`` takes the records whose middle, in the order of keys, lies in
     the k-th of equal parts of all bytes. Null keys come first; equal keys go
-    by checksum and size, unless one key overfills a range. An empty table
-    gives an empty result.
+    by checksum and size, unless their range is overfull: then the hash of a row
+    decides its part. Repeated rows are rows of their own. An empty table gives
+    an empty result. Other columns are kept, whatever their names; ``shard`` and
+    ``slot`` replace columns of that name.
     """
-    rows = written(rows, "sized")
+    rows = written(rows.drop("shard", "slot"), "sized")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = ranges or min(MAX_RANGES, max(RANGES_PER_SHARD * shards, n // RANGE_ROWS))
-    found, parts = splitters(rows, ranges, total, key) if n else ([], {})
-    place = rows.withColumn("_range", _range_of(key, found)).withColumn("_id", F.monotonically_increasing_id())
-    part = F.lit(0).cast("long")
-    for number, count in parts.items():
-        part = F.when(F.col("_range") == number, F.pmod(F.xxhash64("size", "text_crc32", "_id"), F.lit(count))).otherwise(part)
-    place = place.withColumn("_part", part).drop("_id")
-    if parts:
-        place = written(place, "placed")             # row ids hold for one reading only
-    sums = place.groupBy("_range", "_part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    # One row per range, a number that parameters bound.
-    order = Window.orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_range", "_part", F.coalesce(F.sum("bytes").over(order), F.lit(0)).alias("_bytes"),
-                         F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_rows"))
-    inside = Window.partitionBy("_range", "_part").orderBy(F.asc_nulls_first(key), "text_crc32", "size")
+    number = _range_of(key, splitters(rows, ranges, total, key) if n else [])
+    range_, part, at, before, above, first = (
+        free_name(rows, name) for name in ("_range", "_part", "_at", "_before", "_above", "_first"))
+    # Bounded by ranges / OVERFULL rows, so the join never shuffles the records.
+    parts = parts_of(rows, number, key, max(total, 1) / ranges).select(F.col("range").alias(range_), F.col("parts").alias(part))
+    spread = F.pmod(F.xxhash64("size", "text_crc32", F.monotonically_increasing_id()), F.col(part))
+    place = rows.withColumn(range_, number).join(F.broadcast(parts), range_, "left").withColumn(
+        part, F.coalesce(spread, F.lit(0)).cast("long"))
+    place = written(place, "placed")                 # row ids hold for one reading only
+    sums = place.groupBy(range_, part).agg(F.sum("size").alias(at), F.count("*").alias(above))
+    # One row per range and part, a number that parameters bound.
+    order = Window.orderBy(range_, part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(range_, part, F.coalesce(F.sum(at).over(order), F.lit(0)).alias(before),
+                         F.coalesce(F.sum(above).over(order), F.lit(0)).alias(above))
+    inside = Window.partitionBy(range_, part).orderBy(F.asc_nulls_first(key), "text_crc32", "size")
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    middle = 2 * (F.col("_bytes") + F.col("_upto")) - F.col("size")
+    placed = place.withColumns({first: upto, at: F.row_number().over(inside)}).join(F.broadcast(starts), [range_, part])
+    middle = 2 * (F.col(before) + F.col(first)) - F.col("size")
     shard = F.floor(F.try_divide(middle.cast("decimal(38,0)") * shards, F.lit(2 * max(total, 1)).cast("decimal(20,0)")))
-    numbered = (place.withColumns({"_upto": upto, "_number": F.row_number().over(inside)})
-                .join(F.broadcast(starts), ["_range", "_part"])
-                .select(*rows.columns, shard.cast("int").alias("shard"),
-                        (F.col("_rows") + F.col("_number")).alias("_at")))
-    numbered = written(numbered, "numbered")
-    firsts = numbered.groupBy("shard").agg(F.min("_at").alias("_first"))      # one row per shard
+    numbered = written(placed.select(*named(*rows.columns), shard.cast("int").alias("shard"),
+                                     (F.col(above) + F.col(at)).alias(at)), "numbered")
+    firsts = numbered.groupBy("shard").agg(F.min(at).alias(first))            # one row per shard
     return numbered.join(F.broadcast(firsts), "shard").select(
-        *rows.columns, "shard", (F.col("_at") - F.col("_first")).cast("long").alias("slot"))
+        *named(*rows.columns), "shard", (F.col(at) - F.col(first)).cast("long").alias("slot"))

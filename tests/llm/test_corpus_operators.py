@@ -158,6 +158,29 @@ def test_sharding_divides_one_key(spark):
     assert len(sizes) == 40 and sizes.max() - sizes.min() <= 2 * 66
 
 
+def test_sharding_places_every_record_as_plain(spark):
+    """Different keys: record by record, and other columns whatever their names."""
+    pick = random.Random(2)
+    texts = [(k, "x" * pick.randint(0, 90), k % 5, -k) for k in range(1, 3001)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, _range long, `_a.b` long")
+    sized = sharding.sized(docs).join(docs.select("doc_id", "_range", "`_a.b`"), "doc_id")
+    got = sharding.sharded(sized, 7, ranges=40).collect()
+    want = plain_shards([(k, len(t) + 16, zlib.crc32(t.encode())) for k, t, _, _ in texts], 7)
+    assert {(r.shard, r.slot): (r.doc_id, r.size, r.text_crc32) for r in got} == {
+        (s, i): record for s, records in want.items() for i, record in enumerate(records)}
+    assert all(r["_range"] == r.doc_id % 5 and r["_a.b"] == -r.doc_id for r in got)
+
+
+def test_sharding_with_very_many_overfull_keys(spark):
+    """Every key overfills its range: as many parts as there are keys, and more."""
+    texts = [(k % 1500, "y" * 9) for k in range(30_000)]
+    rows_ = sharding.sized(spark.createDataFrame(texts, "doc_id long, text string"))
+    got = sharding.sharded(rows_, 40, ranges=4000).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(got) == 30_000 and len(sizes) == 40 and sizes.max() - sizes.min() <= 2 * 25
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
+
+
 def plain_components(texts):
     """(id, text) to the least id reachable."""
     sets = {k: shingles(t) for k, t in texts}
