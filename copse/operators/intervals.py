@@ -12,6 +12,8 @@ from copse.functions import coordinates as C
 from copse.operators.ordered import SINGLE_TASK_ROWS, global_rank
 
 MAX_SPLITS = 4096
+#: Stretches of genome that one request reads, at most.
+STRETCHES = 8
 
 
 def breakpoints(edges: DataFrame) -> DataFrame:
@@ -135,6 +137,42 @@ def reach(trees: list[int] | range | DataFrame, loc: Locator) -> Reach:
     return Reach(first, last, *ends)
 
 
+def stretches(trees: list[int] | range | DataFrame, loc: Locator, most: int = STRETCHES) -> list[Reach]:
+    """At most ``most`` disjoint stretches that hold the requested trees, in order; none if no tree exists.
+
+    The widest gaps between neighbours of the request are left out (in
+    positions; in trees where the index is coarse), so trees at both ends of a genome are two short reads and not all of
+    it. A DataFrame is first reduced to the least and greatest tree of each of
+    ``MAX_SPLITS`` equal parts of the trees: what reaches the driver is bounded.
+    """
+    if isinstance(trees, DataFrame):
+        part = F.floor(F.col("tree_index") / F.lit(max(1, ceil(loc.n_trees / MAX_SPLITS))))
+        asked = trees.where(F.col("tree_index").between(0, loc.n_trees - 1)).groupBy(part).agg(
+            F.min("tree_index"), F.max("tree_index")).collect()
+        runs = sorted((row[1], row[2]) for row in asked)
+    else:
+        runs = [(t, t) for t in sorted({int(t) for t in trees if 0 <= t < loc.n_trees})]
+    apart = [k for k in range(1, len(runs)) if runs[k][0] > runs[k - 1][1] + 1]
+    if not runs:
+        return []
+    if len(apart) >= most:
+        start = _starts(loc, {t for k in apart for t in (runs[k - 1][1] + 1, runs[k][0])}) if loc.step == 1 else None
+        width = {k: (start[runs[k][0]] - start[runs[k - 1][1] + 1]) if start else runs[k][0] - runs[k - 1][1] for k in apart}
+        apart = sorted(sorted(apart, key=lambda k: (-width[k], k))[:most - 1])
+    bounds = [(runs[a][0], runs[b - 1][1] + 1) for a, b in zip([0, *apart], [*apart, len(runs)])]
+    start = _starts(loc, {t for pair in bounds for t in pair})
+    return [Reach(first, last, start[first], start[last]) for first, last in bounds]
+
+
+def _starts(loc: Locator, trees: set[int]) -> dict[int, float]:
+    """Where trees start, the one behind the last at the end; looked up in the table where the index is coarse."""
+    known = {loc.n_trees: loc.end}
+    if loc.step == 1:
+        return known | {t: loc.splits[t] for t in trees if t < loc.n_trees}
+    asked = loc.intervals.where(F.col("tree_index").isin([t for t in trees if t < loc.n_trees]))
+    return known | {row[0]: row[1] for row in asked.select("tree_index", "left").collect()}
+
+
 def with_bounds(df: DataFrame, loc: Locator) -> DataFrame:
     """Add ``interval_left`` / ``interval_right`` of ``tree_index``."""
     bounds = loc.intervals.select("tree_index", F.col("left").alias("interval_left"),
@@ -341,4 +379,3 @@ def local_bins(intervals: DataFrame, lo: int, hi: int, start: float, end: float,
         "slot", "group_size", F.when(visible, F.col("detail")).alias("detail"),
         visible.alias("visible"), F.when(visible, shift).alias("translate_x"),
         F.when(visible, tree_width).alias("scale_x"))
-

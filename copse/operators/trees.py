@@ -7,6 +7,9 @@ are exploded to one row per tree only where a result asks for it.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copse.operators.intervals import Locator, Reach, locate
@@ -19,25 +22,41 @@ REQUEST_CHUNK = 256
 #: Sums of times along the genome: exact, whatever their order.
 EXACT = "decimal(38,12)"
 LIST_CHUNK = 65_536
+#: What a plan reads: one stretch, several disjoint ones in order, or (None) all.
+Stretches = Reach | list[Reach] | None
+
 
+def any_of(tests: Iterable[Column]) -> Column:
+    """One of the tests holds; none of no tests does."""
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
-def edge_spans(edges: DataFrame, loc: Locator, within: Reach | None = None) -> DataFrame:
+
+def edge_spans(edges: DataFrame, loc: Locator, within: Stretches = None) -> DataFrame:
     """Edges as runs of trees ``(child, parent, first_tree, last_tree)``.
 
     Edge ends are breakpoints, so both lookups are projections of the scan.
-    With ``within`` only edges that reach into that stretch are read, and their
-    runs end at its borders.
+    With ``within`` (one stretch or several disjoint ones) only edges that reach
+    into a stretch are read, and there is a run for each, that ends at its borders.
     """
-    if within is not None:
-        edges = edges.where((F.col("left") < F.lit(within.right)) & (F.col("right") > F.lit(within.left)))
+    parts = _parts(within)
+    if parts is not None:
+        edges = edges.where(any_of((F.col("left") < F.lit(s.right)) & (F.col("right") > F.lit(s.left)) for s in parts))
     placed = locate(locate(edges, "left", loc, "first_tree"), "right", loc, "last_tree")
     spans = placed.select("child", "parent", "first_tree", "last_tree")
-    if within is None:
+    if parts is None:
         return spans
-    return spans.select("child", "parent",
-                        F.greatest("first_tree", F.lit(within.first).cast("long")).alias("first_tree"),
-                        F.least("last_tree", F.lit(within.last).cast("long")).alias("last_tree")).where(
-        F.col("first_tree") < F.col("last_tree"))
+    clipped = [F.struct(F.greatest("first_tree", F.lit(s.first).cast("long")).alias("first_tree"),
+                        F.least("last_tree", F.lit(s.last).cast("long")).alias("last_tree")) for s in parts]
+    if len(parts) > 1:
+        spans = spans.select("child", "parent", F.explode(F.array(*clipped)).alias("_run"))
+    else:
+        spans = spans.select("child", "parent", clipped[0].alias("_run") if clipped else F.struct("first_tree", "last_tree").alias("_run"))
+    return spans.select("child", "parent", "_run.*").where(F.col("first_tree") < F.col("last_tree"))
+
+
+def _parts(within: Stretches) -> list[Reach] | None:
+    """Stretches as a list; None for the whole genome."""
+    return [within] if isinstance(within, Reach) else within
 
 
 def with_times(spans: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -100,7 +119,7 @@ def tree_edges(spans: DataFrame, trees=None) -> DataFrame:
 
 
 def node_spans(spans: DataFrame, nodes: DataFrame, n_trees: int,
-               isolated: bool = True, within: Reach | None = None) -> DataFrame:
+               isolated: bool = True, within: Stretches = None) -> DataFrame:
     """State of every node as runs of trees: ``(node_id, first_tree, last_tree,
     n_parents, n_children, parent_id, time, flags)``.
 
@@ -108,13 +127,14 @@ def node_spans(spans: DataFrame, nodes: DataFrame, n_trees: int,
     nodes, and to the child's parent id, which therefore is the running total.
     Ends are combined before the shuffle, so a parent of a third of all edges
     arrives as one row per breakpoint. ``isolated`` keeps sample nodes also
-    where they touch no edge. ``within`` is the stretch that ``spans`` were
-    clipped to, if they were.
+    where they touch no edge. ``within`` is what ``spans`` were clipped to, if they
+    were; there are no runs in the gaps between its stretches.
 
     A node has one parent at a time; where edges give it two, the query fails.
     """
     zero = F.lit(0).cast("long")
-    border = (F.lit(within.first if within else 0), F.lit(within.last if within else n_trees))
+    parts = _parts(within)
+    border = sorted({0, n_trees} if parts is None else {b for s in parts for b in (s.first, s.last)})
     first, last = F.col("first_tree"), F.col("last_tree")
 
     def change(node, tree, up, down, parent):
@@ -130,7 +150,7 @@ def node_spans(spans: DataFrame, nodes: DataFrame, n_trees: int,
     if isolated:
         borders = nodes.where(F.col("flags").bitwiseAND(1) == 1).select(
             F.col("id").alias("node_id"),
-            F.explode(F.array(*[b.cast("long") for b in border])).alias("tree_index"),
+            F.explode(F.array(*[F.lit(b) for b in border]).cast("array<long>")).alias("tree_index"),
             zero.alias("up"), zero.alias("down"), zero.alias("above"), F.lit(True).alias("border"))
         ends = ends.unionByName(borders)
     deltas = ends.groupBy("node_id", "tree_index").agg(
@@ -149,6 +169,9 @@ def node_spans(spans: DataFrame, nodes: DataFrame, n_trees: int,
     member = (F.col("n_parents") + F.col("n_children")) > 0
     if not isolated:
         state = state.where(member)
+    elif parts is not None and len(parts) > 1:           # gaps end where a stretch begins
+        first = F.col("first_tree")
+        state = state.where(any_of((first >= s.first) & (first < s.last) for s in parts))
     state = state.join(nodes.select(F.col("id").alias("node_id"), "time", "flags"), "node_id")
     if isolated:
         state = state.where(member | (F.col("flags").bitwiseAND(1) == 1))
@@ -230,6 +253,14 @@ def tree_statistics(node_runs: DataFrame, loc: Locator) -> DataFrame:
                     "total_branch_length", "n_roots"))
 
 
+def check_trees(requested: list[int], n_trees: int | None, on_missing: str = "skip") -> None:
+    """Refuse indexes out of range, if asked to."""
+    if on_missing == "error" and n_trees is not None:
+        bad = [t for t in requested if not 0 <= t < n_trees]
+        if bad:
+            raise IndexError(f"trees out of range: {bad}")
+
+
 def pick_trees(tn: DataFrame, requested: list[int], n_trees: int | None = None,
                on_missing: str = "skip") -> DataFrame:
     """Rows of the requested trees in request order; repeats are kept.
@@ -237,29 +268,28 @@ def pick_trees(tn: DataFrame, requested: list[int], n_trees: int | None = None,
     ``request_pos`` is the place in the request. Out-of-range indexes are
     skipped, or refused with ``on_missing='error'`` and a known ``n_trees``.
     """
-    if on_missing == "error" and n_trees is not None:
-        bad = [t for t in requested if not 0 <= t < n_trees]
-        if bad:
-            raise IndexError(f"trees out of range: {bad}")
+    check_trees(requested, n_trees, on_missing)
     spark = tn.sparkSession
     request = spark.createDataFrame([(i, int(t)) for i, t in enumerate(requested)],
                                     "request_pos int, tree_index long")
     return request.join(tn, "tree_index")
 
 
-def run_counts(node_runs: DataFrame, loc: Locator, within: Reach | None = None) -> DataFrame:
+def run_counts(node_runs: DataFrame, loc: Locator, within: Stretches = None) -> DataFrame:
     """``(tree_index, n_nodes, n_roots)`` from node runs, without exploding them."""
-    first, last = (within.first, within.last) if within else (0, loc.n_trees)
+    parts = _parts(within)
+    index = F.col("tree_index")
+    here = F.lit(True) if parts is None else any_of((index >= s.first) & (index < s.last) for s in parts)
     root = (F.col("n_parents") == 0).cast("long")
     ends = fold_changes(node_runs, [], "first_tree", "last_tree",
                         {"nodes": F.lit(1).cast("long"), "roots": root})
     zero = F.lit(0).cast("long")
-    every = loc.intervals.where((F.col("tree_index") >= first) & (F.col("tree_index") < last)).select(
+    every = loc.intervals.where(here).select(
         "tree_index", zero.alias("nodes"), zero.alias("roots"))
     dense = ends.unionByName(every).groupBy("tree_index").agg(
         F.sum("nodes").alias("nodes"), F.sum("roots").alias("roots"))
     totals = segments(dense, [], "tree_index", ["nodes", "roots"], loc.n_trees + 1)
-    return totals.where(F.col("tree_index") < last).select(
+    return totals.where(here & (index < loc.n_trees)).select(
         "tree_index", F.col("cum_nodes").alias("n_nodes"), F.col("cum_roots").alias("n_roots"))
 
 

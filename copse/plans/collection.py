@@ -38,19 +38,23 @@ class Collection(NamedTuple):
         """The stretch of genome that a request for ``trees`` touches; None for all of it."""
         return None if trees is None else I.reach(trees, self.loc)
 
-    def runs(self, isolated: bool = True, within: I.Reach | None = None) -> DataFrame:
+    def stretches(self, trees) -> list[I.Reach] | None:
+        """The few stretches of genome that hold ``trees``; None for all of it."""
+        return None if trees is None else I.stretches(trees, self.loc)
+
+    def runs(self, isolated: bool = True, within: T.Stretches = None) -> DataFrame:
         """Node runs; with ``isolated`` samples count as members of every tree.
 
-        ``within`` keeps all of it, from the scan of edges on, to one stretch.
+        ``within`` keeps all of it, from the scan of edges on, to some stretches.
         """
         spans = T.edge_spans(self.edges, self.loc, within)
         return T.node_spans(spans, self.nodes, self.loc.n_trees, isolated, within)
 
     def tree_edges(self, trees=None) -> DataFrame:
-        return T.tree_edges(T.edge_spans(self.edges, self.loc, self.reach(trees)), trees)
+        return T.tree_edges(T.edge_spans(self.edges, self.loc, self.stretches(trees)), trees)
 
     def tree_nodes(self, trees=None, isolated: bool = True) -> DataFrame:
-        return T.tree_nodes(self.runs(isolated, self.reach(trees)), trees)
+        return T.tree_nodes(self.runs(isolated, self.stretches(trees)), trees)
 
     def written_nodes(self, trees=None, isolated: bool = True) -> DataFrame:
         """Tree nodes written once, for plans that read them several times."""

@@ -31,27 +31,36 @@ def placed_nodes(c: Collection, trees=None, scale: str | None = None,
                  isolated: bool = True) -> DataFrame:
     """Tree nodes with coordinates, written once.
 
-    The compact node runs, of the requested stretch only, are written first:
+    The compact node runs, of the requested stretches only, are written first:
     tree sizes come from them, and the exploded trees pass through once, into
     the layout.
     """
-    within = c.reach(trees)
+    within = c.stretches(trees)
     runs = written(c.runs(isolated, within), "node-runs")
     giants = LAY.giant_trees(T.run_counts(runs, c.loc, within))
     return written(LAY.layout(T.tree_nodes(runs, trees), c.time_range(), scale, giants=giants),
                    "layout")
 
 
-def located_mutations(c: Collection, bounds: bool = False, within: I.Reach | None = None) -> DataFrame:
+def located_mutations(c: Collection, bounds: bool = False, within: list[I.Reach] | None = None) -> DataFrame:
     """Mutations with site, inherited state and tree.
 
     Sites outside ``within`` are dropped at their scan, before any join.
     """
-    sites = c.sites if within is None else MUT.in_window(c.sites, within.left, within.right)
+    at = F.col("position")
+    sites = c.sites if within is None else c.sites.where(
+        T.any_of((at >= F.lit(s.left)) & (at < F.lit(s.right)) for s in within))
     rows = MUT.with_inherited_state(MUT.with_sites(c.mutations, sites), c.mutations)
     return MUT.with_tree(rows, c.loc, bounds)
 
 
+def requested_trees(c: Collection, requested: list[int], isolated: bool = True,
+                    on_missing: str = "skip") -> DataFrame:
+    """Node rows of the requested trees in request order, repeats included, from the stretches that hold them."""
+    T.check_trees(requested, c.loc.n_trees, on_missing)
+    return T.pick_trees(c.tree_nodes(sorted(set(requested)), isolated), requested)
+
+
 def layout_request(c: Collection, trees=None, scale: str | None = None, thin: bool = True,
                    multiplier=None, box: THN.Box | None = None, cell: float | None = None,
                    outside_cell: float | None = None) -> Layout:
@@ -62,7 +71,7 @@ def layout_request(c: Collection, trees=None, scale: str | None = None, thin: bo
     whose outside keeps ``outside_cell``.
     """
     placed = placed_nodes(c, trees, scale, isolated=False)
-    muts = located_mutations(c, within=c.reach(trees)).withColumnRenamed("id", "mutation_id")
+    muts = located_mutations(c, within=c.stretches(trees)).withColumnRenamed("id", "mutation_id")
     if isinstance(trees, (list, tuple, range)):
         muts = muts.where(F.col("tree_index").isin([int(t) for t in trees]))
     elif trees is not None:

@@ -72,6 +72,17 @@ def _(c):
                          C.sentinels(F.col("parent_id")).alias("parent_id"))
 
 
+@query("src06_requested_trees", O.trees("""
+    , req AS (SELECT 0 AS request_pos, max(tree_index) AS tree_index FROM iv UNION ALL SELECT 1, 0 UNION ALL SELECT 2, 0
+              UNION ALL SELECT 4, max(tree_index) // 2 FROM iv)
+    SELECT request_pos, tree_index, node_id, coalesce(parent_id, -1) AS parent_id FROM req JOIN tna USING (tree_index)
+    """))
+def _(c):
+    n = c.loc.n_trees
+    return R.requested_trees(c, [n - 1, 0, 0, n + 5, (n - 1) // 2]).select(
+        "request_pos", "tree_index", "node_id", C.sentinels(F.col("parent_id")).alias("parent_id"))
+
+
 @query("sum01_summary", O.trees("""
     SELECT 4000.0::DOUBLE AS sequence_length, min(time) AS min_time, max(time) AS max_time,
       count(*) FILTER (flags = 1) AS n_samples, count(*) AS n_nodes,
@@ -1720,6 +1731,15 @@ def _(c):
     return c.tree_nodes(asked, isolated=False).select("tree_index", "node_id", C.sentinels(F.col("parent_id")).alias("parent_id"))
 
 
+@lines_query("many_tre15_both_ends", """
+    SELECT tree_index, node_id, coalesce(parent_id, -1) AS parent_id FROM tn JOIN iv USING (tree_index)
+    WHERE lft < (SELECT min(lft) + (max(rgt) - min(lft)) / 10 FROM iv) OR rgt > (SELECT max(rgt) - (max(rgt) - min(lft)) / 10 FROM iv)""")
+def _(c):
+    tenth = (c.loc.end - c.loc.begin) / 10                                     # two stretches, a tenth of the genome each
+    asked = c.intervals.where((F.col("left") < c.loc.begin + tenth) | (F.col("right") > c.loc.end - tenth)).select("tree_index")
+    return c.tree_nodes(asked, isolated=False).select("tree_index", "node_id", C.sentinels(F.col("parent_id")).alias("parent_id"))
+
+
 @lines_query("many_tre24_statistics", """
     SELECT tree_index, 100.0 AS root_time, sum(z.time - a.time)::DOUBLE AS total_branch_length, 1::BIGINT AS n_roots
     FROM ed JOIN tm a ON a.id = child JOIN tm z ON z.id = parent GROUP BY tree_index""")
