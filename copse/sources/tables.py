@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, StructField
 
 from copse.operators.trees import with_times
 from copse.schemas import TABLES
 
 REQUIRED = ("nodes", "edges", "sites", "mutations", "individuals", "populations")
+FORMATS = ("parquet", "csv")
+CSV = {"header": True, "escape": '"'}
 
 
 #: Columns that a table may lack; they load as NULL.
@@ -36,30 +41,50 @@ def _nulls(df: DataFrame) -> DataFrame:
     return out
 
 
+def _parsed(field: StructField) -> Column:
+    """A CSV text as the type of its column: lists are JSON arrays, an empty field is NULL, anything else is refused."""
+    text = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, ArrayType):
+        return F.from_json(text, field.dataType, {"mode": "FAILFAST"})
+    value = text.try_cast(field.dataType)
+    problem = F.concat(F.lit(f"{field.name} is not {field.dataType.simpleString()}: "), text)
+    return F.when(text.isNotNull() & value.isNull(), F.raise_error(problem).cast(field.dataType)).otherwise(value)
+
+
 def load_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """One table by name; columns are matched to the fixed schema."""
-    schema = TABLES[name]
-    if fmt == "parquet":
-        raw = spark.read.parquet(f"{folder}/{name}.parquet")
-        have = set(raw.columns)
-        _check_columns(name, have)
-        return _nulls(raw.select(*[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema]))
-    if fmt == "csv":
-        flat = [f for f in schema if f.dataType.typeName() != "array"]
-        from pyspark.sql.types import StructType
-        raw = spark.read.options(header=True, enforceSchema=False, escape='"').schema(
-            StructType(flat)).csv(f"{folder}/{name}.csv")
-        return _nulls(raw.select(*[
-            (F.col(f.name) if f in flat else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema]))
-    raise ValueError(f"unsupported format {fmt!r}; expected parquet or csv")
-
-
-def load_tables(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """All tables of a folder."""
-    return {name: load_table(spark, folder, name, fmt) for name in REQUIRED}
+    """One table by name; columns are matched to the fixed schema.
+
+    Columns of a CSV file are matched by its header, in any order. Optional
+    columns that are not there load as NULL.
+    """
+    if fmt not in FORMATS:
+        raise ValueError(f"unsupported format {fmt!r}; expected parquet or csv")
+    path = f"{folder}/{name}.{fmt}"
+    raw = spark.read.options(**CSV).csv(path) if fmt == "csv" else spark.read.parquet(path)
+    have = set(raw.columns)
+    _check_columns(name, have)
+    cell = _parsed if fmt == "csv" else (lambda field: F.col(field.name).cast(field.dataType))
+    return _nulls(raw.select(*[(cell(f) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+                               for f in TABLES[name]]))
+
+
+def load_tables(spark: SparkSession, folder: str, fmt: str = "parquet",
+                names: Iterable[str] = REQUIRED) -> dict[str, DataFrame]:
+    """All tables of a folder; ``names`` may add ``provenances``."""
+    return {name: load_table(spark, folder, name, fmt) for name in names}
+
+
+def save_tables(found: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
+    """Write tables as :func:`load_tables` reads them; lists become JSON arrays in CSV."""
+    if fmt not in FORMATS:
+        raise ValueError(f"unsupported format {fmt!r}; expected parquet or csv")
+    for name, table in found.items():
+        rows = table.select(*[f.name for f in TABLES[name] if f.name in table.columns])
+        if fmt == "parquet":
+            rows.write.parquet(f"{folder}/{name}.parquet")
+            continue
+        lists = [f.name for f in rows.schema if isinstance(f.dataType, ArrayType)]
+        rows.withColumns({c: F.to_json(c) for c in lists}).write.options(**CSV).csv(f"{folder}/{name}.csv")
 
 
 def integrity_report(nodes: DataFrame, edges: DataFrame, sites: DataFrame, mutations: DataFrame,

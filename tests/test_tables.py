@@ -29,6 +29,35 @@ def test_tables_round_trip(spark, two_trees, tmp_path):
     assert {r.check: r.n_bad for r in broken.collect()}["edge parent in nodes"] == 2
 
 
+def test_csv_lists_order_and_refusals(spark, tmp_path):
+    (tmp_path / "individuals.csv").write_text(
+        'metadata_json,id,location,parents\n"{""a"":""x,y""}",1,"[0.1,-2.5]","[3,4]"\n,2,,[]\n')
+    rows = tables.load_table(spark, str(tmp_path), "individuals", "csv").orderBy("id").collect()
+    assert (rows[0].location, rows[0].parents, rows[0].metadata_json, rows[0].flags) == (
+        [0.1, -2.5], [3, 4], '{"a":"x,y"}', None)
+    assert (rows[1].location, rows[1].parents, rows[1].metadata_json) == (None, [], None)
+    for bad in ("id,location\n1,nowhere\n", "id,location\none,\n"):
+        (tmp_path / "individuals.csv").write_text(bad)
+        with pytest.raises(Exception, match="(?i)malformed|id is not bigint"):
+            tables.load_table(spark, str(tmp_path), "individuals", "csv").collect()
+    (tmp_path / "edges.csv").write_text("id,left,right,parent\n1,0,1,2\n")
+    with pytest.raises(ValueError, match="child"):
+        tables.load_table(spark, str(tmp_path), "edges", "csv")
+
+
+def test_saved_tables_come_back(spark, two_trees, tmp_path):
+    log = spark.createDataFrame([(1, "now", '{"software":"a, b"}')], "id long, timestamp string, record string")
+    kept = {name: getattr(two_trees, name) for name in tables.REQUIRED} | {"provenances": log}
+    for fmt in tables.FORMATS:
+        tables.save_tables(kept, str(tmp_path), fmt)
+        loaded = tables.load_tables(spark, str(tmp_path), fmt, [*tables.REQUIRED, "provenances"])
+        for name, table in kept.items():
+            held = [c for c in loaded[name].columns if c in table.columns]
+            assert sorted(map(str, loaded[name].select(held).collect())) == sorted(map(str, table.select(held).collect()))
+    with pytest.raises(ValueError):
+        tables.save_tables(kept, str(tmp_path), "xml")
+
+
 def test_csv_tables_and_sentinels(spark, tmp_path):
     (tmp_path / "nodes.csv").write_text(
         'id,flags,time,population,individual,metadata_json\n0,1,0.5,-1,3,"{""a"":1}"\n1,0,NaN,0,-1,\n')

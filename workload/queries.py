@@ -1542,6 +1542,45 @@ def _(c):
     return _edge_rows(tables.load_table(c.spark, folder, "edges"))
 
 
+ALL_TABLES = O.trees("""
+    SELECT 'nodes' AS source, id, time AS a, flags::DOUBLE AS b, coalesce(population, -1) AS c, coalesce(individual, -1) AS d,
+      metadata_json AS content FROM nodes
+    UNION ALL SELECT 'edges', id, lft, rgt, parent, child, '' FROM edges
+    UNION ALL SELECT 'sites', id, position, 0, 0, 0, ancestral_state FROM sites
+    UNION ALL SELECT 'mutations', id, coalesce(time, -1), site_id::DOUBLE, node_id, coalesce(parent_id, -1), derived_state FROM mutations
+    UNION ALL SELECT 'individuals', id, coalesce(location[1], -1), coalesce(location[2], -1), flags, coalesce(len(location), -1),
+      metadata_json FROM individuals
+    UNION ALL SELECT 'populations', id, 0, 0, 0, 0, metadata_json FROM populations""", O.MUTS, O.META)
+
+
+def _all_tables(c: Collection, fmt: str) -> DataFrame:
+    """Every row of all six tables after writing and loading them."""
+    folder = f"{checkpoint_dir(c.spark)}/tables-{uuid4().hex}"
+    tables.save_tables({name: getattr(c, name) for name in tables.REQUIRED}, folder, fmt)
+    t = tables.load_tables(c.spark, folder, fmt)
+
+    def rows(name, a="0D", b="0D", c="0L", d="0L", content="''"):
+        return t[name].selectExpr(f"'{name}' AS source", "id", f"CAST({a} AS double) AS a", f"CAST({b} AS double) AS b",
+                                  f"{c} AS c", f"{d} AS d", f"{content} AS content")
+    return (rows("nodes", "time", "flags", "coalesce(population, -1L)", "coalesce(individual, -1L)", "metadata_json")
+            .unionByName(rows("edges", "left", "right", "parent", "child"))
+            .unionByName(rows("sites", "position", content="ancestral_state"))
+            .unionByName(rows("mutations", "coalesce(time, -1D)", "site_id", "node_id", "coalesce(parent_id, -1L)", "derived_state"))
+            .unionByName(rows("individuals", "coalesce(get(location, 0), -1D)", "coalesce(get(location, 1), -1D)", "flags",
+                              "coalesce(CAST(array_size(location) AS long), -1L)", "metadata_json"))
+            .unionByName(rows("populations", content="metadata_json")))
+
+
+@query("src01_loaded_tables", ALL_TABLES)
+def _(c):
+    return _all_tables(c, "parquet")
+
+
+@query("src01_loaded_csv_tables", ALL_TABLES)
+def _(c):
+    return _all_tables(c, "csv")
+
+
 @query("src07_landed_edges", EDGE_ROWS)
 def _(c):
     folder = f"{checkpoint_dir(c.spark)}/landing-{uuid4().hex}"
