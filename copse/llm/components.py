@@ -7,19 +7,21 @@ from pyspark.sql import DataFrame, functions as F
 from copse.session import removed, written
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b); a component is named by its least node.
 
     Every round hangs the neighbours of a node below the least of them, first
     the larger ones, then the others. Neighbour minima are combined before the
     shuffle and joined back, so a node of very many edges is no single group.
-    Rounds are written; their number grows with the logarithm of the longest path.
+    Rounds are written, and end only when a round changes nothing; their number
+    grows with the logarithm of the longest path. Null ends, loops and repeated
+    edges link nothing; no edges give no rows.
     """
     # (u, v) with u > v: v is nearer to the root.
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                   .where("u > v").distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

@@ -257,6 +257,9 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(301)}, **{k: 1000 for k in range(1000, 1051)}}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    odd = [(3, 3), (None, 4), (5, None), (8, 7), (8, 7), (7, 8), (9, 8)]      # loops, nulls, repeats: 7, 8 and 9 only
+    got = components.components(spark.createDataFrame(odd, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(7, 7), (8, 7), (9, 7)]
 
 
 def test_neighbours(spark):
