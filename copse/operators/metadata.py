@@ -21,8 +21,9 @@ def samples_with_metadata(nodes: DataFrame, individuals: DataFrame,
         J.decode(F.col("metadata_json")).alias("node_meta"))
     of = lambda df, key, name: df.select(
         F.col("id").alias(key), J.decode(F.col("metadata_json")).alias(name))
+    # Parquet files are many times smaller than their rows; without the hint all individuals are sent to the driver.
     return (samples
-            .join(of(individuals, "individual", "individual_meta"), "individual", "left")
+            .join(of(individuals, "individual", "individual_meta").hint("merge"), "individual", "left")
             .join(of(populations, "population", "population_meta"), "population", "left")
             .select("node_id", sample_name().alias("name"), "individual_meta", "node_meta",
                     "population_meta"))
@@ -159,7 +160,7 @@ def name_lookup(index: DataFrame) -> DataFrame:
 def find_names(index: DataFrame, names: DataFrame) -> DataFrame:
     """Requested names (column ``name`` and extras) with their node."""
     asked = names.withColumn("normalized_name", F.lower("name"))
-    return asked.join(name_lookup(index), "normalized_name").drop("normalized_name")
+    return asked.join(name_lookup(index).hint("merge"), "normalized_name").drop("normalized_name")
 
 
 def positions_of(hits: DataFrame, placed: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ def name_lineages(c: Collection, names: DataFrame, trees=None) -> DataFrame:
     """Root-to-sample path rows of the named samples."""
     tn = c.written_nodes(trees, isolated=False)
     found = MET.find_names(MET.name_index(samples(c)), names)
-    seeds = found.join(tn.select("tree_index", "node_id"), "node_id")
+    seeds = found.join(tn.select("tree_index", "node_id").hint("merge"), "node_id")   # its files look small enough to broadcast
     return LIN.lineage_steps(tn, seeds)
 
 

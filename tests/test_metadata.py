@@ -97,3 +97,19 @@ def test_records(small):
     d = DET.one(DET.node_details(nodes, individuals, populations), 0).first()
     assert d.individual_meta["group"] == "A" and d.population_meta["region"] == "north"
     assert DET.one(DET.node_details(nodes, individuals, populations), 2).first().population is None
+
+
+def test_names_and_individuals_are_not_broadcast(spark):
+    """Small by the size of their files, and as many as the samples."""
+    ids = spark.range(20)
+    meta = F.lit('{"name":"a"}').alias("metadata_json")
+    nodes = ids.select("id", F.lit(1).cast("long").alias("flags"), F.col("id").alias("individual"),
+                       F.lit(0).cast("long").alias("population"), meta)
+    individuals, populations = ids.select("id", meta), spark.range(0).select("id", meta)
+    samples = MET.samples_with_metadata(nodes, individuals, populations.limit(0))
+    names = MET.find_names(samples.select(F.col("name").alias("display_name"), F.lower("name").alias("normalized_name"), "node_id"),
+                           ids.select(F.lit("A").alias("name")))
+    plan = names._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in joins if "individual" in line or "normalized_name" in line]
+    assert {r.node_id for r in names.collect()} == {19}
