@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from copse.functions import coordinates as C
 from copse.operators.intervals import Locator, check_range, trees_at, with_bounds
 from copse.operators.ordered import global_rank
+from copse.operators.skew import few
+from copse.session import written
 
 LIST_CHUNK = 65_536
 
@@ -102,19 +104,23 @@ def on_node(mutations: DataFrame, node_id: int, bounds: DataFrame | None = None)
 
 
 def place(mutations: DataFrame, placed: DataFrame, time_range: DataFrame,
-          scale: str | None = None) -> DataFrame:
+          scale: str | None = None, only: DataFrame | None = None) -> DataFrame:
     """Mutations at the x of their node and the y of their time.
 
     ``mutations`` carry ``tree_index``; ``placed`` is a layout. With an unknown
-    time, y is the mean of the node's y and its parent's (0 at a root).
+    time, y is the mean of the node's y and its parent's (0 at a root). ``only``
+    leaves the mutations of these nodes ``(tree_index, node_id)``.
     """
     t_min, t_max = C.bounds(time_range)
     times = placed.where(F.col("n_children") > 0).select(
         "tree_index", F.col("node_id").alias("_parent"), F.col("time").alias("_ptime"))
     nodes = placed.select("tree_index", "node_id", "x", F.col("time").alias("_ntime"),
                           F.col("parent_id").alias("_parent"))
+    if only is not None:
+        key = ["tree_index", "node_id"]
+        nodes = few(written(nodes.join(few(only.select(*key)), key, "left_semi"), "shown-nodes"))
     at = mutations.join(nodes, ["tree_index", "node_id"]).join(
-        times, ["tree_index", "_parent"], "left")
+        few(times), ["tree_index", "_parent"], "left")
     node_y = C.time_to_y(F.col("_ntime"), t_min, t_max, scale)
     parent_y = F.coalesce(C.time_to_y(F.col("_ptime"), t_min, t_max, scale),
                           F.lit(0.0).cast("float"))

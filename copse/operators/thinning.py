@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from copse.functions import coordinates as C
 from copse.operators.layout import with_parent
 from copse.operators.lineage import KEY, ancestor_closure
+from copse.operators.skew import few
 from copse.operators.trees import is_unary
 from copse.session import cut
 
@@ -64,7 +65,7 @@ def edge_cells(placed: DataFrame, cell: float | None = None, multiplier=None,
 
     Direction counts only in trees whose tips all sit at x = 1, else it is -1.
     """
-    cells = grid(placed, cell, multiplier, box, outside_cell)
+    cells = few(cut(grid(placed, cell, multiplier, box, outside_cell)))
     edges = with_parent(placed, how="inner").join(cells, "tree_index")
     mx, my = C.midpoint(F.col("x"), F.col("parent_x")), C.midpoint(F.col("y"), F.col("parent_y"))
     inside = box.contains(F.col("tree_index"), mx, my) if box else F.lit(False)
@@ -87,7 +88,7 @@ def cell_winners(cells: DataFrame, keep_inside: bool = False) -> DataFrame:
 def unary_and_child(placed: DataFrame) -> DataFrame:
     """Unary nodes and their only children; both survive the collapse."""
     unary = placed.where(is_unary()).select(*KEY)
-    child = placed.join(unary.select("tree_index", F.col("node_id").alias("parent_id")),
+    child = placed.join(few(unary.select("tree_index", F.col("node_id").alias("parent_id"))),
                         ["tree_index", "parent_id"], "left_semi").select(*KEY)
     return unary.unionByName(child).distinct()
 
@@ -103,11 +104,11 @@ def kept_nodes(placed: DataFrame, keep_tips: bool = False, **grid) -> DataFrame:
     always = F.col("parent_id").isNull()
     if keep_tips:
         always = always | F.col("is_tip")
-    forced = unary_and_child(placed).withColumn("preserve", F.lit(True))
+    forced = cut(unary_and_child(placed).withColumn("preserve", F.lit(True)))
     seeds = placed.where(always).select(*KEY).unionByName(winners).unionByName(
         forced.select(*KEY))
-    kept = ancestor_closure(placed, seeds)
-    return placed.join(kept, KEY, "left_semi").join(forced, KEY, "left").withColumn(
+    kept = cut(ancestor_closure(placed, seeds))
+    return placed.join(few(kept), KEY, "left_semi").join(few(forced), KEY, "left").withColumn(
         "preserve", F.coalesce("preserve", F.lit(False)))
 
 
@@ -160,7 +161,8 @@ def thin_mutations(mutations: DataFrame, resolution: int | DataFrame, inside_res
     x, y = F.col("x"), F.col("y")
     inside = box.contains(F.col("tree_index"), x, y) if box else F.lit(False)
     if isinstance(resolution, DataFrame):
-        keyed = mutations.join(resolution.select("tree_index", "_res_out", "_res_in"), "tree_index")
+        cells = few(cut(resolution.select("tree_index", "_res_out", "_res_in")))
+        keyed = mutations.join(cells, "tree_index")
     else:
         keyed = mutations.withColumns({"_res_out": F.lit(resolution),
                                        "_res_in": F.lit(inside_resolution or resolution)})

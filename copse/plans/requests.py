@@ -76,12 +76,11 @@ def layout_request(c: Collection, trees=None, scale: str | None = None, thin: bo
         muts = muts.where(F.col("tree_index").isin([int(t) for t in trees]))
     elif trees is not None:
         muts = muts.join(trees.select("tree_index"), "tree_index", "left_semi")
-    on_trees = MUT.place(muts, placed, c.time_range(), scale)
     if not thin:
-        return Layout(placed, on_trees)
+        return Layout(placed, MUT.place(muts, placed, c.time_range(), scale))
     grid = {"cell": cell, "multiplier": multiplier, "box": box, "outside_cell": outside_cell}
     nodes = written(THN.thin_nodes(placed, **grid), "thin-nodes")
-    shown = written(THN.on_kept_nodes(on_trees, nodes), "shown-mutations")
+    shown = written(MUT.place(muts, placed, c.time_range(), scale, only=nodes), "shown-mutations")
     kept = THN.thin_mutations(shown, THN.grid(placed, **grid), box=box,
                               keep_inside=THN.keeps_all_inside(box, multiplier))
     return Layout(nodes, kept)
