@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -45,6 +46,47 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What this worker keeps under ``key`` from task to task, until it runs another kernel."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def begun(kernel: Callable[[], Kernel]) -> Kernel:
+    """A kernel for a task; what other kernels have kept in this worker goes."""
+    who = f"{kernel.__module__}.{kernel.__qualname__}"
+    if kept("kernel", lambda: who) != who:
+        _KEPT.clear()
+        kept("kernel", lambda: who)
+    return kernel()
+
+
+def hand_back() -> None:
+    """Memory that this worker holds but does not use goes back to the system, where its library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, and :func:`hand_back` after it.
+
+    Workers go from task to task: without it what one step took at most would
+    stay with each of them under the steps that follow.
+    """
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+    return whole
+
+
 def annotate(df: DataFrame, text: str, kernel: Callable[[], Kernel], fields: str,
              keep: list[str], into: str | None = None) -> DataFrame:
     """Columns ``keep`` of each row with the kernel's columns for its text.
@@ -68,7 +110,7 @@ def annotate(df: DataFrame, text: str, kernel: Callable[[], Kernel], fields: str
     arrow = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = kernel()
+        apply = begun(kernel)
         for whole in batches:
             for batch in bounded(whole, f"_{at}"):
                 out = apply(texts_of(batch, f"_{at}"))
@@ -78,7 +120,7 @@ def annotate(df: DataFrame, text: str, kernel: Callable[[], Kernel], fields: str
                     columns = [pa.StructArray.from_arrays(columns, fields=list(arrow))]
                 yield pa.RecordBatch.from_arrays(kept + columns, names=keep + names)
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(tidy(run), schema)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from copse.llm.batches import Index, Kernel, annotate, bounded, free_name, named, texts_of
+from copse.llm.batches import Index, Kernel, annotate, bounded, free_name, named, texts_of, tidy
 from copse.llm.components import components
 from copse.session import ship, written
 
@@ -162,7 +162,7 @@ def _keyed(reps: DataFrame, chunks: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(batch.column("rep").to_numpy(), keys.shape[1])), pa.array(keys.ravel())],
                     names=["rep", "key"])
-    return reps.select("rep", "sig").mapInArrow(run, "rep long, key long")
+    return reps.select("rep", "sig").mapInArrow(tidy(run), "rep long, key long")
 
 
 def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -251,7 +251,7 @@ def _bucket_edges(members: DataFrame, chunks: Plan) -> DataFrame:
             yield pd.DataFrame({"a": a, "b": b})
     spread = _block_pairs(members, "key", "rep")
     dealt = spread.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "rep")
-    return dealt.mapInPandas(run, "a long, b long").where("a <> b")
+    return dealt.mapInPandas(tidy(run), "a long, b long").where("a <> b")
 
 
 def _sets(docs: DataFrame, text: str, key: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def _sets(docs: DataFrame, text: str, key: str, words: int, wanted: DataFrame) -
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())],
                                                  names=["rep", "shingles"])
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), text)
-    return rows.withColumn("slot", slot).mapInArrow(run, "rep long, shingles binary").join(wanted, "rep")
+    return rows.withColumn("slot", slot).mapInArrow(tidy(run), "rep long, shingles binary").join(wanted, "rep")
 
 
 def confirmed(sets: list[np.ndarray], x: int, ys: np.ndarray, similarity=SIMILARITY) -> np.ndarray:
@@ -322,7 +322,7 @@ def _cluster_edges(members: DataFrame, chunks: Plan, similarity, positions: int
                 yield pd.DataFrame({"a": a, "b": b})
     spread = _block_pairs(members, "cluster", "rep")
     dealt = spread.repartition("cluster", "_i", "_j").sortWithinPartitions("cluster", "_i", "_j", "rep")
-    return dealt.mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS,

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from copse.llm.batches import Kernel, annotate
+from copse.llm.batches import Kernel, annotate, tidy
 from copse.llm.tokens import encoder, tokenizer_path
 from copse.session import ship, written
 
@@ -121,7 +121,7 @@ def _round(items: DataFrame, number: int, capacity: int, slack: int, last: bool,
                 held, size = [], 0
         if size:
             yield _packed(pd.concat(held), capacity, slack, last, base)
-    return items.mapInPandas(run, _ITEM + ", sequence_id long")
+    return items.mapInPandas(tidy(run), _ITEM + ", sequence_id long")
 
 
 def packed(rows: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, slack: int = SLACK,
@@ -159,7 +159,7 @@ def packed(rows: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, slack
     for more in done[1:]:
         placed = placed.unionByName(more)
     spread = placed.select("sequence_id", "rows", "lengths").mapInPandas(
-        _offsets, "_row long, sequence_id long, offset long")
+        tidy(_offsets), "_row long, sequence_id long, offset long")
     return rows.join(spread.unionByName(whole), "_row").drop("_row")
 
 

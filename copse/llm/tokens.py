@@ -9,7 +9,7 @@ from itertools import chain
 
 import numpy as np
 
-from copse.llm.batches import Flat, Index
+from copse.llm.batches import Flat, Index, kept
 
 #: Fixed value: the vocabulary file of the queries; a parameter everywhere else.
 VOCABULARY = "word_bpe_49k.json"
@@ -121,11 +121,6 @@ class Encoder:
         return np.insert(ids, np.cumsum(lengths), end), lengths + 1
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, by_word: bool = True) -> Encoder:
     """The encoder of this worker, kept from task to task."""
-    if (path, by_word) not in _ENCODERS:
-        _ENCODERS[path, by_word] = Encoder(path, by_word)
-    return _ENCODERS[path, by_word]
+    return kept(("encoder", path, by_word), lambda: Encoder(path, by_word))

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from copse.llm.batches import Kernel, annotate
+from copse.llm.batches import Kernel, annotate, tidy
 from copse.session import ship, written
 
 #: Letters of other alphabets that look like Latin ones.
@@ -157,7 +157,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             held = [(w, c, t, m - (m >> 63 << 64)) for w, (c, t, m) in counts.items() if len(w) > 2]
             if held:
                 yield pd.DataFrame(held, columns=["word", "n_clean", "n_toxic", "near"])
-    return rows.mapInPandas(run, "word string, n_clean long, n_toxic long, near long").groupBy("word").agg(
+    return rows.mapInPandas(tidy(run), "word string, n_clean long, n_toxic long, near long").groupBy("word").agg(
         F.sum("n_clean").alias("n_clean"), F.sum("n_toxic").alias("n_toxic"),
         F.bit_count(F.bit_or("near")).alias("n_near"))
 
