@@ -72,3 +72,9 @@ def test_seeds_by_a_condition_are_those_of_the_table(spark, placed, no_guess, mo
     want = rows(paths.select(*[c for c in paths.columns if c != "path_node_ids"], text))
     monkeypatch.setattr(skew, "FEW_ROWS", 0)
     assert rows(LIN.lineage_paths(placed, table).select("tree_index", "seed", text)) == want
+
+
+def test_runs_of_few_nodes_are_not_brought_together_by_node(two_trees, no_guess):
+    for isolated in (True, False):
+        plan = joins(two_trees.runs(isolated))
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
