@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from copse.functions import text as X
 from copse.operators.layout import layout_x
 from copse.operators.ordered import global_rank
+from copse.operators.skew import few
 from copse.schemas import NEWICK_NODES
 from copse.session import cut
 
@@ -349,7 +350,8 @@ def with_sample_ids(parsed: DataFrame, order: DataFrame, base: int | None = None
     missing = F.raise_error(F.concat(F.lit("tip not among the samples: "),
                                      F.coalesce("name", F.lit("")))).cast("long")
     tip_id = F.when(F.col("sample_id").isNull(), missing).otherwise(F.col("sample_id"))
-    return parsed.join(names, "name", "left").select(
+    # Few names may label very many nodes, inner ones too: by name these would meet in a few tasks.
+    return parsed.join(few(names), "name", "left").select(
         "tree_index", "postorder", "parent_postorder", "sibling", "is_tip", "name",
         "branch_length", "root_distance",
         F.when(F.col("is_tip"), tip_id).otherwise(first + F.col("internal_rank")).alias("node_id"),

@@ -238,3 +238,16 @@ def test_quotes_and_broken_texts():
     for text in ("(a,b", "a,b)", "((a,b);"):
         with pytest.raises(ValueError):
             N.parse_newick(text)
+
+
+def test_few_names_are_sent_to_the_nodes(spark):
+    rows = spark.createDataFrame([(0, "((A:1,B:1)1:1,C:2);"), (1, "(A:1,C:1)1;")], "tree_index long, newick string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # as for a large table
+    try:
+        placed = N.with_sample_ids(N.newick_nodes(rows), N.sample_order(rows))
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {(r.tree_index, r.name, r.node_id) for r in placed.where("is_tip").collect()} == {
+        (0, "A", 0), (0, "B", 1), (0, "C", 2), (1, "A", 0), (1, "C", 2)}
