@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from copse.operators.blocks import cover, holding
 from copse.operators.ordered import fold_changes
+from copse.operators.skew import is_few
+from copse.session import written
+
+#: Changes times stretches that a task sums up.
+TASK_ROWS = 1_000_000
 
 
 def request_pairs(tn_or_edges: DataFrame, requested: list[int], n_trees: int) -> DataFrame:
@@ -28,12 +33,17 @@ def pair_differences(spans: DataFrame, pairs: DataFrame, n_trees: int) -> DataFr
 
     What an edge loses or gains between two trees is the sum of its starts and
     ends on the way from one to the other. Those meet the stretches of the pairs
-    in blocks of trees; edges that both trees hold are never looked at.
+    in blocks of trees; edges that both trees hold are never looked at. Stretches
+    of few pairs are sent to the changes, which are dealt by edge to as many tasks
+    as their sums take.
     """
-    changes = fold_changes(spans, ["parent", "child"], "first_tree", "last_tree", {"delta": F.lit(1)})
-    points = changes.select("parent", "child", "delta", F.inline(holding(F.col("tree_index"), F.lit(n_trees + 1))))
+    changes = written(fold_changes(spans, ["parent", "child"], "first_tree", "last_tree", {"delta": F.lit(1)}), "changes")
     low, high = F.least("prev_tree", "next_tree"), F.greatest("prev_tree", "next_tree")
     ways = pairs.select("pair", "prev_tree", "next_tree", F.inline(cover(low + 1, high + 1)))
+    end = F.lit(n_trees + 1)
+    if is_few(ways):
+        changes, ways = _dealt(changes, ways, end), F.broadcast(ways)
+    points = changes.select("parent", "child", "delta", F.inline(holding(F.col("tree_index"), end)))
     key = ["pair", "prev_tree", "next_tree", "parent", "child"]
     net = points.join(ways, ["level", "block"]).groupBy(*key).agg(F.sum("delta").alias("net")).where("net <> 0")
     gained = (F.col("net") > 0) == (F.col("next_tree") > F.col("prev_tree"))
@@ -41,6 +51,20 @@ def pair_differences(spans: DataFrame, pairs: DataFrame, n_trees: int) -> DataFr
                       "parent", "child")
 
 
+def _dealt(changes: DataFrame, ways: DataFrame, end: Column) -> DataFrame:
+    """``changes`` by edge, in parts that meet about ``TASK_ROWS`` stretches each.
+
+    Left as they are where a single edge may meet more than that.
+    """
+    each = changes.groupBy("tree_index").agg(F.count("*").alias("n"))
+    met = each.select("n", F.inline(holding(F.col("tree_index"), end))).join(
+        F.broadcast(ways), ["level", "block"]).agg(F.sum("n")).first()[0] or 0
+    busiest = changes.groupBy("parent", "child").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if busiest * ways.select("pair").distinct().count() > TASK_ROWS:
+        return changes
+    return changes.repartition(max(1, -(-met // TASK_ROWS)), "parent", "child")
+
+
 def edge_differences(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges of only one tree of a pair:
     ``(pair, prev_tree, next_tree, change, parent, child)``.

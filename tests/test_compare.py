@@ -60,3 +60,14 @@ def test_long_runs_become_few_blocks(spark):
 
     from copse.operators.blocks import cover
     assert ranges.select(F.inline(cover(F.col("first_tree"), F.col("last_tree")))).count() < 150
+
+
+def test_tasks_of_pair_differences_grow_in_number_not_in_size(spark, monkeypatch):
+    spans = spark.createDataFrame(_spans(5), "child long, parent long, first_tree long, last_tree long")
+    pairs = spark.createDataFrame([(t, t, N_TREES - 1 - t) for t in range(N_TREES)], "pair long, prev_tree long, next_tree long")
+    whole = {tuple(r) for r in CMP.pair_differences(spans, pairs, N_TREES).collect()}
+    monkeypatch.setattr(CMP, "TASK_ROWS", 600)
+    parted = CMP.pair_differences(spans, pairs, N_TREES)
+    assert parted.rdd.getNumPartitions() > 4 and {tuple(r) for r in parted.collect()} == whole
+    monkeypatch.setattr(CMP, "TASK_ROWS", 10)                           # an edge alone has more: left as it was
+    assert {tuple(r) for r in CMP.pair_differences(spans, pairs, N_TREES).collect()} == whole
