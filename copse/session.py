@@ -7,7 +7,7 @@ import zipfile
 from pathlib import Path
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -63,19 +63,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", group_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the checkpoint folder and read it back.
 
     For tables that several steps read: later scans prune columns and row
     groups, and join planning knows their true size. :func:`cut` suits the
-    small states of loops.
+    small states of loops. ``group_rows`` bounds the rows of a row group, and so
+    of a batch that is read: tables of long arrays need that.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
+    grouped(df.write, group_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grouped(writer: DataFrameWriter, rows: int | None) -> DataFrameWriter:
+    """``writer`` with at most so many rows in a row group; batches of the reader end with it."""
+    return writer if rows is None else writer.option("parquet.block.row.count.limit", rows)
+
+
 def removed(df: DataFrame) -> None:
     """Delete the files behind a :func:`written` table that nothing reads any more."""
     spark = df.sparkSession
